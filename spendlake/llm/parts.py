@@ -1,0 +1,41 @@
+"""Parts of texts that byte-level tokenizers encode alike wherever they stand, and memories of them.
+
+The pre-tokenizers of this family never join a space to what stands before it, so a text may be cut
+before each space that stands between two words.
+"""
+
+import regex
+
+#: Entries that a memory keeps; the first to come, so the frequent ones are among them.
+BOUND = 300_000
+
+#: Where a space lacks a word on one side; such texts are left whole.
+UNEVEN = regex.compile(r"\s | \s|\A | \Z")
+
+
+def parts_of(text: str | None) -> list[str]:
+    """The parts of a text: none if it is null or empty."""
+    if not text:
+        return []
+    if "\0" in text or UNEVEN.search(text):
+        return [text]
+    return text.replace(" ", "\0 ").split("\0")
+
+
+class Both(dict):
+    """A dict, and what it lacks from a memory."""
+
+    def __init__(self, memory: dict, new: dict):
+        super().__init__(new)
+        self.memory = memory
+
+    def __missing__(self, key):
+        return self.memory[key]
+
+
+def remember(memory: dict, new: dict) -> dict:
+    """Both together. New entries enter the memory until it is full; later ones serve this call only."""
+    if len(memory) + len(new) <= BOUND:
+        memory.update(new)
+        return memory
+    return Both(memory, new)
