@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlake.llm import bpe, records
+from spendlake.llm import bpe, decontaminate, odd_sketch, records
 from spendlake.llm.common import table
 
 
@@ -18,6 +18,14 @@ def word_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.summary(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op7_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.classes(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), word_pattern())
 
@@ -27,5 +35,5 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.summary(records.read(manifest))
 
 
-QUERIES = {f.__name__: f for f in (op9_bpe, op10_records)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op7_odd_sketch, op9_bpe, op10_records)}
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": decontaminate.SQL, "op7_odd_sketch": odd_sketch.SQL}
