@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlake.llm.common import chunks
-from spendlake.llm.parts import parts_of, remember
+from spendlake.llm.words import TEXT_BYTES, WordEncoder
 
 class Vocabulary:
     """Ranks of a vocabulary file (base64 token, rank), the pattern that splits texts into words, and memories of bounded size."""
@@ -28,12 +28,10 @@ class Vocabulary:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.find = regex.compile(pattern).findall
         self.single = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)])
         self.pairs: dict[int, int] = {}
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         self._byte_pairs: np.ndarray | None = None
+        self.texts = WordEncoder(regex.compile(pattern).findall, self.learn)
 
     def byte_pairs(self) -> np.ndarray:
         """Rank of each pair of bytes, or -1."""
@@ -43,20 +41,13 @@ class Vocabulary:
 
     def pair_rank(self, a: int, b: int) -> int:
         """Rank of the token that tokens a and b make up together, or -1."""
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > 400_000:
             self.pairs.clear()
         rank = self.pairs[a << 32 | b] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
         return rank
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text, as little-endian 32-bit integers."""
-        split = list(map(parts_of, texts))
-        new = list(set().union(*split).difference(self.parts))
-        words = [self.find(x) for x in new]
-        distinct = list(set().union(*words).difference(self.words))
-        ids = remember(self.words, dict(zip(distinct, replay([w.encode() for w in distinct], self), strict=True)))
-        parts = remember(self.parts, {x: b"".join([ids[w] for w in ws]) for x, ws in zip(new, words, strict=True)})
-        return [b"".join([parts[p] for p in x]) for x in split]
+    def learn(self, words: list[str]) -> list[bytes]:
+        return replay([w.encode() for w in words], self)
 
 
 @lru_cache(maxsize=4)
@@ -170,8 +161,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: t
     def run(batches):
         vocab = vocabulary(path, pattern)
         for batch in batches:
-            for part in chunks(batch, "__text"):
-                ids = vocab.encode(part.column("__text").to_pylist())
+            for part in chunks(batch, "__text", TEXT_BYTES):
+                ids = vocab.texts.encode(part.column("__text").to_pylist())
                 offsets = np.zeros(len(ids) + 1, "<i4")
                 np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
@@ -190,9 +181,8 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         tokens = vocabulary(path, pattern).tokens.__getitem__
         for batch in batches:
             ids = batch.column("ids")
-            offsets = ids.offsets.to_pylist()
-            lists = [ids.values[a:b].to_pylist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            out = pa.array([b"".join(map(tokens, x)) for x in lists], pa.binary())
+            offsets, values = ids.offsets.to_pylist(), ids.values.to_numpy()
+            out = pa.array([b"".join(map(tokens, values[a:b].tolist())) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=names)
 
     return encoded.mapInArrow(run, schema)

@@ -31,7 +31,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = records.write(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    manifest = records.write(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), word_pattern(), end_id=2)
     return records.summary(records.read(manifest))
 
 

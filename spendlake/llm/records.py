@@ -14,6 +14,7 @@ is run again after an executor is lost leaves at most an orphan. Files go to the
 file system that its URI names.
 """
 
+import os
 import struct
 import uuid
 import zlib
@@ -21,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlake.llm.common import chunks, cut, shared_dir, shuffle_partitions
-from spendlake.llm.parts import parts_of, remember
+from spendlake.llm.words import TEXT_BYTES, WordEncoder
 
 HEAD = struct.Struct("<QI")
 BODY = struct.Struct("<?qB")
@@ -76,34 +78,19 @@ def unframe(data: bytes, at: int = 0) -> tuple[int | None, np.ndarray, int] | No
     return doc_id if present else None, np.frombuffer(payload, f"<u{width}", offset=BODY.size), end
 
 
-class LibraryTokenizer:
-    """The tokenizers library over a vocabulary file; remembers the ids of the parts of texts. Strings of special tokens in texts are ordinary text."""
-
-    def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.parts: dict[str, np.ndarray] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        split = list(map(parts_of, texts))
-        new = list(set().union(*split).difference(self.parts))
-        got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        parts = remember(self.parts, {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(new, got, strict=True)})
-        return [b"".join([parts[p] for p in x]) for x in split]
-
-
 @lru_cache(maxsize=4)
-def library_tokenizer(path: str) -> LibraryTokenizer:
-    return LibraryTokenizer(path)
+def library_encoder(path: str, pattern: str) -> WordEncoder:
+    """The tokenizers library over a vocabulary file whose pre-tokenizer splits by `pattern`. Strings of special tokens in texts are ordinary text."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    learn = lambda words: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    return WordEncoder(regex.compile(pattern).findall, learn)
 
 
-def write(docs: DataFrame, tokenizer_path: str, end_id: int, width: int = 2, folder: str | None = None) -> DataFrame:
+def write(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, width: int = 2, folder: str | None = None) -> DataFrame:
     """Encodes each text, appends end_id, and writes records in ascending doc_id order; returns the manifest, a row for each file.
 
     docs are dealt by ranges of doc_id, so files follow each other in order: file `part` holds smaller ids
@@ -119,14 +106,14 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, width: int = 2, fol
         files, base_path = FileSystem.from_uri(base)
         part = TaskContext.get().partitionId()
         path = f"{base_path}/part-{part:06d}-{uuid.uuid4().hex[:12]}"
-        tokenizer = library_tokenizer(tokenizer_path)
+        encoder = library_encoder(tokenizer_path, pattern)
         offsets, at, n_ids, out = [0], 0, 0, None
         for batch in batches:
-            for piece in chunks(batch):
+            for piece in chunks(batch, limit=TEXT_BYTES):
                 if out is None:
                     files.create_dir(base_path, recursive=True)
                     out = files.open_output_stream(f"{path}.rec")
-                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), tokenizer.encode(piece.column("text").to_pylist()), strict=True):
+                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), encoder.encode(piece.column("text").to_pylist()), strict=True):
                     ids = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
                     if ids.max() >= most:
                         raise OverflowError(f"an id does not fit in {width} bytes")

@@ -68,7 +68,7 @@ def test_records(spark, texts):
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    manifest = records.write(docs(spark, texts), path, end_id=2)
+    manifest = records.write(docs(spark, texts), path, P.PATTERN, end_id=2)
     got = {r.doc_id: r for r in records.summary(records.read(manifest)).collect()}
     start = 0
     for i, text in enumerate(texts):
@@ -83,10 +83,10 @@ def test_records(spark, texts):
 def test_records_of_nothing_nulls_and_repeats(spark):
     path = P.path("byte_bpe_50k.json")
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert records.summary(records.read(records.write(none, path, 2))).count() == 0
+    assert records.summary(records.read(records.write(none, path, P.PATTERN, 2))).count() == 0
     assert bpe.round_trip(none, RANKS, P.PATTERN).count() == 0
     some = spark.createDataFrame([(None, "b"), (3, "x"), (3, "x"), (None, None)], "doc_id long, text string")
-    rows = records.summary(records.read(records.write(some, path, 2))).orderBy("start").collect()
+    rows = records.summary(records.read(records.write(some, path, P.PATTERN, 2))).orderBy("start").collect()
     assert [(r.doc_id, r.start, r.n_tokens) for r in rows] == [(None, 0, 1), (None, 1, 2), (3, 3, 2), (3, 5, 2)]
 
 
