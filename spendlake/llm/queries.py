@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlake.llm import bpe, decontaminate, odd_sketch, records
+from spendlake.llm import bpe, crf, decontaminate, line_spread, odd_sketch, records
 from spendlake.llm.common import table
 
 
@@ -22,10 +22,18 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.summary(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_spread.summary(line_spread.without_boilerplate(table(spark, sf_dir, "documents")))
+
+
 def op7_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.classes(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op8_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), word_pattern())
 
@@ -35,5 +43,5 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.summary(records.read(manifest))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op7_odd_sketch, op9_bpe, op10_records)}
-ORACLE_SQL: dict[str, str] = {"op2_decontaminate": decontaminate.SQL, "op7_odd_sketch": odd_sketch.SQL}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op5_line_spread, op7_odd_sketch, op8_crf, op9_bpe, op10_records)}
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": decontaminate.SQL, "op5_line_spread": line_spread.SQL, "op7_odd_sketch": odd_sketch.SQL}
