@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm import ann, bpe, chat, crf, decontaminate, line_spread, odd_sketch, records, url_rules
+from spendlake.llm import ann, bpe, chat, crf, decontaminate, kneser_ney, line_spread, odd_sketch, records, url_rules
 from spendlake.llm.common import table
 
 #: A text that holds the chat template's own control strings.
@@ -30,6 +30,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.summary(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     trial = spark.createDataFrame([(-7, 0, "user", TRIAL), (-7, 1, "assistant", TRIAL)], "conv_id long, turn long, role string, text string")
@@ -62,7 +66,7 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.summary(records.read(manifest))
 
 
-QUERIES = {f.__name__: f for f in (op1_cross_polytope, op2_decontaminate, op4_chat, op5_line_spread, op6_url_rules, op7_odd_sketch, op8_crf, op9_bpe, op10_records)}
+QUERIES = {f.__name__: f for f in (op1_cross_polytope, op2_decontaminate, op3_kneser_ney, op4_chat, op5_line_spread, op6_url_rules, op7_odd_sketch, op8_crf, op9_bpe, op10_records)}
 ORACLE_SQL: dict[str, str] = {"op2_decontaminate": decontaminate.SQL, "op4_chat": chat.SQL,
     "op5_line_spread": line_spread.SQL,
     "op6_url_rules": url_rules.SQL, "op7_odd_sketch": odd_sketch.SQL}
