@@ -122,7 +122,8 @@ def meet(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     left = queries.join(sizes, bucket).withColumn("bq", spot("nq")).withColumn("bv", all_of("nv"))
     right = vectors.join(sizes, bucket).withColumn("bv", spot("nv")).withColumn("bq", all_of("nq"))
     unit = [*bucket, "bq", "bv"]
-    both = left.select(*unit, "d1", "d2", "vector").groupBy(*unit).cogroup(right.select(*unit, "ids", "vector").groupBy(*unit))
+    right = right.select(*(F.col(c).alias(f"{c}_") for c in unit), "ids", F.col("vector").alias("vector"))
+    both = left.select(*unit, "d1", "d2", "vector").groupBy(*unit).cogroup(right.groupBy(*(f"{c}_" for c in unit)))
     return both.applyInArrow(best_of_block(k), "d1 long, d2 long, vec_id long, score double")
 
 

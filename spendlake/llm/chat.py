@@ -1,12 +1,16 @@
 """Chat formatting: a state machine over roles, a declarative template, and text segments with loss flags."""
 
 import hashlib
+import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: An escaped role name: its own colons have a backslash before them.
+NAME = re.compile(r"(?:\\.|[^\\:])*", re.DOTALL)
+
 #: Which role may follow which; None stands for the start.
 FOLLOWS = {None: {"system", "user"}, "system": {"user"}, "user": {"assistant"}, "assistant": {"user"}}
 
@@ -37,8 +41,9 @@ class Template:
         for role, header in self.headers.items():
             if body.startswith(header):
                 return role, unescape(body[len(header) :])
-        name, _, text = body.removeprefix(self.other[0]).partition(self.other[1])
-        return unescape(name), unescape(text)
+        rest = body.removeprefix(self.other[0])
+        name = NAME.match(rest)[0]
+        return unescape(name), unescape(rest[len(name) + len(self.other[1]) :])
 
 
 def escape(text: str) -> str:
