@@ -2,10 +2,11 @@
 
 Documents with the same set of word shingles are one representative from the start. MinHash bands put
 representatives into buckets; in each bucket, the one of smallest id is compared with all others, so that a
-group of any size costs a comparison a member. Links found this way make up components. Only members of a
-bucket that ended up outside its leader's component are then compared with the bucket's other members. An
-odd sketch (parities of MinHash samples; the population count of two sketches' XOR estimates how much two
-sets differ) sorts out pairs that are far from the threshold; the others are confirmed on full sets.
+group of any size costs a comparison a member. An odd sketch (parities of MinHash samples; the population
+count of two sketches' XOR estimates how much two sets differ) sorts out pairs that are far from the
+threshold; the others are confirmed on full sets. Links found this way make up components. Members of a
+bucket that ended up outside its leader's component are then held against the bucket's other members, in
+blocks of bounded size which only links leave.
 """
 
 import math
@@ -24,6 +25,9 @@ ROWS = 5
 SKETCH_LONGS = 16
 #: Chance that no band holds a pair at the threshold.
 MISS = 1e-7
+#: Shingles on either side of a block, and columns of its matrices.
+BLOCK_SHINGLES = 400_000
+COLUMNS = 2048
 
 
 def bands_for(percent: int) -> int:
@@ -117,6 +121,58 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b").distinct()
 
 
+def block_links(percent: int):
+    """Links (a, b) between rows of one block and rows of another, of different components, by exact overlaps of their shingle sets."""
+
+    def sides(table: pa.Table, suffix: str) -> tuple[np.ndarray, ...]:
+        lists = table.column(f"shingles{suffix}").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        return np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy(), sizes, table.column(f"doc_id{suffix}").to_numpy(), table.column(f"component{suffix}").to_numpy()
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        found = np.zeros((2, 0), np.int64)
+        if left.num_rows and right.num_rows:
+            (row_a, of_a, n_a, id_a, comp_a), (row_b, of_b, n_b, id_b, comp_b) = sides(left, "_l"), sides(right, "_r")
+            common = np.intersect1d(of_a, of_b)
+            place_a, place_b = (np.searchsorted(common, x) for x in (of_a, of_b))
+            in_a, in_b = (np.take(common, np.minimum(p, max(0, len(common) - 1))) == x if len(common) else np.zeros(len(x), bool) for p, x in ((place_a, of_a), (place_b, of_b)))
+            shared = np.zeros((len(n_a), len(n_b)), np.float32)
+            for start in range(0, len(common), COLUMNS):
+                one, two = np.zeros((len(n_a), COLUMNS), np.float32), np.zeros((len(n_b), COLUMNS), np.float32)
+                for matrix, row, place, ok in ((one, row_a, place_a, in_a), (two, row_b, place_b, in_b)):
+                    ok = ok & (place >= start) & (place < start + COLUMNS)
+                    matrix[row[ok], place[ok] - start] = 1
+                shared += one @ two.T
+            linked = (100 * shared >= percent * (n_a[:, None] + n_b[None, :] - shared)) & (comp_a[:, None] != comp_b[None, :])
+            i, j = np.nonzero(linked)
+            found = np.stack([id_a[i], id_b[j]])
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+    return run
+
+
+def links_within(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links between the minor rows (band, bucket, doc_id, component, minor) of each bucket and its other rows of other components.
+
+    Both sides of a bucket are dealt into blocks of about BLOCK_SHINGLES shingles, which meet block by block;
+    only links leave a block.
+    """
+    sets = shingle_sets(docs.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")).select(F.col("doc_id").cast("long").alias("doc_id"), "shingles")
+    full = cut(rows.join(sets.distinct(), "doc_id"))
+    bucket = ["band", "bucket"]
+    weight = F.size("shingles") + 256
+    blocks = lambda total: F.greatest(F.lit(1), F.ceil(F.coalesce(total, F.lit(0)) / BLOCK_SHINGLES)).cast("int")
+    sizes = cut(full.groupBy(*bucket).agg(blocks(F.sum(F.when(F.col("minor"), weight))).alias("nl"), blocks(F.sum(weight)).alias("nr")))
+    spot = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    spread = full.join(sizes, bucket)
+    unit, columns = [*bucket, "bl", "br"], ["doc_id", "component", "shingles"]
+    left = spread.where("minor").withColumn("bl", spot("nl")).withColumn("br", all_of("nr")).select(*(F.col(c).alias(f"{c}_l") for c in [*unit, *columns]))
+    right = spread.withColumn("br", spot("nr")).withColumn("bl", all_of("nl")).select(*(F.col(c).alias(f"{c}_r") for c in [*unit, *columns]))
+    both = left.groupBy(*(f"{c}_l" for c in unit)).cogroup(right.groupBy(*(f"{c}_r" for c in unit)))
+    return both.applyInArrow(block_links(percent), "a long, b long").where("a <> b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """doc_id and component (smallest id reachable) of every end of an edge (a, b): least labels of neighbours, and of labels, until nothing changes."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
@@ -161,14 +217,9 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     labelled = crowded.join(first_labels, "doc_id", "left").select("band", "bucket", "a", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     lead = labelled.where("doc_id = a").select("band", "bucket", F.col("component").alias("lead"))
     placed = labelled.where("doc_id <> a").join(lead, ["band", "bucket"])
-    minor = placed.where("component <> lead")
-    torn = minor.select("band", "bucket").distinct()
-    others = placed.join(torn, ["band", "bucket"], "left_semi").join(sketches, "doc_id")
-    left = others.where("component <> lead").select("band", "bucket", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"))
-    right = others.select("band", "bucket", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("lead"), F.col("sketch").alias("sb"))
-    once = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("lead")) | (F.col("a") < F.col("b")))
-    near = left.join(right, ["band", "bucket"]).where(once & (bits_apart(F.col("sa"), F.col("sb")) <= limit)).select("a", "b").distinct()
-    more = cut(confirmed(cut(near), docs, percent))
+    torn = placed.where("component <> lead").select("band", "bucket").distinct()
+    others = cut(placed.join(torn, ["band", "bucket"], "left_semi").select("band", "bucket", "doc_id", "component", (F.col("component") != F.col("lead")).alias("minor")))
+    more = cut(links_within(others, docs, percent))
     labels = first_labels if more.isEmpty() else components(links.union(more))
 
     placed_firsts = firsts.join(labels.withColumnRenamed("doc_id", "first"), "first", "left").select("d1", "d2", F.coalesce("component", "first").alias("component"))

@@ -37,6 +37,8 @@ BODY = struct.Struct("<?qB")
 MASK = 0xA282EAD8
 #: Bytes that a reader takes from a file at once.
 READ_BYTES = 8 << 20
+#: Words that a writing worker remembers, at about 200 bytes each.
+MEMORY_WORDS = 600_000
 
 MANIFEST = T.StructType(
     [
@@ -87,7 +89,7 @@ def library_encoder(path: str, pattern: str) -> WordEncoder:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     learn = lambda words: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-    return WordEncoder(regex.compile(pattern).findall, learn)
+    return WordEncoder(regex.compile(pattern).findall, learn, MEMORY_WORDS)
 
 
 def write(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, width: int = 2, folder: str | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-#: Words whose ids a Python worker remembers; the first to come, so the frequent ones are among them.
+#: Words whose ids a Python worker remembers, unless told otherwise; the first to come, so the frequent ones are among them.
 BOUND = 200_000
 #: Text bytes encoded at once.
 TEXT_BYTES = 1 << 20
@@ -11,8 +11,8 @@ TEXT_BYTES = 1 << 20
 class WordEncoder:
     """Encodes texts whose words (as `find` splits them) never influence each other; `learn` gives the ids of new words, as little-endian 32-bit integers."""
 
-    def __init__(self, find: Callable[[str], list[str]], learn: Callable[[list[str]], list[bytes]]):
-        self.find, self.learn = find, learn
+    def __init__(self, find: Callable[[str], list[str]], learn: Callable[[list[str]], list[bytes]], bound: int = BOUND):
+        self.find, self.learn, self.bound = find, learn, bound
         self.memory: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -21,7 +21,7 @@ class WordEncoder:
         known = self.memory
         new = list(set().union(*words).difference(known))
         fresh = dict(zip(new, self.learn(new), strict=True)) if new else {}
-        if len(known) + len(fresh) <= BOUND:
+        if len(known) + len(fresh) <= self.bound:
             known.update(fresh)
             return [b"".join(map(known.__getitem__, w)) for w in words]
         get = known.get

@@ -4,5 +4,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spendlake.plans import payments, texts
+
+MODULES = (payments, texts)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+for module in MODULES:
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL
