@@ -1,7 +1,5 @@
 """The cash ledger, and cash lines typed by hand."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,21 +51,34 @@ CATEGORY_WORDS = {
 
 def guess_category(note: Column) -> Column:
     """The first category with a word that stands in the note or begins it."""
-    inside, start = F.concat(F.lit(" "), F.lower(note), F.lit(" ")), F.trim(F.lower(note))
-    hit = lambda words: reduce(lambda a, b: a | b, [inside.contains(f" {w} ") | start.startswith(w) for w in words])
-    out = reduce(lambda c, item: c.when(hit(item[1]), item[0]), CATEGORY_WORDS.items(), F.when(note.isNull(), "CASH_UNCATEGORIZED"))
+    text = F.trim(F.lower(note))
+    out = F.when(note.isNull(), "CASH_UNCATEGORIZED")
+    for category, words in CATEGORY_WORDS.items():
+        any_of = "|".join(words)
+        out = out.when(text.rlike(f"(?:^| )(?:{any_of})(?: |$)|^(?:{any_of})"), category)
     return out.otherwise("CASH_UNCATEGORIZED")
 
 
+def once(value: Column, use) -> Column:
+    """use(value), where value is worked out once a row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_cash_line(text: Column) -> Column:
     """Struct of entry_type, amount_paise, note and category of a line with exactly one amount; null for other lines."""
+
+    def entry(p: Column) -> Column:
+        kind = F.when(p["rest"].rlike(ATM), "ATM_WITHDRAWAL").when(p["rest"].rlike(RECEIVED), "CASH_RECEIVED").otherwise("CASH_SPEND")
+        words = F.regexp_replace(F.regexp_replace(p["rest"], FILLER, " "), r"\s+", " ")
+        note = F.nullif(F.regexp_replace(words, r"^[ \-,.:]+|[ \-,.:]+$", ""), F.lit(""))
+        return F.struct(kind.alias("entry_type"), p["paise"].cast("long").alias("amount_paise"), note.alias("note"))
+
+    def categorised(e: Column) -> Column:
+        return F.struct(e["entry_type"].alias("entry_type"), e["amount_paise"].alias("amount_paise"), e["note"].alias("note"), F.when(e["entry_type"] == "CASH_SPEND", guess_category(e["note"])).alias("category"))
+
     line = F.trim(text)
-    found = F.regexp_extract_all(line, F.lit(AMOUNT), F.lit(0))
     number, suffix = F.regexp_extract(line, AMOUNT, 1), F.lower(F.regexp_extract(line, AMOUNT, 2))
     paise = F.round(number.cast("decimal(30,2)") * F.when(suffix == "k", 100_000).otherwise(100), 0).cast("decimal(38,0)")
-    rest = F.trim(F.regexp_replace(line, AMOUNT, " "))
-    kind = F.when(rest.rlike(ATM), "ATM_WITHDRAWAL").when(rest.rlike(RECEIVED), "CASH_RECEIVED").otherwise("CASH_SPEND")
-    words = F.regexp_replace(F.regexp_replace(rest, FILLER, " "), r"\s+", " ")
-    note = F.nullif(F.regexp_replace(words, r"^[ \-,.:]+|[ \-,.:]+$", ""), F.lit(""))
-    good = (F.size(found) == 1) & (F.length(line) <= MAX_LINE) & (paise > 0) & (paise <= MAX_CASH_PAISE)
-    return F.when(good, F.struct(kind.alias("entry_type"), paise.cast("long").alias("amount_paise"), note.alias("note"), F.when(kind == "CASH_SPEND", guess_category(note)).alias("category")))
+    parts = F.struct(paise.alias("paise"), F.trim(F.regexp_replace(line, AMOUNT, " ")).alias("rest"))
+    good = (F.size(F.regexp_extract_all(line, F.lit(AMOUNT), F.lit(0))) == 1) & (F.length(line) <= MAX_LINE) & (paise > 0) & (paise <= MAX_CASH_PAISE)
+    return F.when(good, once(once(parts, entry), categorised))

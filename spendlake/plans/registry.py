@@ -4,9 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlake.plans import payments, texts
+from spendlake.plans import analysis, flows, payments, texts
 
-MODULES = (payments, texts)
+MODULES = (payments, texts, flows, analysis)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 for module in MODULES:

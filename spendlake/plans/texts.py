@@ -10,7 +10,7 @@ from spendlake.sources import tables as t
 #: Namespace of the query's derived ids.
 NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
 STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
-KEY_SQL = f"array_to_string(list_filter(regexp_split_to_array(replace(split_part(lower(trim(merchant_raw)), '@', 1), '&', ' & '), '[^a-z&]+'), w -> w <> '' AND w NOT IN ({STOP})), ' ')"
+KEY_SQL = f"array_to_string(list_filter(regexp_split_to_array(replace(split_part(lower(trim(merchant_raw)), '@', 1), '&', ' & '), '[^a-z&]+'), lambda w: w <> '' AND w NOT IN ({STOP})), ' ')"
 NUMBER = r"(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]{1,2}(?:,[0-9]{2})+,[0-9]{3}|[0-9]+)(?:\.[0-9]{1,2})?"
 
 
@@ -29,7 +29,7 @@ QUERIES = {
     "prefilter_reason": lambda s, d: t.messages(s, d).select("event_id", text.drop_reason(F.col("text")).alias("reason")),
     "amounts_in_text": lambda s, d: t.messages(s, d).select("event_id", F.array_join(money.currency_amounts(F.col("text")).cast("array<string>"), ",").alias("paise")),
     "format_inr": lambda s, d: t.transactions(s, d).select("id", money.format_inr(F.col("amount_paise") * (F.col("seq") - 5000) * 37).alias("text")),
-    "rupees_to_paise": lambda s, d: t.messages(s, d).select("event_id", money.rupees_to_paise(F.regexp_extract("text", r"([0-9,.]+[0-9])", 1)).alias("paise")),
+    "rupees_to_paise": lambda s, d: t.messages(s, d).select("event_id", money.rupees_to_paise(F.regexp_extract("text", r"([0-9][0-9,]*[.][0-9]+)", 1)).alias("paise")),
     "uuid5_ids": lambda s, d: t.transactions(s, d).select("id", F.replace(ids.uuid5(NAMESPACE, F.concat(F.lit("txn/"), "id")), F.lit("-"), F.lit("")).alias("uuid")),
     "uuid7_millis": lambda s, d: t.transactions(s, d).select("id", ids.uuid7_millis(F.concat(F.lpad(F.lower(F.hex(F.col("seq") * 1_000_003)), 12, "0"), F.lit("-7abc-8def"))).alias("millis")),
     "shadow_sample": lambda s, d: t.messages(s, d).select("event_id", ids.sample_slot(F.col("event_id")).alias("slot"), ids.in_sample(F.col("event_id"), 0.05).alias("sampled")),
@@ -60,13 +60,13 @@ ORACLE_SQL = {
         WHEN NOT regexp_matches(text, '[0-9]') THEN 'NO_AMOUNT' END AS reason FROM message""",
         M,
     ),
-    "amounts_in_text": with_txn(f"SELECT event_id, array_to_string(list_transform(regexp_extract_all(text, '(?i)(?:\\b(?:rs\\.?|inr)|₹)\\s*({NUMBER})', 1), x -> CAST(CAST(round(CAST(replace(x, ',', '') AS DECIMAL(18, 2)) * 100) AS BIGINT) AS VARCHAR)), ',') AS paise FROM message", M),
+    "amounts_in_text": with_txn(f"SELECT event_id, array_to_string(list_transform(regexp_extract_all(text, '(?i)(?:\\b(?:rs\\.?|inr)|₹)\\s*({NUMBER})', 1), lambda x: CAST(CAST(round(CAST(replace(x, ',', '') AS DECIMAL(18, 2)) * 100) AS BIGINT) AS VARCHAR)), ',') AS paise FROM message", M),
     "format_inr": with_txn(
         """SELECT id, CASE WHEN p < 0 THEN '-' ELSE '' END || '₹' || CASE WHEN length(w) <= 3 THEN w
-          ELSE reverse(substr(reverse(w), 1, 3) || regexp_replace(substr(reverse(w), 4), '(..)', ',\\1', 'g') || CASE WHEN length(w) % 2 = 0 THEN ',' || substr(w, 1, 1) ELSE '' END) END || '.' || lpad(CAST(abs(p) % 100 AS VARCHAR), 2, '0') AS text
+          ELSE reverse(substr(reverse(w), 1, 3) || regexp_replace(substr(reverse(w), 4), '(..?)', ',\\1', 'g')) END || '.' || lpad(CAST(abs(p) % 100 AS VARCHAR), 2, '0') AS text
         FROM (SELECT id, p, CAST(abs(p) // 100 AS VARCHAR) AS w FROM (SELECT id, amount_paise * (seq - 5000) * 37 AS p FROM txn))"""
     ),
-    "rupees_to_paise": with_txn("SELECT event_id, CAST(round(CAST(nullif(replace(x, ',', ''), '') AS DECIMAL(18, 2)) * 100) AS BIGINT) AS paise FROM (SELECT event_id, regexp_extract(text, '([0-9,.]+[0-9])', 1) AS x FROM message)", M),
+    "rupees_to_paise": with_txn("SELECT event_id, CAST(round(CAST(nullif(replace(x, ',', ''), '') AS DECIMAL(18, 2)) * 100) AS BIGINT) AS paise FROM (SELECT event_id, regexp_extract(text, '([0-9][0-9,]*[.][0-9]+)', 1) AS x FROM message)", M),
     "uuid5_ids": with_txn(
         """SELECT id, substr(h, 1, 12) || '5' || substr(h, 14, 3) || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 15) AS uuid
         FROM (SELECT id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('txn/' || id)) AS h FROM txn)"""
@@ -84,7 +84,7 @@ ORACLE_SQL = {
         + " END AS reason FROM (SELECT conv_id, turn, concat_ws(' ', substr(text, 1, 500), ['', 'your mom', 'ugly', 'Caste!', 'ok'][conv_id % 5 + 1]) AS x FROM conversations)"
     ),
     "scrub_digits": with_txn(
-        """SELECT event_id, array_to_string(list_transform(regexp_extract_all('9' || replace(text, ' ', '') || '12345678901234', '(\\d+|[^\\d]+)', 1), r -> CASE WHEN regexp_matches(r, '^\\d{13,}$') THEN repeat('X', length(r) - 4) || substr(r, -4) ELSE r END), '') AS text FROM message""",
+        """SELECT event_id, array_to_string(list_transform(regexp_extract_all('9' || replace(text, ' ', '') || '12345678901234', '(\\d+|[^\\d]+)', 1), lambda r: CASE WHEN regexp_matches(r, '^\\d{13,}$') THEN repeat('X', length(r) - 4) || substr(r, -4) ELSE r END), '') AS text FROM message""",
         M,
     ),
     "sender_match": with_txn("SELECT event_id, sender FROM message WHERE upper(sender) = 'HDFCBK' OR sender LIKE '%-HDFCBK' OR source_app = 'HDFCBK'", M),

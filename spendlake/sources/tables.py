@@ -27,8 +27,12 @@ def pick(values: list[str], place: Column) -> Column:
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payments_of(table(spark, sf_dir, "events"))
+
+
+def payments_of(events: DataFrame) -> DataFrame:
     """A payment for each event: sign-ups are income, errors are failed debits."""
-    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    e = events.withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     return e.select(
         F.concat(F.lit("t_"), "event_id").alias("id"),
         F.col("event_id").alias("seq"),
