@@ -78,7 +78,7 @@ def parse_cash_line(text: Column) -> Column:
 
     line = F.trim(text)
     number, suffix = F.regexp_extract(line, AMOUNT, 1), F.lower(F.regexp_extract(line, AMOUNT, 2))
-    paise = F.round(number.cast("decimal(30,2)") * F.when(suffix == "k", 100_000).otherwise(100), 0).cast("decimal(38,0)")
+    paise = F.round(number.try_cast("decimal(30,2)") * F.when(suffix == "k", 100_000).otherwise(100), 0).cast("decimal(38,0)")
     parts = F.struct(paise.alias("paise"), F.trim(F.regexp_replace(line, AMOUNT, " ")).alias("rest"))
     good = (F.size(F.regexp_extract_all(line, F.lit(AMOUNT), F.lit(0))) == 1) & (F.length(line) <= MAX_LINE) & (paise > 0) & (paise <= MAX_CASH_PAISE)
     return F.when(good, once(once(parts, entry), categorised))

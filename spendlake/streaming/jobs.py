@@ -64,7 +64,7 @@ def running_budget(payments: DataFrame, limits: DataFrame, thresholds: tuple[int
     """user_id, category, month, crossed and spent_paise whenever a payment of the stream takes a budget across a share of its limit.
 
     limits (static): user_id, category, monthly_limit_paise. What is spent is kept for each user, category and
-    month; payments count in order of arrival, also late ones.
+    month; batches count in order of arrival, late payments too, and within a batch payments count by time.
     """
     import pandas as pd
 
@@ -76,14 +76,14 @@ def running_budget(payments: DataFrame, limits: DataFrame, thresholds: tuple[int
     def step(key, parts, state):
         spent = state.get[0] if state.exists else 0
         out = []
-        for part in parts:
-            for amount, limit in zip(part["amount_paise"].tolist(), part["monthly_limit_paise"].tolist(), strict=True):
-                before, spent = spent, spent + amount
-                crossed = [t for t in thresholds if before * 100 < t * limit <= spent * 100]
-                if crossed:
-                    out.append((*key, max(crossed), spent))
+        batch = pd.concat(parts).sort_values(["txn_time", "id"])  # what one trigger brings of one budget
+        for amount, limit in zip(batch["amount_paise"].tolist(), batch["monthly_limit_paise"].tolist(), strict=True):
+            before, spent = spent, spent + amount
+            crossed = [t for t in thresholds if before * 100 < t * limit <= spent * 100]
+            if crossed:
+                out.append((*key, max(crossed), spent))
         state.update((spent,))
         yield pd.DataFrame(out, columns=["user_id", "category", "month", "crossed", "spent_paise"])
 
-    grouped = rows.select("user_id", "category", "month", "amount_paise", "monthly_limit_paise").groupBy("user_id", "category", "month")
+    grouped = rows.select("user_id", "category", "month", "id", "txn_time", "amount_paise", "monthly_limit_paise").groupBy("user_id", "category", "month")
     return grouped.applyInPandasWithState(step, f"user_id {user}, category string, month date, crossed int, spent_paise long", "spent long", "append", "NoTimeout")
