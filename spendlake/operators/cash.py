@@ -30,6 +30,40 @@ def unaccounted(ledger: DataFrame) -> DataFrame:
     return out.select("id", "user_id", "amount_paise", "logged_paise", F.greatest(F.lit(0), F.col("amount_paise") - F.col("logged_paise")).cast("long").alias("unaccounted_paise"))
 
 
+STEP, WORTH_ASKING = 1_000, 5_000
+USUAL = ["DINING_OUT", "TRANSPORT", "SHOPPING"]
+
+
+def shares(total: Column, parts: Column, n: int) -> Column:
+    """`total` paise dealt to the first n of parts (category, weight) in whole ten rupees; the last takes what is left."""
+    weights = F.aggregate(F.slice(parts, 1, n), F.lit(0).cast("long"), lambda a, p: a + p["weight"])
+    left, out = total, []
+    for i in range(n):
+        own = F.get(parts, F.lit(i))
+        # whole numbers without overflow: the share goes by decimal division
+        rounded = F.greatest(F.lit(STEP), F.floor(F.floor(total.cast("decimal(20,0)") * own["weight"] / weights) / STEP) * STEP).cast("long")
+        amount = left if i == n - 1 else F.least(left - STEP * (n - i - 1), rounded)
+        out.append(F.struct(own["category"].alias("category"), amount.cast("long").alias("amount_paise")))
+        left = left - F.greatest(amount, F.lit(0))
+    return F.filter(F.array(*out), lambda x: x["amount_paise"] > 0)
+
+
+def breakdowns(withdrawals: DataFrame, habits_: DataFrame) -> DataFrame:
+    """For each withdrawal (id, user_id, unaccounted_paise) with fifty rupees or more not accounted for: up to three ways it may have gone.
+
+    habits_: user_id, category, place, total_paise (at most six rows a user). Ways go by the first one, two and
+    three categories; with fewer than three, the first usual category that isn't among them stands for the third.
+    """
+    top = habits_.where("total_paise > 0").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("place", "category", F.col("total_paise").alias("weight")))).alias("h"))
+    usual = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(1).cast("long").alias("weight")) for c in USUAL))
+    rows = withdrawals.where(F.col("unaccounted_paise") >= WORTH_ASKING).join(top, "user_id", "left")
+    rows = rows.withColumn("parts", F.coalesce(F.transform("h", lambda x: F.struct(x["category"].alias("category"), x["weight"].alias("weight"))), usual)).drop("h")
+    n, total, parts = F.size("parts"), F.col("unaccounted_paise"), F.col("parts")
+    other = F.filter(usual, lambda u: ~F.exists(parts, lambda p: p["category"] == u["category"]))
+    ways = F.array(shares(total, parts, 1), F.when(n >= 2, shares(total, parts, 2)), F.when(n >= 3, shares(total, parts, 3)).when(F.size(other) > 0, shares(total, other, 1)))
+    return rows.select("id", "user_id", F.array_distinct(F.filter(ways, lambda w: w.isNotNull() & (F.size(w) > 0))).alias("ways"))
+
+
 # Words of cash lines.
 AMOUNT = r"(?i)(?<![\w.])(?:rs\.?|inr|₹)?\s*([0-9]+(?:\.[0-9]{1,2})?)\s*(k|/-)?(?![\w.])"
 RECEIVED = r"(?i)\b(got|received|recieved|mila|mile|milaa|from|credited)\b"

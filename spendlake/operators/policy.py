@@ -94,3 +94,17 @@ def task_gate(tasks: DataFrame, per_day: int = 12) -> DataFrame:
     in_time = tasks.where(F.col("deadline").isNull() | (F.col("now") <= F.col("deadline")))
     so_far = Window.partitionBy("user_id", ist_day(F.col("now"))).orderBy("now", "id").rowsBetween(Window.unboundedPreceding, -1)
     return in_time.withColumn("before", F.count(F.lit(1)).over(so_far)).where((F.col("before") < per_day) | (F.col("priority") >= 2)).drop("before")
+
+
+def due_summaries(users: DataFrame, summaries: DataFrame, alerts: DataFrame, now: Column, at_minute: int = 21 * 60) -> DataFrame:
+    """Daily summaries to send at `now` (from `at_minute` of the IST day on): user_id, dedupe_key, total_paise and n of users outside their quiet hours who haven't had the day's.
+
+    users: user_id, quiet_start, quiet_end; summaries: user_id, day, total_paise, n; alerts: user_id, dedupe_key.
+    """
+    from spendlake.functions.times import minute_of_day
+
+    key = F.concat(F.lit("daily:"), ist_day(now).cast("string"))
+    open_now = users.where((minute_of_day(now) >= at_minute) & ~in_quiet_hours(now, F.col("quiet_start"), F.col("quiet_end"))).select("user_id", key.alias("dedupe_key"))
+    new = open_now.join(alerts.select("user_id", "dedupe_key"), ["user_id", "dedupe_key"], "left_anti")
+    today = summaries.where(F.col("day") == ist_day(now)).select("user_id", "total_paise", "n")
+    return new.join(today, "user_id", "left").na.fill(0, ["total_paise", "n"])

@@ -4,7 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from spendlake.operators import cash, spending, triggers
+from spendlake.operators import cash, policy, spending, triggers
 from spendlake.sources import tables as t
 
 WEEK = "CAST(date_trunc('week', txn_time + INTERVAL 330 MINUTE) AS DATE)"
@@ -42,6 +42,8 @@ QUERIES = {
     "latest_forecast_row": lambda s, d: spending.latest(fake_forecasts(s, d), "user_id", "computed_at", "id"),
     "cash_balance": lambda s, d: cash.balances(t.cash_ledger(s, d)),
     "cash_habits": lambda s, d: cash.habits(t.cash_ledger(s, d)),
+    "cash_breakdowns": lambda s, d: cash.breakdowns(cash.unaccounted(t.cash_ledger(s, d)), cash.habits(t.cash_ledger(s, d))).select("id", F.to_json("ways").alias("ways")),
+    "due_summaries": lambda s, d: policy.due_summaries(t.transactions(s, d).select("user_id").distinct().select("user_id", (F.col("user_id") % 24 * 60).cast("int").alias("quiet_start"), F.lit(480).alias("quiet_end")), spending.daily_summary(t.transactions(s, d)), t.alerts(s, d).where("user_id % 5 = 0").select("user_id", F.lit("daily:2024-01-20").alias("dedupe_key")).distinct(), F.lit(datetime(2024, 1, 20, 15, 45)).cast("timestamp_ntz")),
     "cash_logged_since": lambda s, d: cash.unaccounted(t.cash_ledger(s, d)),
     "feedback_histogram": lambda s, d: t.alerts(s, d).where(F.col("reaction").isNotNull() & (F.col("sent_at") >= F.lit(START).cast("timestamp_ntz"))).groupBy("user_id", "reaction").agg(F.count(F.lit(1)).alias("n")),
     "frequency_trigger": lambda s, d: triggers.frequent(t.transactions(s, d)),
@@ -96,6 +98,12 @@ ORACLE_SQL = {
         FROM cash WHERE entry_type = 'CASH_SPEND' GROUP BY ALL) QUALIFY place <= 6""",
         t.CASH_SQL,
     ),
+    "due_summaries": with_txn(
+        f"""SELECT u.user_id, 'daily:2024-01-20' AS dedupe_key, coalesce(total_paise, 0) AS total_paise, coalesce(n, 0) AS n FROM (SELECT DISTINCT user_id FROM txn) u
+        LEFT JOIN (SELECT user_id, CAST(sum(amount_paise) AS BIGINT) AS total_paise, count(*) AS n FROM txn WHERE {ANY_SPEND} AND {DAY} = DATE '2024-01-20' GROUP BY user_id) s ON s.user_id = u.user_id
+        WHERE NOT (CASE WHEN u.user_id % 24 * 60 <= 480 THEN 1275 >= u.user_id % 24 * 60 AND 1275 < 480 ELSE 1275 >= u.user_id % 24 * 60 OR 1275 < 480 END) AND NOT (u.user_id % 5 = 0 AND u.user_id IN (SELECT user_id FROM alert))""",
+        t.ALERT_SQL,
+    ),
     "cash_logged_since": with_txn(
         """SELECT a.id, a.user_id, a.amount_paise, CAST(coalesce(sum(b.amount_paise), 0) AS BIGINT) AS logged_paise, greatest(0, a.amount_paise - CAST(coalesce(sum(b.amount_paise), 0) AS BIGINT)) AS unaccounted_paise
         FROM cash a LEFT JOIN cash b ON a.user_id = b.user_id AND b.occurred_at >= a.occurred_at AND b.entry_type IN ('CASH_SPEND', 'UNACCOUNTED') WHERE a.entry_type = 'ATM_WITHDRAWAL' GROUP BY a.id, a.user_id, a.amount_paise""",

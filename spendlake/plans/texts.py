@@ -1,8 +1,10 @@
 """Queries on texts, ids and calendar functions."""
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
-from spendlake.functions import ids, money, text, times
+from spendlake.functions import commitments, ids, money, redaction, text, times
 from spendlake.operators import cash
 from spendlake.plans.payments import with_txn
 from spendlake.sources import tables as t
@@ -22,6 +24,13 @@ def cash_lines(s, d):
     return rows.select("id", line.alias("line"))
 
 
+def promises(s, d):
+    """A promise, or something like one, for each payment."""
+    rows = t.transactions(s, d)
+    words = [F.concat(F.lit("Please limit coffee to "), F.col("k") % 30, F.lit(" times a week till 5 mar")), F.lit("no  food delivery this month until 31 feb"), F.lit("sirf chai 2 baar ek hafte"), F.lit("I spend too much"), F.concat(F.lit("stop shoes for a week by "), F.col("k") % 28 + 1, F.lit("jan"))]
+    return rows.select("id", F.element_at(F.array(*words), (F.col("seq") % 5).cast("int") + 1).alias("text"))
+
+
 QUERIES = {
     "merchant_normalize": lambda s, d: t.transactions(s, d).select("id", text.merchant_key(F.col("merchant_raw")).alias("key"), text.is_person_vpa(F.col("merchant_raw")).alias("person")),
     "sender_key": lambda s, d: t.messages(s, d).select("event_id", text.sender_key(F.col("sender"), F.col("source_app")).alias("key"), text.is_bank_sender(F.col("sender")).alias("bank")),
@@ -42,6 +51,8 @@ QUERIES = {
     "scrub_digits": lambda s, d: t.messages(s, d).select("event_id", text.scrub_digits(F.concat(F.lit("9"), F.regexp_replace("text", " ", ""), F.lit("12345678901234"))).alias("text")),
     "cash_entry_parse": lambda s, d: cash_lines(s, d).select("id", cash.parse_cash_line(F.col("line")).alias("e")).select("id", "e.entry_type", "e.amount_paise", "e.note", "e.category"),
     "sender_match": lambda s, d: t.messages(s, d).where((F.upper("sender") == "HDFCBK") | F.col("sender").endswith("-HDFCBK") | (F.col("source_app") == "HDFCBK")).select("event_id", "sender"),
+    "redact_messages": lambda s, d: t.messages(s, d).select("event_id", redaction.redact(F.concat(F.col("text"), F.lit(" a.b@c.com asha@ybl 98"), F.lpad(F.col("seq").cast("string"), 8, "7")), b"key").alias("text")),
+    "commitments": lambda s, d: promises(s, d).select("id", commitments.commitment(F.col("text"), F.lit(date(2026, 2, 1))).alias("c")).select("id", "c.target", "c.max_count", "c.period", "c.until"),
     "capture_key": lambda s, d: t.messages(s, d).where(text.is_bank_sender(F.col("sender")) & F.col("text").rlike(r"\S")).select("event_id", F.sha2(F.concat(*(x for c in ("sender", "source_app", "text") for x in (F.coalesce(c, F.lit("")), F.lit("\0")))), 256).alias("dedupe_key")),
 }
 
@@ -87,6 +98,10 @@ ORACLE_SQL = {
         """SELECT event_id, array_to_string(list_transform(regexp_extract_all('9' || replace(text, ' ', '') || '12345678901234', '(\\d+|[^\\d]+)', 1), lambda r: CASE WHEN regexp_matches(r, '^\\d{13,}$') THEN repeat('X', length(r) - 4) || substr(r, -4) ELSE r END), '') AS text FROM message""",
         M,
     ),
+    "commitments": with_txn(
+        """SELECT id, ['coffee', 'food delivery', 'chai', NULL, 'shoes'][seq % 5 + 1] AS target, CAST([k % 30, 0, 2, NULL, 0][seq % 5 + 1] AS INTEGER) AS max_count, ['week', 'month', 'week', NULL, 'week'][seq % 5 + 1] AS period,
+        CASE seq % 5 WHEN 0 THEN DATE '2026-03-05' WHEN 4 THEN make_date(2027, 1, CAST(k % 28 + 1 AS INTEGER)) END AS until FROM txn"""
+    ),
     "sender_match": with_txn("SELECT event_id, sender FROM message WHERE upper(sender) = 'HDFCBK' OR sender LIKE '%-HDFCBK' OR source_app = 'HDFCBK'", M),
     "capture_key": with_txn(f"SELECT event_id, sha256(coalesce(sender, '') || chr(0) || coalesce(source_app, '') || chr(0) || coalesce(text, '') || chr(0)) AS dedupe_key FROM message WHERE regexp_matches(sender, '{text.BANK_SENDER}') AND regexp_matches(text, '\\S')", M),
 }

@@ -8,7 +8,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from spendlake.functions import grounding, ids, money, text, times
+from spendlake.functions import commitments, grounding, ids, money, redaction, text, times
 from spendlake.operators import cash
 
 
@@ -93,3 +93,47 @@ def test_content_and_digits(spark):
     cases = {"": "EMPTY", "x" * 401: "TOO_LONG", "so skinny": "BODY", "Your Mom again": "FAMILY", "fine, face it": "BODY", "five rides": None}
     assert values(spark, text.blocked_reason, list(cases)) == list(cases.values())
     assert values(spark, text.scrub_digits, ["a 1234567890123 b", "123456789012", "x12345678901234567y", ""]) == ["a XXXXXXXXX0123 b", "123456789012", "xXXXXXXXXXXXXX4567y", ""]
+
+
+@pytest.mark.parametrize(
+    ("message", "expected"),
+    [
+        ("Rs 80 to tea.shop@hdfcbank from A/c XX5511. UPI Ref 700011112222", "Rs 80 to tea.shop@hdfcbank from A/c XX5511. UPI Ref 700011112222"),
+        ("A/c 60200987654 debited, acct no: 12345", "A/c XX7654 debited, acct no: XX2345"),
+        ("card 5100 2222 3333 4444 or 5100222233334444", "card XX4444 or XX4444"),
+        ("call 9812345670 or +91-9812345671, Txn id 9812345672", "call [phone] or [phone], Txn id 9812345672"),
+        ("mail a.b@c.co.in, PAN ABCDE9999K, Aadhaar 4321 8765 1234", "mail [email], PAN [pan], Aadhaar [aadhaar]"),
+        ("member 556677889900, order #556677889900", "member XX9900, order #556677889900"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_redaction(spark, message, expected):
+    assert values(spark, lambda c: redaction.redact(c, b"k"), [message]) == [expected]
+
+
+def test_keyed_hash_of_persons(spark):
+    import hashlib
+    import hmac
+
+    own = hmac.new(b"k" * 70, b"asha.rao", hashlib.sha256).hexdigest()[:8]
+    got = values(spark, lambda c: redaction.redact(c, b"k" * 70), ["to Asha.Rao@ybl, ao@ybl and Asha.Rao@ybl", "bharatpe99@ybl 9812345670@hdfcbank"])
+    assert got[0].startswith(f"to p{own}@ybl, p") and got[0].endswith(f"@ybl and p{own}@ybl")
+    assert got[1].startswith("bharatpe99@ybl p") and got[1].endswith("@hdfcbank")
+
+
+def test_commitments(spark):
+    from datetime import date
+
+    got = values(spark, lambda c: commitments.commitment(c, F.lit(date(2026, 12, 5))), ["Max  pizza 3 orders per mahine until 9 jan", "nahi chai is hafta", "maybe", "no cabs this week by 31 feb", None])
+    assert [x and (x.target, x.max_count, x.period, x.until) for x in got] == [("pizza", 3, "month", date(2027, 1, 9)), ("chai", 0, "week", None), None, ("cabs", 0, "week", None), None]
+    assert values(spark, commitments.due_at, [date(2026, 12, 5)], "date") == [datetime(2026, 12, 5, 18, 29)]
+
+
+def test_ways_cash_may_have_gone(spark):
+    rows = spark.createDataFrame([("a", 1, 50_000), ("b", 2, 50_000), ("c", 3, 4_999), ("d", 4, 7_000)], "id string, user_id long, unaccounted_paise long")
+    habits = spark.createDataFrame([(1, "RENT", 1, 300), (1, "TRAVEL", 2, 200), (1, "HEALTH", 3, 100), (1, "OTHER", 4, 50), (4, "DINING_OUT", 1, 5)], "user_id long, category string, place int, total_paise long")
+    got = {r.id: [[(p.category, p.amount_paise) for p in w] for w in r.ways] for r in cash.breakdowns(rows, habits).collect()}
+    assert got["a"] == [[("RENT", 50_000)], [("RENT", 30_000), ("TRAVEL", 20_000)], [("RENT", 25_000), ("TRAVEL", 16_000), ("HEALTH", 9_000)]]
+    assert got["b"] == [[("DINING_OUT", 50_000)], [("DINING_OUT", 25_000), ("TRANSPORT", 25_000)], [("DINING_OUT", 16_000), ("TRANSPORT", 16_000), ("SHOPPING", 18_000)]]
+    assert "c" not in got and got["d"] == [[("DINING_OUT", 7_000)], [("TRANSPORT", 7_000)]]
