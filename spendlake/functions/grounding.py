@@ -3,6 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spendlake.functions.binding import once
 from spendlake.functions.money import all_number_amounts, rupees_to_paise
 
 # Units of numbers, and the words that back a direction or status.
@@ -46,22 +47,26 @@ def squeezed(text: Column) -> Column:
 
 def failure(x: Column, text: Column) -> Column:
     """The first thing wrong with an extraction (struct of is_transaction, amount, direction, status, reference_id, balance_after) of a text; null if it holds."""
-    amount, balance = rupees_to_paise(x["amount"]), rupees_to_paise(x["balance_after"])
-    stated = all_number_amounts(text)
-    debit, credit = text.rlike(DEBIT_WORDS), text.rlike(CREDIT_WORDS)
+    seen = F.struct(
+        rupees_to_paise(x["amount"]).alias("amount"), rupees_to_paise(x["balance_after"]).alias("balance"), all_number_amounts(text).alias("stated"),
+        text.rlike(DEBIT_WORDS).alias("debit"), text.rlike(CREDIT_WORDS).alias("credit"),
+    )
     reference = F.coalesce(x["reference_id"], F.lit(""))
-    return (
-        F.when(~F.coalesce(x["is_transaction"], F.lit(False)), "NOT_TRANSACTION")
-        .when(x["amount"].isNull(), "MISSING_AMOUNT")
-        .when(amount.isNull() | (amount <= 0), "BAD_AMOUNT")
-        .when(~F.array_contains(stated, amount), "AMOUNT_NOT_IN_TEXT")
-        .when((reference != "") & ~F.contains(squeezed(text), squeezed(reference)), "REFERENCE_NOT_IN_TEXT")
-        .when(x["direction"].isNull(), "MISSING_DIRECTION")
-        .when(((x["direction"] == "DEBIT") & credit & ~debit) | ((x["direction"] == "CREDIT") & debit & ~credit), "DIRECTION_MISMATCH")
-        .when((x["status"] == "FAILED") & ~text.rlike(FAILED_WORDS), "FAILED_WITHOUT_KEYWORD")
-        .when((x["status"] == "REVERSED") & ~text.rlike(REVERSAL_WORDS), "REVERSED_WITHOUT_KEYWORD")
-        .when(x["balance_after"].isNotNull() & (balance.isNull() | ~F.array_contains(stated, F.abs(balance))), "BAD_BALANCE")
-    )
+
+    def first_fault(s: Column) -> Column:
+        return (
+            F.when(x["amount"].isNull(), "MISSING_AMOUNT")
+            .when(s["amount"].isNull() | (s["amount"] <= 0), "BAD_AMOUNT")
+            .when(~F.array_contains(s["stated"], s["amount"]), "AMOUNT_NOT_IN_TEXT")
+            .when((reference != "") & ~F.contains(squeezed(text), squeezed(reference)), "REFERENCE_NOT_IN_TEXT")
+            .when(x["direction"].isNull(), "MISSING_DIRECTION")
+            .when(((x["direction"] == "DEBIT") & s["credit"] & ~s["debit"]) | ((x["direction"] == "CREDIT") & s["debit"] & ~s["credit"]), "DIRECTION_MISMATCH")
+            .when((x["status"] == "FAILED") & ~text.rlike(FAILED_WORDS), "FAILED_WITHOUT_KEYWORD")
+            .when((x["status"] == "REVERSED") & ~text.rlike(REVERSAL_WORDS), "REVERSED_WITHOUT_KEYWORD")
+            .when(x["balance_after"].isNotNull() & (s["balance"].isNull() | ~F.array_contains(s["stated"], F.abs(s["balance"]))), "BAD_BALANCE")
+        )
+
+    return F.when(~F.coalesce(x["is_transaction"], F.lit(False)), "NOT_TRANSACTION").otherwise(once(seen, first_fault))
 
 
 def same_extraction(a: Column, b: Column) -> Column:

@@ -30,7 +30,8 @@ def format_inr(paise: Column) -> Column:
 
 
 def _all_paise(numbers: Column) -> Column:
-    return F.filter(F.transform(numbers, lambda x: rupees_to_paise(x)), lambda p: p.isNotNull())
+    """Paise of strings that NUMBER matches; those beyond 18 digits are left out."""
+    return F.filter(F.transform(numbers, lambda x: (F.replace(x, F.lit(","), F.lit("")).try_cast("decimal(18,2)") * 100).cast("long")), lambda p: p.isNotNull())
 
 
 def currency_amounts(text: Column) -> Column:

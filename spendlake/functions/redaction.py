@@ -5,6 +5,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spendlake.functions.binding import once
+
 # Handles of persons' apps, hints of merchants, and what is masked.
 PERSON_HANDLES = ["okaxis", "oksbi", "okhdfcbank", "okicici", "ybl", "ibl", "axl", "apl", "upi", "paytm", "pthdfc", "ptyes", "ptaxis", "ptsbi", "fbl", "yapl", "ikwik", "freecharge", "airtel", "jupiteraxis", "naviaxis", "superyes", "slc", "kotak811"]
 MERCHANT_HINT = r"(?i)(paytmqr|bharatpe|razorpay|rzp|merchant|store|shop|mart|cafe|restaurant|pvt|ltd|enterprise|traders|gpay-|^q\d{6,}|\.payu|cashfree|phonepe|swiggy|zomato)"
@@ -17,8 +19,9 @@ AADHAAR = r"\b[2-9][0-9]{3}[\s-][0-9]{4}[\s-][0-9]{4}\b|(?i:aadhaar\D{0,12})[0-9
 ACCOUNT = r"(\b(?i:a/c|acct|account|ac)\.?\s*(?i:no\.?)?\s*[:\-]?\s*)[Xx*]*[0-9]{1,14}([0-9]{4})(?![0-9])"
 #: What stands before a number that is a reference, at most 24 characters back.
 REFERENCE = r"(?i:(?:ref|rrn|utr|txn|upi|transaction|imps|neft|rtgs|order)(?:\s{0,3}(?:id|no|number))?[\s.:/#-]{0,6})"
-PHONE = rf"(?<!{REFERENCE})(?<![0-9])(?:\+91[\s-]?)?[6-9][0-9]{{9}}(?![0-9])"
-LONG_DIGITS = rf"(?<!{REFERENCE})(?<![0-9A-Za-z])[0-9]{{5,}}([0-9]{{4}})(?![0-9A-Za-z@])"
+# The cheap look at the number itself comes before the look back.
+PHONE = rf"(?<![0-9])(?=(?:\+91[\s-]?)?[6-9][0-9]{{9}}(?![0-9]))(?<!{REFERENCE})(?:\+91[\s-]?)?[6-9][0-9]{{9}}"
+LONG_DIGITS = rf"(?<![0-9A-Za-z])(?=[0-9]{{9,}}(?![0-9A-Za-z@]))(?<!{REFERENCE})[0-9]{{5,}}([0-9]{{4}})"
 
 
 def hmac_sha256(key: bytes, message: Column) -> Column:
@@ -41,8 +44,12 @@ def redact(text: Column, key: bytes) -> Column:
         local, handle = F.split(vpa, "@")[0], F.split(vpa, "@")[1]
         return F.when(is_person(local, handle), F.concat(F.lit("p"), F.substring(hmac_sha256(key, F.lower(local)), 1, 8), F.lit("@"), handle)).otherwise(vpa)
 
-    no_mail = F.regexp_replace(text, EMAIL, "[email]")
-    between, found = F.split(no_mail, VPA), F.transform(F.regexp_extract_all(no_mail, F.lit(VPA), F.lit(0)), hashed)
-    out = F.array_join(F.zip_with(between, found, lambda a, v: F.concat(a, F.coalesce(v, F.lit("")))), "")
+    no_mail = F.when(text.contains("@"), F.regexp_replace(text, EMAIL, "[email]")).otherwise(text)
+
+    def persons_hidden(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(VPA), F.lit(0)), hashed)
+        return F.when(t.contains("@"), F.array_join(F.zip_with(F.split(t, VPA), found, lambda a, v: F.concat(a, F.coalesce(v, F.lit("")))), "")).otherwise(t)
+
+    out = once(no_mail, persons_hidden)
     steps = [(PAN, "[pan]"), (CARD, "XX$1"), (BARE_CARD, "XX$1"), (AADHAAR, "[aadhaar]"), (ACCOUNT, "$1XX$2"), (PHONE, "[phone]"), (LONG_DIGITS, "XX$1")]
     return reduce(lambda t, s: F.regexp_replace(t, *s), steps, out)

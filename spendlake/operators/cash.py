@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spendlake.functions.binding import once
+
 INTO_WALLET = ["ATM_WITHDRAWAL", "CASH_RECEIVED"]
 OUT_OF_WALLET = ["CASH_SPEND", "UNACCOUNTED"]
 
@@ -93,11 +95,6 @@ def guess_category(note: Column) -> Column:
     return out.otherwise("CASH_UNCATEGORIZED")
 
 
-def once(value: Column, use) -> Column:
-    """use(value), where value is worked out once a row however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def parse_cash_line(text: Column) -> Column:
     """Struct of entry_type, amount_paise, note and category of a line with exactly one amount; null for other lines."""
 

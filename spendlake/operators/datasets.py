@@ -3,9 +3,11 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spendlake.functions.binding import once
 from spendlake.functions.ids import hash_fraction
 from spendlake.functions.money import rupees_to_paise
 from spendlake.functions.text import template_signature
+from spendlake.sources.scratch import cut
 
 # Banks whose templates are never trained on.
 HELD_OUT_SENDERS = ["CANBNK", "UBOI"]
@@ -42,8 +44,11 @@ def template_splits(examples: DataFrame, salt: str, val_share: float = 0.1, gold
 def shingles(text):
     """Distinct runs of four lower-cased words (all words, if fewer), digits as 0."""
     words = F.filter(F.split(F.lower(F.regexp_replace(text, r"\d+", "0")), r"\s+"), lambda w: w != "")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - SHINGLE + 1)), lambda i: F.array_join(F.slice(words, i, SHINGLE), " "))
-    return F.array_distinct(runs)
+
+    def runs(words):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - SHINGLE + 1)), lambda i: F.array_join(F.slice(words, i, SHINGLE), " "))
+
+    return F.array_distinct(once(words, runs))
 
 
 def signatures(rows: DataFrame, key: str) -> DataFrame:
@@ -63,7 +68,7 @@ def near_protected(candidates: DataFrame, protected: DataFrame, key: str = "even
 
     Equal signatures meet once: protected rows are held by distinct signature, candidates likewise.
     """
-    ours, theirs = signatures(candidates, key), signatures(protected, key).select("signature").distinct()
+    ours, theirs = cut(signatures(candidates, key)), signatures(protected, key).select("signature").distinct()
     own = bands(ours.select("signature").distinct().withColumn("k", F.lit(0)), "k").drop("k")
     other = bands(theirs.withColumn("k", F.lit(0)), "k").select("band", F.col("signature").alias("other")).distinct()
     same = F.size(F.filter(F.zip_with("signature", "other", lambda a, b: a == b), lambda x: x))

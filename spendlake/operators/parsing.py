@@ -9,6 +9,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendlake.functions.binding import once
 from spendlake.functions.grounding import failure, same_extraction
 from spendlake.functions.money import rupees_to_paise
 from spendlake.functions.text import drop_reason, sender_key
@@ -28,7 +29,9 @@ MARKS = re.compile(r"\\.|\{\d+(?:,\d*)?\}")
 LITERAL = re.compile(r"\d{3,}|[a-z0-9]@[a-z]", re.IGNORECASE)
 
 EXTRACTION = "struct<is_transaction: boolean, amount: string, direction: string, channel: string, status: string, merchant_raw: string, counterparty_vpa: string, reference_id: string, account_hint: string, balance_after: string, promised_refund_days: int>"
-RULE = "id string, sender_key string, status string, created_at long, regex string, places array<int>, direction string, channel string, txn_status string"
+#: Stands before each group that a rule has taken from a text.
+MARK = "\x01"
+RULE = "id string, sender_key string, status string, created_at long, regex string, groups string, direction string, channel string, txn_status string"
 
 
 def fault(regex: str, direction: str | None, channel: str = "UNKNOWN", status: str = "SUCCESS") -> str | None:
@@ -59,36 +62,41 @@ def fault(regex: str, direction: str | None, channel: str = "UNKNOWN", status: s
 def rule_table(spark: SparkSession, rules: list[dict]) -> DataFrame:
     """Rules (id, sender, regex, direction, channel, status, rule_status, created_at) as a table; unsafe ones are left out.
 
-    `places` holds the number of each named group in the regex, 0 where it has none.
+    `regex` is written so that it matches a whole text, `groups` gives what each named group took, a mark before each.
     """
     rows = []
     for r in rules:
         channel, status = r.get("channel", "UNKNOWN"), r.get("status", "SUCCESS")
         if fault(r["regex"], r.get("direction"), channel, status) is None:
             index = re.compile(r["regex"]).groupindex
-            rows.append((r["id"], r["sender"], r.get("rule_status", "ACTIVE"), r.get("created_at", 0), "(?i)" + r["regex"].replace("(?P<", "(?<"), [index.get(g, 0) for g in GROUPS], r["direction"], channel, status))
+            whole = f"(?i)\\A(?s:.*?)(?:{r['regex'].replace('(?P<', '(?<')})(?s:.*)\\z"
+            rows.append((r["id"], r["sender"], r.get("rule_status", "ACTIVE"), r.get("created_at", 0), whole, "".join(MARK + (f"${{{g}}}" if g in index else "") for g in GROUPS), r["direction"], channel, status))
     return spark.createDataFrame(rows, RULE)
 
 
 def by_sender(rules: DataFrame, status: str) -> DataFrame:
     """The rules of each sender key, oldest first."""
-    order = F.struct("created_at", "id", "regex", "places", "direction", "channel", "txn_status")
+    order = F.struct("created_at", "id", "regex", "groups", "direction", "channel", "txn_status")
     return rules.where(F.col("status") == status).groupBy("sender_key").agg(F.array_sort(F.collect_list(order)).alias("rules"))
 
 
 def extraction(rule, text):
-    """What a rule takes from a text; null if it doesn't match or the text is too long."""
-    def group(name: str):
-        place = F.get(rule["places"], F.lit(GROUPS.index(name)))
-        return F.when(place > 0, F.nullif(F.trim(F.call_function("regexp_extract", text, rule["regex"], place)), F.lit("")))
-
-    days = group("days")
-    out = F.struct(
-        F.lit(True).alias("is_transaction"), group("amount").alias("amount"), rule["direction"].alias("direction"), rule["channel"].alias("channel"), rule["txn_status"].alias("status"),
-        F.coalesce(group("merchant"), group("vpa")).alias("merchant_raw"), group("vpa").alias("counterparty_vpa"), group("ref").alias("reference_id"),
-        group("acct").alias("account_hint"), group("bal").alias("balance_after"), F.when(days.rlike("^[0-9]{1,9}$"), days.cast("int")).alias("promised_refund_days"),
-    )
-    return F.when((F.length(text) <= MAX_TEXT) & F.call_function("rlike", text, rule["regex"]), out)
+    """What a rule takes from a text; null if it doesn't match or the text is too long.
+
+    One replacement of the whole text by the rule's groups, a mark before each, so that a regex runs once a text.
+    """
+
+    def fields(groups):
+        group = {g: F.nullif(F.trim(F.get(groups, F.lit(i + 1))), F.lit("")) for i, g in enumerate(GROUPS)}
+        out = F.struct(
+            F.lit(True).alias("is_transaction"), group["amount"].alias("amount"), rule["direction"].alias("direction"), rule["channel"].alias("channel"), rule["txn_status"].alias("status"),
+            F.coalesce(group["merchant"], group["vpa"]).alias("merchant_raw"), group["vpa"].alias("counterparty_vpa"), group["ref"].alias("reference_id"),
+            group["acct"].alias("account_hint"), group["bal"].alias("balance_after"), F.when(group["days"].rlike("^[0-9]{1,9}$"), group["days"].cast("int")).alias("promised_refund_days"),
+        )
+        return F.when(F.size(groups) == len(GROUPS) + 1, out)
+
+    taken = F.call_function("regexp_replace", F.replace(text, F.lit(MARK), F.lit(" ")), rule["regex"], rule["groups"])
+    return F.when(F.length(text) <= MAX_TEXT, once(F.split(taken, MARK), fields))
 
 
 def tried(messages: DataFrame, rules: DataFrame, status: str = "ACTIVE") -> DataFrame:
