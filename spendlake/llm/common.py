@@ -1,6 +1,7 @@
 """Helpers that the operators of this subpackage share."""
 
 import tempfile
+import uuid
 
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here and lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes df as Parquet to the shared folder and reads it back: lineage ends here and lost executors cost no recomputation. Columns of numbers take a fraction of what they take in a checkpoint."""
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
