@@ -7,6 +7,8 @@ count of two sketches' XOR estimates how much two sets differ) sorts out pairs t
 threshold; the others are confirmed on full sets. Links found this way make up components. Members of a
 bucket that ended up outside its leader's component are then held against the bucket's other members, in
 blocks of bounded size which only links leave.
+
+Joins of tables that grow with the corpus are asked to be merge joins, so that a plan is the same at every size.
 """
 
 import math
@@ -115,8 +117,8 @@ def bits_apart(a, b):
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold. A doc_id in several rows counts by each of its sets."""
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = shingle_sets(docs.join(wanted, "doc_id", "left_semi"))
-    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), "a")
+    sets = shingle_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi"))
+    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")).hint("merge"), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")).hint("merge"), "a")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     return both.where(100 * shared >= percent * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b").distinct()
 
@@ -157,8 +159,8 @@ def links_within(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     Both sides of a bucket are dealt into blocks of about BLOCK_SHINGLES shingles, which meet block by block;
     only links leave a block.
     """
-    sets = shingle_sets(docs.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")).select(F.col("doc_id").cast("long").alias("doc_id"), "shingles")
-    full = cut(rows.join(sets.distinct(), "doc_id"))
+    sets = shingle_sets(docs.join(rows.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")).select(F.col("doc_id").cast("long").alias("doc_id"), "shingles")
+    full = cut(rows.join(sets.distinct().hint("merge"), "doc_id"))
     bucket = ["band", "bucket"]
     weight = F.size("shingles") + 256
     blocks = lambda total: F.greatest(F.lit(1), F.ceil(F.coalesce(total, F.lit(0)) / BLOCK_SHINGLES)).cast("int")
@@ -198,15 +200,15 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     seen = cut(signatures(docs, percent))
     full = seen.where("n_shingles > 0 AND doc_id IS NOT NULL")
     firsts = cut(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("first")))
-    rep = full.join(firsts, ["d1", "d2"]).where("doc_id = first").dropDuplicates(["doc_id", "d1", "d2"])
+    rep = full.join(firsts.hint("merge"), ["d1", "d2"]).where("doc_id = first").dropDuplicates(["doc_id", "d1", "d2"])
     bucketed = cut(rep.select("doc_id", F.posexplode("bands").alias("band", "bucket")))
     leaders = bucketed.groupBy("band", "bucket").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    crowded = cut(bucketed.join(leaders, ["band", "bucket"]))
+    crowded = cut(bucketed.join(leaders.hint("merge"), ["band", "bucket"]))
     sketches = rep.select("doc_id", "sketch")
 
     def plausible(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a")
-        two = one.join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
+        one = pairs.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")).hint("merge"), "a")
+        two = one.join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")).hint("merge"), "b")
         return two.where(bits_apart(F.col("sa"), F.col("sb")) <= limit).select("a", "b").distinct()
 
     limit = most_bits(percent, bands_for(percent) * ROWS)
@@ -214,9 +216,9 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     links = cut(confirmed(cut(plausible(star)), docs, percent))
     first_labels = components(links)
 
-    labelled = crowded.join(first_labels, "doc_id", "left").select("band", "bucket", "a", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    labelled = crowded.join(first_labels.hint("merge"), "doc_id", "left").select("band", "bucket", "a", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     lead = labelled.where("doc_id = a").select("band", "bucket", F.col("component").alias("lead"))
-    placed = labelled.where("doc_id <> a").join(lead, ["band", "bucket"])
+    placed = labelled.where("doc_id <> a").join(lead.hint("merge"), ["band", "bucket"])
     torn = placed.where("component <> lead").select("band", "bucket").distinct()
     others = cut(placed.join(torn, ["band", "bucket"], "left_semi").select("band", "bucket", "doc_id", "component", (F.col("component") != F.col("lead")).alias("minor")))
     more = cut(links_within(others, docs, percent))
