@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from spendlake.llm.common import cut
 
-#: Tables, and probed buckets of each; with 64 random-like dimensions a query meets about 0.45 of the rows and finds 0.95 of its 10 nearest.
-TABLES = 4
-PROBES = 20
+#: Tables, and probed buckets of each. In 64 random-like dimensions nothing is much nearer than the rest: the probes of
+#: all tables together meet 0.9 of the rows to find 0.92 (of 500 rows) to 0.99 (of 50,000) of the 10 nearest. Vectors
+#: that lie in clusters need far fewer.
+TABLES = 5
+PROBES = 24
 #: Vectors and queries of a block, and of a distance matrix within it.
 BLOCK_VECTORS = 8192
 BLOCK_QUERIES = 2048
