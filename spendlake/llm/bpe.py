@@ -21,6 +21,10 @@ from pyspark.sql import types as T
 from spendlake.llm.common import chunks
 from spendlake.llm.words import TEXT_BYTES, WordEncoder
 
+#: Ids decoded at once.
+DECODED_IDS = 1 << 18
+
+
 class Vocabulary:
     """Ranks of a vocabulary file (base64 token, rank), the pattern that splits texts into words, and memories of bounded size."""
 
@@ -31,6 +35,7 @@ class Vocabulary:
         self.single = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)])
         self.pairs: dict[int, int] = {}
         self._byte_pairs: np.ndarray | None = None
+        self._token_bytes: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         self.texts = WordEncoder(regex.compile(pattern).findall, self.learn)
 
     def byte_pairs(self) -> np.ndarray:
@@ -46,6 +51,18 @@ class Vocabulary:
         rank = self.pairs[a << 32 | b] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
         return rank
 
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        """The bytes of the tokens of ids, one after another."""
+        if self._token_bytes is None:
+            size = max(self.tokens, default=-1) + 1
+            each = [self.tokens.get(i, b"") for i in range(size)]
+            lengths = np.fromiter(map(len, each), np.int64, size)
+            self._token_bytes = np.frombuffer(b"".join(each), np.uint8), np.cumsum(lengths) - lengths, lengths
+        flat, starts, lengths = self._token_bytes
+        sizes = lengths[ids]
+        ends = np.cumsum(sizes)
+        return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[ids] - ends + sizes, sizes)].tobytes()
+
     def learn(self, words: list[str]) -> list[bytes]:
         return replay([w.encode() for w in words], self)
 
@@ -178,12 +195,14 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType(), False)])
 
     def run(batches):
-        tokens = vocabulary(path, pattern).tokens.__getitem__
+        vocab = vocabulary(path, pattern)
         for batch in batches:
             ids = batch.column("ids")
-            offsets, values = ids.offsets.to_pylist(), ids.values.to_numpy()
-            out = pa.array([b"".join(map(tokens, values[a:b].tolist())) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=names)
+            offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy()
+            out = []
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                out.append(b"".join([vocab.bytes_of(values[x : min(b, x + DECODED_IDS)]) for x in range(a, b, DECODED_IDS)]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=names)
 
     return encoded.mapInArrow(run, schema)
 
