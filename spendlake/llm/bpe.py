@@ -46,7 +46,7 @@ class Vocabulary:
 
     def pair_rank(self, a: int, b: int) -> int:
         """Rank of the token that tokens a and b make up together, or -1."""
-        if len(self.pairs) > 400_000:
+        if len(self.pairs) > 150_000:
             self.pairs.clear()
         rank = self.pairs[a << 32 | b] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
         return rank

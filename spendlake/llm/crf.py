@@ -36,7 +36,7 @@ ROUNDS = 80
 FLOOR = 0.2
 FOLDS, HELD_OUT_FOLD = 4, 2
 #: Words whose emission a worker remembers.
-BOUND = 300_000
+BOUND = 150_000
 
 TOKEN = regex.compile(r"\w+")
 LINES = regex.compile(r"[^\n]+")
