@@ -1,8 +1,9 @@
 """Removal of boilerplate lines by their spread over sites.
 
 One pass gives a HyperLogLog sketch of the sites of each line (by a 128-bit hash) and its first place; sketches
-merge in map-side and final aggregation. Lines whose estimate is near the threshold get an exact distinct
-count. Of a line on many sites, the first place stays and the others go.
+merge in map-side and final aggregation. Every non-blank line counts, and how many sites make it boilerplate
+depends on its length. Lines whose estimate is near their threshold get an exact distinct count. Of a line on
+many sites, the first place stays and the others go.
 """
 
 from pyspark.sql import DataFrame
@@ -21,25 +22,33 @@ def line_key(line) -> list:
     return [k.alias(n) for k, n in zip(digest128(F.trim(line)), ("h1", "h2"), strict=True)]
 
 
-def long_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, at, h1, h2 and site of each line that is long enough."""
+def least_sites(line):
+    """Sites from which on a non-blank line is boilerplate: MIN_SITES, and one more for each character it has under MIN_CHARS."""
+    return F.when(line.rlike(r"\S"), MIN_SITES + F.greatest(F.lit(0), MIN_CHARS - F.length(F.trim(line))))
+
+
+def spread_lines(docs: DataFrame, min_sites: int | None, min_chars: int | None) -> DataFrame:
+    """doc_id, at, h1, h2, site and least (sites to be boilerplate) of each line that counts."""
     lines = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("site"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return lines.where(F.length(F.trim("line")) >= min_chars).select("doc_id", "site", "at", *line_key(F.col("line")))
+    line = F.col("line")
+    own = min_sites is not None or min_chars is not None
+    least = F.when(F.length(F.trim(line)) >= (MIN_CHARS if min_chars is None else min_chars), MIN_SITES if min_sites is None else min_sites) if own else least_sites(line)
+    return lines.withColumn("least", least.cast("int")).where("least IS NOT NULL").select("doc_id", "site", "at", "least", *line_key(line))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h1, h2 and first place (doc_id, at) of each line of at least min_chars characters that stands on min_sites sites or more."""
-    lines = long_lines(docs, min_chars)
-    sketched = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", LG_K).alias("sites"), F.min(F.struct("doc_id", "at")).alias("first"))
-    margin = max(1, round(4 * ERROR * min_sites))
-    spread = cut(sketched.select("h1", "h2", "first", F.hll_sketch_estimate("sites").alias("about")).where(F.col("about") >= min_sites - margin))
-    near = spread.where(F.col("about") <= min_sites + margin)
-    exact = lines.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").select("h1", "h2", "site").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
-    counted = near.join(exact.where(F.col("n") >= min_sites), ["h1", "h2"], "left_semi")
-    return spread.where(F.col("about") > min_sites + margin).union(counted).select("h1", "h2", "first")
+def boilerplate(docs: DataFrame, min_sites: int | None = None, min_chars: int | None = None) -> DataFrame:
+    """h1, h2 and first place (doc_id, at) of each line that stands on least_sites() sites or more; with min_sites or min_chars, of each of at least min_chars characters on min_sites sites or more."""
+    lines = spread_lines(docs, min_sites, min_chars)
+    sketched = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", LG_K).alias("sites"), F.min(F.struct("doc_id", "at")).alias("first"), F.max("least").alias("least"))
+    margin = F.greatest(F.lit(1), F.round(4 * ERROR * F.col("least")))
+    spread = cut(sketched.select("h1", "h2", "first", "least", F.hll_sketch_estimate("sites").alias("about")).where(F.col("about") >= F.col("least") - margin))
+    near = spread.where(F.col("about") <= F.col("least") + margin)
+    exact = lines.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").select("h1", "h2", "least", "site").distinct().groupBy("h1", "h2", "least").agg(F.count(F.lit(1)).alias("n"))
+    counted = near.join(exact.where(F.col("n") >= F.col("least")), ["h1", "h2"], "left_semi")
+    return spread.where(F.col("about") > F.col("least") + margin).union(counted).select("h1", "h2", "first")
 
 
-def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_boilerplate(docs: DataFrame, min_sites: int | None = None, min_chars: int | None = None) -> DataFrame:
     """docs with boilerplate lines taken out of text, and columns n_lines and n_removed.
 
     A line counts without spaces around it. Its first place, by doc_id (null first) and line number, stays,
@@ -47,7 +56,7 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars:
     (the empty one). Null texts stay null, with no lines; other columns, names of any kind and row counts stay.
     """
     found = cut(boilerplate(docs, min_sites, min_chars))
-    places = long_lines(docs, min_chars).join(found, ["h1", "h2"])
+    places = spread_lines(docs, min_sites, min_chars).join(found, ["h1", "h2"])
     elsewhere = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at")))
     drops = places.where(elsewhere).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("at", "h1", "h2")).alias("__drops"))
     joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["__id"]), "left")
@@ -65,7 +74,7 @@ def summary(cleaned: DataFrame) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-def clean(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
+def clean(docs: DataFrame, min_sites: int | None = None, min_chars: int | None = None) -> DataFrame:
     """docs without boilerplate lines; documents that consisted of them go, as their lines stay elsewhere."""
     cleaned = without_boilerplate(docs, min_sites, min_chars)
     return cleaned.where((F.col("n_removed") == 0) | (F.length(F.regexp_replace("text", "\\s", "")) > 0)).select(docs.columns)

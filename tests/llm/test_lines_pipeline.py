@@ -47,6 +47,17 @@ def test_many_sites_need_no_exact_count(spark):
     assert sorted(r.text.count("same line") for r in got.collect()) == [0] * 299 + [1]
 
 
+def test_short_lines_by_spread(spark):
+    """A line of n characters under 20 goes from 3 + 20 - n sites on; blank lines stay."""
+    short = {n: "abcdefghij klmnopqrs"[:n] for n in (1, 4, 14, 19)}
+    for n, line in short.items():
+        for sites, gone in ((2 + 20 - n, False), (3 + 20 - n, True)):
+            rows = [(i, f"{line}\n\n \t\nown line {i} of this document alone", f"s{i}") for i in range(sites)]
+            got = line_spread.without_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+            assert sorted((r.doc_id, r.n_removed) for r in got) == [(i, int(gone and i > 0)) for i in range(sites)], (n, sites)
+            assert all("\n \t\n" in r.text for r in got)
+
+
 @pytest.fixture
 def folder(spark, tmp_path):
     draw = random.Random(12)
