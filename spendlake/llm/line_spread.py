@@ -16,6 +16,8 @@ LG_K = 12
 ERROR = 1.04 / (1 << LG_K) ** 0.5
 MIN_SITES = 3
 MIN_CHARS = 20
+#: Lines of so many words don't repeat by chance.
+LONG_WORDS, LONG_SITES = 50, 2
 
 
 def line_key(line) -> list:
@@ -23,8 +25,9 @@ def line_key(line) -> list:
 
 
 def least_sites(line):
-    """Sites from which on a non-blank line is boilerplate: MIN_SITES, and one more for each character it has under MIN_CHARS."""
-    return F.when(line.rlike(r"\S"), MIN_SITES + F.greatest(F.lit(0), MIN_CHARS - F.length(F.trim(line))))
+    """Sites from which on a non-blank line is boilerplate: LONG_SITES if it has LONG_WORDS words, else MIN_SITES, and one more for each character it has under MIN_CHARS."""
+    long = (F.length(line) >= 2 * LONG_WORDS - 1) & (F.size(F.split(F.regexp_replace(line, r"^\s+|\s+$", ""), r"\s+")) >= LONG_WORDS)
+    return F.when(line.rlike(r"\S"), F.when(long, LONG_SITES).otherwise(MIN_SITES + F.greatest(F.lit(0), MIN_CHARS - F.length(F.trim(line)))))
 
 
 def spread_lines(docs: DataFrame, min_sites: int | None, min_chars: int | None) -> DataFrame:

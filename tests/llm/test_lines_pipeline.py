@@ -58,6 +58,14 @@ def test_short_lines_by_spread(spark):
             assert all("\n \t\n" in r.text for r in got)
 
 
+def test_long_lines_on_two_sites(spark):
+    """A line of 50 words goes from two sites on, one of 49 words from three; repeats within one site stay."""
+    words = lambda n, mark: "\t".join([mark] * n)
+    rows = [(1, words(50, "aa"), "s1"), (2, words(50, "aa"), "s2"), (3, words(49, "bb"), "s1"), (4, " " + words(49, "bb") + " \t", "s2"), (5, words(60, "cc"), "s1"), (6, words(60, "cc"), "s1"), (7, words(49, "dd"), "s1"), (8, words(49, "dd"), "s2"), (9, words(49, "dd"), "s3")]
+    got = line_spread.without_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {r.doc_id for r in got.collect() if r.n_removed} == {2, 8, 9}
+
+
 @pytest.fixture
 def folder(spark, tmp_path):
     draw = random.Random(12)
