@@ -47,7 +47,7 @@ QUERIES = {
     "iso_week_key": lambda s, d: t.table(s, d, "orders").select("o_orderkey", times.iso_week_key(F.col("o_orderdate").cast("timestamp_ntz")).alias("week")),
     "quiet_hours": lambda s, d: t.transactions(s, d).select("id", times.in_quiet_hours(F.col("txn_time"), F.lit(1380), F.lit(480)).alias("night"), times.in_quiet_hours(F.col("txn_time"), F.lit(780), F.lit(840)).alias("noon")),
     "recency_decay": lambda s, d: t.transactions(s, d).select("id", F.round(times.recency(F.col("k") - 10), 9).alias("recency")),
-    "content_filter": lambda s, d: t.table(s, d, "conversations").select("conv_id", "turn", text.blocked_reason(F.concat_ws(" ", F.substring("text", 1, 500), t.pick(["", "your mom", "ugly", "Caste!", "ok"], F.col("conv_id") % 5))).alias("reason")),
+    "content_filter": lambda s, d: t.table(s, d, "conversations").select("conv_id", "turn", text.blocked_reason(F.concat_ws(" ", "text", t.pick(["", "your mom", "ugly", "Caste!", "ok"], F.col("conv_id") % 5))).alias("reason")),
     "scrub_digits": lambda s, d: t.messages(s, d).select("event_id", text.scrub_digits(F.concat(F.lit("9"), F.regexp_replace("text", " ", ""), F.lit("12345678901234"))).alias("text")),
     "cash_entry_parse": lambda s, d: cash_lines(s, d).select("id", cash.parse_cash_line(F.col("line")).alias("e")).select("id", "e.entry_type", "e.amount_paise", "e.note", "e.category"),
     "sender_match": lambda s, d: t.messages(s, d).where((F.upper("sender") == "HDFCBK") | F.col("sender").endswith("-HDFCBK") | (F.col("source_app") == "HDFCBK")).select("event_id", "sender"),
