@@ -1,0 +1,25 @@
+"""Queries over whole tables: the SQL twins, with their subset of rows lifted here."""
+
+import os
+from pathlib import Path
+
+import pytest
+
+duckdb = pytest.importorskip("duckdb")
+from spendlake.plans import registry  # noqa: E402
+from tests.test_queries import TABLES, comparable  # noqa: E402
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="the test tables are not here")
+SUBSET = {"recurring_items": " AND k < 30", "recurring_explained": " AND k < 30", "scheduled_flow": " AND k < 30"}
+
+
+@pytest.mark.parametrize("name", sorted(SUBSET))
+def test_all_rows(spark, name):
+    con = duckdb.connect()
+    for f in Path(TABLES).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM read_parquet('{f}')")
+    result = con.execute(registry.ORACLE_SQL[name].replace(SUBSET[name], ""))
+    names = [c[0] for c in result.description]
+    df = registry.QUERIES[name](spark, TABLES)
+    rows = [tuple(r) for r in df.collect()]
+    assert rows and comparable(rows, df.columns) == comparable(result.fetchall(), names)
