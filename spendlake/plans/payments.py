@@ -16,8 +16,8 @@ START, END = datetime(2024, 1, 8), datetime(2024, 1, 22)
 
 
 def fake_forecasts(spark, sf_dir):
-    """A forecast for every twentieth payment, the broke date by `k`."""
-    rows = t.transactions(spark, sf_dir).where("seq % 20 = 0")
+    """A forecast for every payment, the broke date by `k`."""
+    rows = t.transactions(spark, sf_dir)
     return rows.select(F.concat(F.lit("f_"), "seq").alias("id"), "user_id", F.col("txn_time").alias("computed_at"), F.expr("date_add(cast(txn_time as date), cast(k % 45 as int))").alias("broke_p50"))
 
 

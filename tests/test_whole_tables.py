@@ -10,7 +10,7 @@ from spendlake.plans import registry  # noqa: E402
 from tests.test_queries import TABLES, comparable  # noqa: E402
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="the test tables are not here")
-SUBSET = {"recurring_items": " AND k < 30", "recurring_explained": " AND k < 30", "scheduled_flow": " AND k < 30"}
+SUBSET = {"recurring_items": " AND k < 30", "recurring_explained": " AND k < 30", "scheduled_flow": " AND k < 30", "latest_forecast_row": " WHERE seq % 20 = 0", "forecast_moved": " WHERE seq % 20 = 0"}
 
 
 @pytest.mark.parametrize("name", sorted(SUBSET))
