@@ -62,7 +62,7 @@ def top_categories(txns: DataFrame, n: int = 5) -> DataFrame:
 
 
 def essential_split(txns: DataFrame) -> DataFrame:
-    return txns.where(is_spend()).groupBy("category", is_essential(F.col("category")).alias("essential")).agg(F.sum("amount_paise").alias("total_paise"), F.count(F.lit(1)).alias("n"))
+    return txns.where(is_spend()).groupBy("user_id", "category", is_essential(F.col("category")).alias("essential")).agg(F.sum("amount_paise").alias("total_paise"), F.count(F.lit(1)).alias("n"))
 
 
 def recent(txns: DataFrame, n: int = 20, category: str | None = None) -> DataFrame:
@@ -81,9 +81,31 @@ def page(txns: DataFrame, limit: int, before: tuple | None = None) -> DataFrame:
     return rows.orderBy(F.desc("txn_time"), F.desc("id")).limit(limit + 1)
 
 
+def user_pages(txns: DataFrame, limit: int, cursors: DataFrame | None = None) -> DataFrame:
+    """A page of each user's payments, newest first: the limit and one row more, after the user's cursor (user_id, cursor) if there is one. A cursor that can't be read starts anew."""
+    rows = txns
+    if cursors is not None:
+        ends = cursors.select("user_id", decoded(F.col("cursor")).alias("__end"))
+        after = (F.col("txn_time") < F.col("__end.txn_time")) | ((F.col("txn_time") == F.col("__end.txn_time")) & (F.col("id") < F.col("__end.id")))
+        rows = txns.join(ends, "user_id", "left").where(F.col("__end.id").isNull() | after).drop("__end")
+    order = Window.partitionBy("user_id").orderBy(F.desc("txn_time"), F.desc("id"))
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit + 1)
+
+
+TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
 def cursor(txn_time: Column, row_id: Column) -> Column:
-    """URL-safe base64 of where a page ended."""
-    return F.translate(F.base64(F.encode(F.concat_ws("|", txn_time.cast("string"), row_id), "UTF-8")), "+/", "-_")
+    """URL-safe base64 of where a page ended: time in microseconds and id."""
+    return F.translate(F.base64(F.encode(F.concat_ws("|", F.date_format(txn_time, TIME_FORMAT), row_id), "UTF-8")), "+/", "-_")
+
+
+def decoded(text: Column) -> Column:
+    """Struct of txn_time and id that a cursor stands for; null if it is none."""
+    plain = F.decode(F.try_to_binary(F.translate(text, "-_", "+/"), F.lit("base64")), "UTF-8")
+    at = F.to_timestamp_ntz(F.substring_index(plain, "|", 1), F.lit(TIME_FORMAT))
+    known = plain.rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d{6}\|.")
+    return F.when(known, F.struct(at.alias("txn_time"), F.substr(plain, F.instr(plain, "|") + 1).alias("id")))
 
 
 def clean_payload(txns: DataFrame, sources: DataFrame, merchants: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def fake_forecasts(spark, sf_dir):
     return rows.select(F.concat(F.lit("f_"), "seq").alias("id"), "user_id", F.col("txn_time").alias("computed_at"), F.expr("date_add(cast(txn_time as date), cast(k % 45 as int))").alias("broke_p50"))
 
 
-FORECAST_SQL = "fc AS (SELECT 'f_' || seq AS id, user_id, txn_time AS computed_at, CAST(txn_time AS DATE) + CAST(k % 45 AS INTEGER) AS broke_p50 FROM txn WHERE seq % 20 = 0)"
+FORECAST_SQL = "fc AS (SELECT 'f_' || seq AS id, user_id, txn_time AS computed_at, CAST(txn_time AS DATE) + CAST(k % 45 AS INTEGER) AS broke_p50 FROM txn)"
 
 QUERIES = {
     "spend_total": lambda s, d: spending.spend_total(t.transactions(s, d), F.lit(START).cast("timestamp_ntz"), F.lit(END).cast("timestamp_ntz")),
@@ -33,7 +33,9 @@ QUERIES = {
     "top_categories": lambda s, d: spending.top_categories(t.transactions(s, d)),
     "essential_split": lambda s, d: spending.essential_split(t.transactions(s, d)),
     "recent_transactions": lambda s, d: spending.recent(t.transactions(s, d), 20).drop("k"),
-    "txn_page_keyset": lambda s, d: spending.page(t.transactions(s, d), 50, (F.lit(END).cast("timestamp_ntz"), F.lit("t_5"))).select("id", "user_id", "txn_time", spending.cursor(F.col("user_id"), F.col("id")).alias("cursor")),
+    "txn_page_keyset": lambda s, d: spending.page(t.transactions(s, d), 50, (F.lit(END).cast("timestamp_ntz"), F.lit("t_5"))).select("id", "user_id", "txn_time", spending.cursor(F.col("txn_time"), F.col("id")).alias("cursor")),
+    "txn_cursor_decode": lambda s, d: t.transactions(s, d).select("id", spending.cursor(F.col("txn_time"), F.col("id")).alias("cursor")).select("id", spending.decoded(F.col("cursor")).alias("at")).select("id", "at.txn_time", F.col("at.id").alias("row_id")),
+    "user_page": lambda s, d: spending.user_pages(t.transactions(s, d), 10, t.transactions(s, d).groupBy("user_id").agg(F.max("txn_time").alias("txn_time")).select("user_id", spending.cursor(F.col("txn_time"), F.lit("t_5")).alias("cursor"))).select("id", "user_id", "txn_time", "place"),
     "clean_payload": lambda s, d: spending.clean_payload(
         t.transactions(s, d).select("id", "user_id", "amount_paise", (F.col("seq") % 40 + 1).alias("merchant_id")),
         t.transactions(s, d).where("seq % 3 > 0").select(F.col("id").alias("transaction_id"), F.explode(F.expr("transform(sequence(1L, seq % 3), i -> concat('e', seq % 7 + i))")).alias("raw_event_id")),
@@ -79,9 +81,14 @@ ORACLE_SQL = {
           SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY total_paise DESC, category) AS place FROM (SELECT user_id, category, CAST(sum(amount_paise) AS BIGINT) AS total_paise FROM txn WHERE {SPEND} GROUP BY ALL) QUALIFY place <= 5)
         JOIN (SELECT user_id, count(DISTINCT {DAY}) AS days FROM txn WHERE {SPEND} GROUP BY ALL) USING (user_id)"""
     ),
-    "essential_split": with_txn(f"SELECT category, category IN ('GROCERIES', 'TRANSPORT', 'BILLS_UTILITIES', 'RENT', 'HEALTH', 'EDUCATION') AS essential, CAST(sum(amount_paise) AS BIGINT) AS total_paise, count(*) AS n FROM txn WHERE {SPEND} GROUP BY ALL"),
+    "essential_split": with_txn(f"SELECT user_id, category, category IN ('GROCERIES', 'TRANSPORT', 'BILLS_UTILITIES', 'RENT', 'HEALTH', 'EDUCATION') AS essential, CAST(sum(amount_paise) AS BIGINT) AS total_paise, count(*) AS n FROM txn WHERE {SPEND} GROUP BY ALL"),
     "recent_transactions": with_txn("SELECT * EXCLUDE (k), row_number() OVER (PARTITION BY user_id ORDER BY txn_time DESC, id DESC) AS place FROM txn QUALIFY place <= 20"),
-    "txn_page_keyset": with_txn("SELECT id, user_id, txn_time, replace(replace(base64(encode(user_id || '|' || id)), '+', '-'), '/', '_') AS cursor FROM txn WHERE (txn_time, id) < (TIMESTAMP '2024-01-22', 't_5') ORDER BY txn_time DESC, id DESC LIMIT 51"),
+    "txn_page_keyset": with_txn("SELECT id, user_id, txn_time, replace(replace(base64(encode(strftime(txn_time, '%Y-%m-%d %H:%M:%S.%f') || '|' || id)), '+', '-'), '/', '_') AS cursor FROM txn WHERE (txn_time, id) < (TIMESTAMP '2024-01-22', 't_5') ORDER BY txn_time DESC, id DESC LIMIT 51"),
+    "txn_cursor_decode": with_txn("SELECT id, txn_time, id AS row_id FROM txn"),
+    "user_page": with_txn(
+        """SELECT id, user_id, txn_time, row_number() OVER (PARTITION BY user_id ORDER BY txn_time DESC, id DESC) AS place FROM txn JOIN (SELECT user_id, max(txn_time) AS last FROM txn GROUP BY ALL) USING (user_id)
+        WHERE (txn_time, id) < (last, 't_5') QUALIFY place <= 11"""
+    ),
     "clean_payload": with_txn(
         """SELECT seq % 40 + 1 AS merchant_id, id, user_id, amount_paise, CASE seq % 3 WHEN 1 THEN 'e' || (seq % 7 + 1) WHEN 2 THEN 'e' || (seq % 7 + 1) || ',e' || (seq % 7 + 2) END AS source_ids, s_name AS merchant_name
         FROM txn LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey <= 30) ON s_suppkey = seq % 40 + 1"""
