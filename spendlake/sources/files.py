@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Schemas of labelled examples and of topic messages, and the topics.
 EXAMPLE = "eventId string, sender string, sourceApp string, text string, source string, reviewed boolean, template string, label struct<isTransaction: boolean, amount: string, direction: string, channel: string, status: string, merchantRaw: string, counterpartyVpa: string, referenceId: string, accountHint: string, balanceAfter: string, promisedRefundDays: int>"
 ENVELOPE = "eventId string, userId string, type string, schemaVersion int, occurredAt timestamp, producedAt timestamp, producer string, causationId string, payload string"
 RAW_PAYLOAD = "sourceApp string, sender string, title string, text string, postedAt timestamp, deviceParse struct<modelVersion: string, result: struct<amountPaise: bigint, direction: string, channel: string, status: string, merchantRaw: string, referenceId: string>, latencyMs: int>"
