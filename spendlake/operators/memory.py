@@ -17,17 +17,33 @@ SAME = 0.9
 WORD = regex.compile(r"[\w₹]+")
 
 
-def vector(text: str, width: int = WIDTH) -> np.ndarray:
-    """Signed counts of words, word pairs and four-character runs, dealt to places by hash, of length 1."""
-    words = WORD.findall(text.lower())
-    line = " ".join(words)
-    features = [*words, *map(" ".join, zip(words, words[1:], strict=False)), *(line[i : i + 4] for i in range(len(line) - 3))]
-    out = np.zeros(width)
-    for f in features:
-        h = hashlib.blake2b(f.encode(), digest_size=8).digest()
-        out[int.from_bytes(h[:4], "big") % width] += 1.0 if h[4] & 1 else -1.0
-    size = np.linalg.norm(out)
-    return out / size if size else out
+def vectors(texts: list[str], width: int = WIDTH) -> np.ndarray:
+    """A row of length 1 for each text (0 for texts without words).
+
+    Fixed values: the features are words, pairs of words and runs of four characters of the words joined by
+    spaces; a feature's BLAKE2b digest of eight bytes gives its place (first four bytes, big-endian, modulo the
+    width) and its sign (lowest bit of the fifth byte). Features are told apart over all texts first, so that
+    each is hashed once, and a sparse count gives the rows.
+    """
+    numbers: dict[str, int] = {}
+    owner, feature = [], []
+    for row, text in enumerate(texts):
+        words = WORD.findall(text.lower())
+        line = " ".join(words)
+        own = words + [f"{words[i]} {words[i + 1]}" for i in range(len(words) - 1)] + [line[i : i + 4] for i in range(len(line) - 3)]
+        owner.append(np.full(len(own), row))
+        feature.append(np.fromiter((numbers.setdefault(f, len(numbers)) for f in own), np.int64, len(own)))
+    digests = np.frombuffer(b"".join(hashlib.blake2b(f.encode(), digest_size=8).digest() for f in numbers), np.uint8).reshape(-1, 8)
+    place = np.ascontiguousarray(digests[:, :4]).view(">u4").ravel().astype(np.int64) % width
+    sign = np.where(digests[:, 4] & 1, 1.0, -1.0)
+    rows, which = np.concatenate([np.zeros(0, np.int64), *owner]), np.concatenate([np.zeros(0, np.int64), *feature])
+    sums = np.bincount(rows * width + place[which], weights=sign[which], minlength=len(texts) * width).reshape(len(texts), width)
+    sizes = np.linalg.norm(sums, axis=1, keepdims=True)
+    return np.divide(sums, sizes, out=np.zeros_like(sums), where=sizes > 0)
+
+
+#: Texts that are embedded at once.
+TEXTS = 256
 
 
 def embed(texts):
@@ -36,7 +52,13 @@ def embed(texts):
     @F.pandas_udf("array<double>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield part.map(lambda t: None if t is None else vector(t))
+            out = pd.Series([None] * len(part), index=part.index, dtype=object)
+            known = np.flatnonzero(part.notna())
+            for a in range(0, len(known), TEXTS):
+                at = known[a : a + TEXTS]
+                for i, v in zip(at, vectors(part.iloc[at].tolist()), strict=True):
+                    out.iloc[i] = v
+            yield out
 
     return run(texts)
 

@@ -87,13 +87,13 @@ def inputs_to_merge(s, d):
 
 
 def memories(s, d):
-    """Embeddings as memories: of a user for each of seven groups of rows."""
+    """Embeddings as memories: a user for every fifty rows, which is what a user keeps."""
     e = t.table(s, d, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 7).alias("user_id"), F.col("label").cast("string").alias("kind"), "embedding", (F.col("vec_id") % 10 / 10.0).alias("confidence"), F.date_sub(today(), (F.col("vec_id") % 200).cast("int")).alias("last_used_at"), F.when(F.col("vec_id") % 9 == 0, "FORGOTTEN").otherwise("ACTIVE").alias("status"))
+    return e.select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / memory.KEPT).alias("user_id"), F.col("label").cast("string").alias("kind"), "embedding", (F.col("vec_id") % 10 / 10.0).alias("confidence"), F.date_sub(today(), (F.col("vec_id") % 200).cast("int")).alias("last_used_at"), F.when(F.col("vec_id") % 9 == 0, "FORGOTTEN").otherwise("ACTIVE").alias("status"))
 
 
 def memory_queries(s, d):
-    return t.table(s, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), (F.col("vec_id") % 7).alias("user_id"), "embedding")
+    return t.table(s, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.floor(F.col("vec_id") / memory.KEPT).alias("user_id"), "embedding")
 
 
 def streamed_days(s, d):
@@ -130,12 +130,12 @@ QUERIES = {
     "latency_p95": lambda s, d: datasets.nearest_rank(t.transactions(s, d), "amount_paise", 0.95, ["user_id"]),
     "memory_search": lambda s, d: memory.search(memories(s, d), memory_queries(s, d), today()),
     "memory_forget": lambda s, d: memory.forget(memories(s, d), today()).select("id", "status"),
-    "memory_embed": lambda s, d: t.table(s, d, "conversations").select("conv_id", "turn", F.round(memory.cosine(memory.embed(F.col("text")), memory.embed(F.lower("text"))), 6).alias("same")),
+    "memory_embed": lambda s, d: t.table(s, d, "conversations").select("conv_id", "turn", memory.embed(F.col("text")).alias("embedding")),
     "stream_daily_summary": streamed_days,
 }
 
 SPENT = "kind = 'SPEND' AND status = 'SUCCESS'"
-PAST_SQL = """past AS (SELECT user_id, id, merchant_raw || ':' || (k % 2) AS key, CAST(CASE direction WHEN 'CREDIT' THEN 5000 ELSE -1000 - k END AS BIGINT) AS amount_paise, CAST(txn_time + INTERVAL 330 MINUTE AS DATE) AS day, category FROM txn WHERE status = 'SUCCESS' AND k < 30),
+PAST_SQL = """past AS (SELECT user_id, id, merchant_raw || ':' || (k % 2) AS key, CAST(CASE direction WHEN 'CREDIT' THEN 5000 ELSE -1000 - k END AS BIGINT) AS amount_paise, CAST(txn_time + INTERVAL 330 MINUTE AS DATE) AS day, category FROM txn WHERE status = 'SUCCESS'),
 mid AS (SELECT user_id, key, amount_paise > 0 AS income, CAST(trunc(median(amount_paise)) AS BIGINT) AS m FROM past GROUP BY ALL HAVING count(*) >= 2),
 same AS (SELECT p.*, p.amount_paise > 0 AS income, day - lag(day) OVER (PARTITION BY p.user_id, p.key, p.amount_paise > 0 ORDER BY day, id) AS gap FROM past p JOIN mid ON p.user_id = mid.user_id AND p.key = mid.key AND (p.amount_paise > 0) = mid.income WHERE abs(p.amount_paise - m) * 100 <= 10 * abs(m)),
 item AS (SELECT user_id, key, income, CAST(trunc(median(amount_paise)) AS BIGINT) AS amount_paise, max(day) AS last, arg_max(category, (day, id)) AS category,
@@ -147,7 +147,7 @@ METRICS = """count(*) AS n, round(count(*) FILTER (o = 'tp') / count(*) FILTER (
   round(2 * count(*) FILTER (o = 'tp') / (2 * count(*) FILTER (o = 'tp') + count(*) FILTER (o IN ('fp', 'fn'))), 4) AS f1, round(count(*) FILTER (o = 'tp' AND a) / count(*) FILTER (o = 'tp'), 4) AS amount_match,
   1.0::DOUBLE AS direction_match, 1.0::DOUBLE AS status_match, round(count(*) FILTER (o = 'tp' AND m) / count(*) FILTER (o = 'tp'), 4) AS merchant_raw_match, 1.0::DOUBLE AS reference_id_match, round(count(*) FILTER (o = 'tn' OR (o = 'tp' AND a AND m)) / count(*), 4) AS all_match"""
 EXAMPLE_SQL = "example AS (SELECT 'e_' || seq AS event_id, 'T-' || (seq % 8) || '-' || (k % 25) AS template, k % 25 % 2 = 0 AS reviewed, ['rules', 'teacher'][k % 2 + 1] AS source, ['SUCCESS', 'FAILED'][k % 3 % 2 + 1] AS status, ['HDFCBK', 'S', 'ICICIB'][seq % 3 + 1] AS bank FROM txn)"
-MEMORY_SQL = "memory AS (SELECT vec_id AS id, vec_id % 7 AS user_id, embedding, (vec_id % 10) / 10.0 AS confidence, pow(0.5, (vec_id % 200) / 60.0) AS recency, CASE WHEN vec_id % 9 = 0 THEN 'FORGOTTEN' ELSE 'ACTIVE' END AS status FROM embeddings)"
+MEMORY_SQL = "memory AS (SELECT vec_id AS id, vec_id // 50 AS user_id, embedding, (vec_id % 10) / 10.0 AS confidence, pow(0.5, (vec_id % 200) / 60.0) AS recency, CASE WHEN vec_id % 9 = 0 THEN 'FORGOTTEN' ELSE 'ACTIVE' END AS status FROM embeddings)"
 ORACLE_SQL = {
     "bank_balance": with_txn(
         """SELECT user_id, CAST(sum(b + after) AS BIGINT) AS bank_paise, min(t) >= TIMESTAMP '2024-01-25 12:00:00' AS fresh FROM (
@@ -184,7 +184,7 @@ ORACLE_SQL = {
     ),
     "latency_p95": with_txn("SELECT user_id, list_sort(list(amount_paise))[1 + CAST(round_even(0.95 * (count(*) - 1), 0) AS BIGINT)] AS amount_paise_q FROM txn GROUP BY user_id"),
     "memory_search": f"""WITH {MEMORY_SQL},
-      near AS (SELECT q.vec_id AS query_id, m.id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(m.embedding AS DOUBLE[])), 6) AS near, recency, confidence FROM embeddings q JOIN memory m ON q.vec_id % 7 = m.user_id WHERE q.vec_id % 100 = 0 AND status = 'ACTIVE'
+      near AS (SELECT q.vec_id AS query_id, m.id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(m.embedding AS DOUBLE[])), 6) AS near, recency, confidence FROM embeddings q JOIN memory m ON q.vec_id // 50 = m.user_id WHERE q.vec_id % 100 = 0 AND status = 'ACTIVE'
         QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY near DESC, m.id) <= 20)
       SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS place, id, score FROM (SELECT query_id, id, round(near * recency * CAST(confidence AS DOUBLE), 6) AS score FROM near) QUALIFY place <= 10""",
     "memory_forget": f"WITH {MEMORY_SQL} SELECT id, CASE WHEN status = 'ACTIVE' AND row_number() OVER (PARTITION BY user_id, status ORDER BY round(CAST(confidence AS DOUBLE) * recency, 9) DESC, id) > 50 THEN 'FORGOTTEN' ELSE status END AS status FROM memory",

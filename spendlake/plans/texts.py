@@ -92,7 +92,7 @@ ORACLE_SQL = {
     "content_filter": (
         "SELECT conv_id, turn, CASE WHEN NOT regexp_matches(x, '\\S') THEN 'EMPTY' WHEN length(x) > 400 THEN 'TOO_LONG' "
         + " ".join(f"WHEN regexp_matches(x, '(?i)\\b({'|'.join(w)})\\b') THEN '{r}'" for r, w in text.BLOCKED.items())
-        + " END AS reason FROM (SELECT conv_id, turn, concat_ws(' ', substr(text, 1, 500), ['', 'your mom', 'ugly', 'Caste!', 'ok'][conv_id % 5 + 1]) AS x FROM conversations)"
+        + " END AS reason FROM (SELECT conv_id, turn, concat_ws(' ', text, ['', 'your mom', 'ugly', 'Caste!', 'ok'][conv_id % 5 + 1]) AS x FROM conversations)"
     ),
     "scrub_digits": with_txn(
         """SELECT event_id, array_to_string(list_transform(regexp_extract_all('9' || replace(text, ' ', '') || '12345678901234', '(\\d+|[^\\d]+)', 1), lambda r: CASE WHEN regexp_matches(r, '^\\d{13,}$') THEN repeat('X', length(r) - 4) || substr(r, -4) ELSE r END), '') AS text FROM message""",
