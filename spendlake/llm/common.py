@@ -1,14 +1,18 @@
 """Helpers that the operators of this subpackage share."""
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that a Python task works on at once; bounds memory for batches of long texts.
-CHUNK_BYTES = 2 << 20
+#: Text bytes and rows that a Python task works on at once; they bound its memory for batches of long texts and of many short ones.
+CHUNK_BYTES = 1 << 20
+CHUNK_ROWS = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,24 +20,82 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, a temporary one only where it is unset (local runs)."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Where it is unset, a local session gets a temporary one; on a cluster that is an error, as executors don't see each other's folders."""
     sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        path = sc.getCheckpointDir()
-        if not path:
-            path = f"file://{tempfile.mkdtemp(prefix='spendlake-')}"
-            sc.setCheckpointDir(path)
-    elif not sc.getCheckpointDir():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='spendlake-')}"
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one, in whatever file system its URI names."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+class Steps:
+    """Tables written between the steps of one operator. drop() deletes those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/cut-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path, out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            delete(self.spark, self.paths.pop(id(table))[0])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends here and lost executors cost no recomputation. Columns of numbers take a fraction of what they take in a checkpoint."""
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Steps(df.sparkSession).cut(df)
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+#: Keys that look_up sends to every task.
+HOT_KEYS = 1_024
+
+
+def look_up(rows: DataFrame, found: DataFrame, keys: list[str], own, hot=None) -> DataFrame:
+    """rows with the other columns of found, which has at most one row for each key and the key's rows as `n`; null where found has none.
+
+    The HOT_KEYS keys of largest n (of those for which `hot` holds, if given) are looked up by broadcast, and their
+    rows are dealt by `own`, a column that differs from row to row, so that no task gets all rows of a frequent key:
+    any other key has at most 1 / HOT_KEYS of the rows. The rest is a merge join.
+    """
+    values = [c for c in found.columns if c not in keys and c != "n"]
+    first = (found if hot is None else found.where(hot)).orderBy(F.desc("n"), *keys).limit(HOT_KEYS)
+    sent = first.select(*(F.col(c).alias(f"__{c}") for c in keys), F.struct(*values).alias("__hot"))
+    marked = rows.join(F.broadcast(sent), [F.col(c) == F.col(f"__{c}") for c in keys], "left").drop(*(f"__{c}" for c in keys))
+    dealt = marked.withColumn("__deal", F.when(F.col("__hot").isNull(), F.xxhash64(*keys)).otherwise(F.xxhash64(own)))
+    rest = found.select(F.xxhash64(*keys).alias("__deal"), *keys, F.struct(*values).alias("__cold"))
+    both = dealt.join(rest.hint("merge"), ["__deal", *keys], "left").withColumn("__got", F.coalesce("__hot", "__cold"))
+    return both.select(*map(quoted, rows.columns), *(F.col("__got")[c].alias(c) for c in values))
+
+
+#: Shares that salted() cuts the rows of a key into.
+SALTS = 256
+
+
+def salted(rows: DataFrame, side: DataFrame, key: str, own) -> DataFrame:
+    """The inner join of rows and side (one row for each key) where a key may have many rows and side's rows are large: rows of a key are cut into SALTS shares by `own`, and side's row goes to the shares that are there."""
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(own), F.lit(SALTS)))
+    copies = dealt.select(key, "__salt").distinct().join(side.hint("merge"), key)
+    return dealt.join(copies.hint("merge"), [key, "__salt"]).drop("__salt")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -48,7 +110,7 @@ def digest128(*columns) -> list:
 class Hashes(dict):
     """64-bit hash of each word (bytes), remembered up to a bound."""
 
-    BOUND = 200_000
+    BOUND = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:
@@ -57,8 +119,8 @@ class Hashes(dict):
         return value
 
 
-def chunks(batch, column: str = "text", limit: int = CHUNK_BYTES):
-    """Slices of an Arrow batch whose texts together take about `limit` bytes each (a longer text has its own slice)."""
+def chunks(batch, column: str = "text", limit: int = CHUNK_BYTES, rows: int = CHUNK_ROWS):
+    """Slices of an Arrow batch of at most `rows` rows whose texts together take about `limit` bytes each (a longer text has its own slice)."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -66,6 +128,22 @@ def chunks(batch, column: str = "text", limit: int = CHUNK_BYTES):
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     bins = np.cumsum(sizes) // limit
-    cuts = [0, *(np.flatnonzero(np.diff(bins)) + 1).tolist(), batch.num_rows]
+    cuts = sorted({0, batch.num_rows, *(np.flatnonzero(np.diff(bins)) + 1).tolist(), *range(rows, batch.num_rows, rows)})
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         yield batch.slice(a, b - a)
+
+
+def lean(run):
+    """run, a function from batches to batches, which at its end hands free memory back to the system: reused Python workers live on beside the executor, and allocators keep what a task has freed."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+            if trim:
+                trim(0)
+
+    return wrapped
