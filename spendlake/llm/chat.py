@@ -100,7 +100,12 @@ def formatted(conversations: DataFrame, template: Template | None = None) -> Dat
 
 
 def read_back(turns: DataFrame, template: Template | None = None) -> DataFrame:
-    """A row for each conversation of `formatted`, from its segments: digests of the turns and of the text under the loss flags, and lengths."""
+    """A row for each conversation of `formatted`: digests of the turns and of the text under the loss flags, and lengths.
+
+    A conversation is read as one text with a mask; where a turn ends, and what its role and text are, only the
+    template tells. What follows the last end that was found waits for more text; text that no end follows
+    raises ValueError.
+    """
     template = template or Template()
     kind = turns.schema["conv_id"].dataType.simpleString()
     fields = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "fault"]
@@ -113,20 +118,29 @@ def read_back(turns: DataFrame, template: Template | None = None) -> DataFrame:
                 if own != conv:
                     if now:
                         done.append(finish(now))
-                    conv, now = own, {"conv_id": own, "n_turns": 0, "turns": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "formatted_chars": 0, "fault": None}
-                turn = "".join(s["text"] for s in segments)
-                role, text = template.parse(turn)
+                    conv, now = own, {"conv_id": own, "n_turns": 0, "turns": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "formatted_chars": 0, "fault": None, "rest": ""}
+                now["rest"] += "".join(s["text"] for s in segments)
+                for role, text in parsed(now):
+                    now["n_turns"] += 1
+                    now["turns"].update(f"{role}\n{text}\n".encode())
                 learned = "".join(unescape(s["text"]) for s in segments if s["loss"])
-                now["n_turns"] += 1
-                now["turns"].update(f"{role}\n{text}\n".encode())
                 now["loss_chars"] += len(learned)
                 now["loss"].update(learned.encode())
-                now["formatted_chars"] += len(turn)
                 now["fault"] = now["fault"] or fault
             yield rows(done)
         yield rows([finish(now)] if now else [])
 
+    def parsed(now: dict):
+        """Role and text of each turn that has ended; the rest is kept."""
+        while (at := now["rest"].find(template.end)) >= 0:
+            stop = at + len(template.end)
+            turn, now["rest"] = now["rest"][:stop], now["rest"][stop:]
+            now["formatted_chars"] += len(turn)
+            yield template.parse(turn)
+
     def finish(now: dict) -> dict:
+        if now["rest"]:
+            raise ValueError(f"conversation {now['conv_id']} ends within a turn")
         return now | {"turns_sha256": now["turns"].hexdigest(), "loss_sha256": now["loss"].hexdigest()}
 
     def rows(done: list[dict]) -> pa.RecordBatch:
