@@ -2,9 +2,10 @@
 
 Each window of `span` words keeps the least hash among its k-grams; benchmark and document windows with the
 same words keep the same one, so a join on kept hashes finds every shared span of `span` words. Hits are
-extended to the windows around them, whose digests are compared. Items shorter than a span are looked for
-whole. A Bloom filter of fixed size over the benchmark's hashes goes to the tasks, so that only hashes that
-may join leave them; false positives fall out in the join.
+extended to the windows around them, whose digests join with the hashes. Items shorter than a span are looked
+for whole. A Bloom filter of bounded size over the benchmark's hashes goes to the tasks, so that only hashes
+that may join leave them; false positives fall out in the join. Windows that very many documents have (a
+benchmark's boilerplate) are looked up by broadcast, so that they don't meet in one task.
 """
 
 import numpy as np
@@ -13,15 +14,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlake.llm.common import Hashes, chunks, cut
+from spendlake.llm.common import Hashes, chunks, cut, lean, look_up
 from spendlake.llm.grams import alnum_words, grams, word_hashes
 
 SPAN = 13
 GRAM = 7
-#: Bits of the Bloom filter, at any size of the benchmark: 1 MB.
-BLOOM_BITS = 1 << 23
+#: The Bloom filter has BITS_A_WINDOW bits for each window of the benchmark, rounded up to a power of two, within these bounds
+#: (8 kB and 16 MB). Beyond, from some ten million windows on, more hashes pass it that don't join; the result is the same.
+BITS_A_WINDOW = 12
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
+#: Items of a window that may be sent to every task with the most frequent windows.
+SENT_ITEMS = 64
+SHIFTS = (0, 18, 36)
 
-HITS = "array<struct<fp: long, windows: array<struct<at: int, size: int, d1: long, d2: long>>>>"
+HITS = "array<struct<fp: long, at: int, size: int, d1: long, d2: long>>"
+WINDOW = ["fp", "size", "d1", "d2"]
 
 
 def digest(words: list[bytes]) -> tuple[int, int]:
@@ -36,8 +43,8 @@ def least_grams(hashes: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(grams(hashes, GRAM), SPAN - GRAM + 1).min(axis=1)
 
 
-def bloom_places(fps: np.ndarray) -> list[np.ndarray]:
-    return [((fps >> np.uint64(s)) & np.uint64(BLOOM_BITS - 1)).astype(np.int64) for s in (0, 20, 40)]
+def bloom_places(fps: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [((fps >> np.uint64(s)) & np.uint64(bits - 1)).astype(np.int64) for s in SHIFTS]
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -58,29 +65,30 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
     schema = pa.schema([("fp", pa.int64()), ("size", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("item_id", pa.string())])
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
-    found = items.mapInArrow(run, "fp long, size int, d1 long, d2 long, item_id string")
+    found = items.mapInArrow(lean(run), "fp long, size int, d1 long, d2 long, item_id string")
     return found.groupBy("fp", "size", "d1", "d2").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
 def bloom(windows: DataFrame) -> np.ndarray:
-    """The filter's bytes; what reaches the driver is at most BLOOM_BITS bits."""
+    """The filter's bytes; what reaches the driver is at most MOST_BITS bits."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_WINDOW * windows.count()).bit_length()))
     fp = F.col("fp")
-    places = [F.shiftrightunsigned(fp, s).bitwiseAND(F.lit(BLOOM_BITS - 1)) for s in (0, 20, 40)]
+    places = [F.shiftrightunsigned(fp, s).bitwiseAND(F.lit(size - 1)) for s in SHIFTS]
     words = windows.select(F.explode(F.array(*places)).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
-    out = np.zeros(BLOOM_BITS // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     for batch in words.toArrow().to_batches():
         out[batch.column("word").to_numpy()] = batch.column("bits").to_numpy()
     return out.view(np.uint8)
 
 
 def document_hits(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
-    """doc_id, n_words and, by kept hash that the filter lets through, the windows that keep it."""
+    """doc_id, n_words and the windows whose kept hash the filter lets through."""
     broadcast = docs.sparkSession.sparkContext.broadcast(bits)
     short = [s for s in sizes if s < SPAN]
 
     def passes(fps: np.ndarray, bits: np.ndarray) -> np.ndarray:
         ok = np.ones(len(fps), bool)
-        for p in bloom_places(fps):
+        for p in bloom_places(fps, 8 * len(bits)):
             ok &= (bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
         return ok
 
@@ -92,7 +100,7 @@ def document_hits(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFr
                 ends = np.cumsum([len(w) for w in words])
                 flat = [w for x in words for w in x]
                 hashes = word_hashes(flat, memory)
-                hits: list[dict[int, list]] = [{} for _ in words]
+                hits: list[list[dict]] = [[] for _ in words]
                 for size in [*short, *([SPAN] if SPAN in sizes else [])]:
                     fps = least_grams(hashes) if size == SPAN else grams(hashes, size)
                     at = np.flatnonzero(passes(fps, bits))
@@ -100,14 +108,12 @@ def document_hits(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFr
                     inside = at + size <= ends[doc] if len(at) else np.zeros(0, bool)
                     for a, d, fp in zip(at[inside].tolist(), doc[inside].tolist(), fps[at[inside]].view(np.int64).tolist(), strict=True):
                         d1, d2 = digest(flat[a : a + size])
-                        hits[d].setdefault(fp, []).append({"at": a - int(ends[d]) + len(words[d]), "size": size, "d1": d1, "d2": d2})
-                rows = [[{"fp": fp, "windows": w} for fp, w in h.items()] for h in hits]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array(rows, arrow_hits)], names=["doc_id", "n_words", "hits"])
+                        hits[d].append({"fp": fp, "at": a - int(ends[d]) + len(words[d]), "size": size, "d1": d1, "d2": d2})
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array(hits, arrow_hits)], names=["doc_id", "n_words", "hits"])
 
-    window = pa.struct([("at", pa.int32()), ("size", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
-    arrow_hits = pa.list_(pa.struct([("fp", pa.int64()), ("windows", pa.list_(window))]))
+    arrow_hits = pa.list_(pa.struct([("fp", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())]))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n_words long, hits {HITS}")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), f"doc_id {kind}, n_words long, hits {HITS}")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -121,13 +127,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = cut(benchmark_windows(benchmark))
     sizes = sorted(r.size for r in windows.select("size").distinct().collect())  # at most SPAN numbers
     seen = cut(document_hits(docs, bloom(windows), sizes).withColumn("row", F.monotonically_increasing_id()))
-    hits = seen.where(F.size("hits") > 0).select("row", F.explode("hits").alias("hit")).select("row", "hit.fp", "hit.windows")
-    by_fp = windows.groupBy("fp").agg(F.collect_list(F.struct("size", "d1", "d2", "items")).alias("known"))  # the benchmark's windows of one kept hash
-    joined = hits.join(by_fp, "fp")
-    same = F.expr("filter(windows, w -> exists(known, k -> k.size = w.size AND k.d1 = w.d1 AND k.d2 = w.d2))")
-    items = F.expr("array_distinct(flatten(transform(filter(known, k -> exists(windows, w -> k.size = w.size AND k.d1 = w.d1 AND k.d2 = w.d2)), k -> k.items)))")
-    confirmed = joined.select("row", same.alias("spans"), items.alias("items")).where(F.size("spans") > 0)
-    grouped = confirmed.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list(F.expr("transform(spans, w -> struct(w.at AS at, w.at + w.size AS stop))")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
+    hits = seen.where(F.size("hits") > 0).select("row", F.explode("hits").alias("hit")).select("row", "hit.*")
+    known = windows.join(hits.groupBy(*WINDOW).agg(F.count(F.lit(1)).alias("n")).hint("merge"), WINDOW)
+    confirmed = look_up(hits, known, WINDOW, F.struct("row", "at"), F.size("items") <= SENT_ITEMS).where("items IS NOT NULL")
+    grouped = confirmed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", (F.col("at") + F.col("size")).alias("stop")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
     n_hit = F.expr("aggregate(spans, struct(0L AS n, 0 AS stop), (s, x) -> struct(s.n + greatest(0, x.stop - greatest(x.at, s.stop)) AS n, greatest(s.stop, x.stop) AS stop), s -> s.n)")
     each = seen.select("row", "doc_id", "n_words").join(grouped.select("row", n_hit.alias("n_hit"), "item_ids"), "row", "left")
     each = each.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
