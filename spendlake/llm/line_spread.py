@@ -9,7 +9,7 @@ many sites, the first place stays and the others go.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlake.llm.common import cut, digest128
+from spendlake.llm.common import cut, digest128, look_up, quoted
 
 LG_K = 12
 #: Relative standard error of the sketches' estimates.
@@ -40,37 +40,47 @@ def spread_lines(docs: DataFrame, min_sites: int | None, min_chars: int | None)
 
 
 def boilerplate(docs: DataFrame, min_sites: int | None = None, min_chars: int | None = None) -> DataFrame:
-    """h1, h2 and first place (doc_id, at) of each line that stands on least_sites() sites or more; with min_sites or min_chars, of each of at least min_chars characters on min_sites sites or more."""
+    """h1, h2, first place (doc_id, at) and number of places of each line that stands on least_sites() sites or more; with min_sites or min_chars, of each of at least min_chars characters on min_sites sites or more."""
     lines = spread_lines(docs, min_sites, min_chars)
-    sketched = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", LG_K).alias("sites"), F.min(F.struct("doc_id", "at")).alias("first"), F.max("least").alias("least"))
+    sketched = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", LG_K).alias("sites"), F.min(F.struct("doc_id", "at")).alias("first"), F.max("least").alias("least"), F.count(F.lit(1)).alias("n"))
     margin = F.greatest(F.lit(1), F.round(4 * ERROR * F.col("least")))
-    spread = cut(sketched.select("h1", "h2", "first", "least", F.hll_sketch_estimate("sites").alias("about")).where(F.col("about") >= F.col("least") - margin))
+    spread = cut(sketched.select("h1", "h2", "first", "least", "n", F.hll_sketch_estimate("sites").alias("about")).where(F.col("about") >= F.col("least") - margin))
     near = spread.where(F.col("about") <= F.col("least") + margin)
-    exact = lines.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").select("h1", "h2", "least", "site").distinct().groupBy("h1", "h2", "least").agg(F.count(F.lit(1)).alias("n"))
-    counted = near.join(exact.where(F.col("n") >= F.col("least")), ["h1", "h2"], "left_semi")
-    return spread.where(F.col("about") > F.col("least") + margin).union(counted).select("h1", "h2", "first")
+    # the sites of a line are made distinct before the line is looked up, so that a line's places never meet in one task
+    sites = lines.select("h1", "h2", "site").distinct().join(near.select("h1", "h2"), ["h1", "h2"], "left_semi")
+    exact = sites.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("exact"))
+    counted = near.join(exact, ["h1", "h2"]).where("exact >= least").drop("exact")
+    return spread.where(F.col("about") > F.col("least") + margin).union(counted).select("h1", "h2", "first", "n")
 
 
 def without_boilerplate(docs: DataFrame, min_sites: int | None = None, min_chars: int | None = None) -> DataFrame:
-    """docs with boilerplate lines taken out of text, and columns n_lines and n_removed.
+    """docs with boilerplate lines taken out of text, and columns n_lines and n_removed (in place of columns of these names).
 
     A line counts without spaces around it. Its first place, by doc_id (null first) and line number, stays,
     so that no content is lost; lines repeated on fewer sites stay. A null source is a site like any other
     (the empty one). Null texts stay null, with no lines; other columns, names of any kind and row counts stay.
     """
     found = cut(boilerplate(docs, min_sites, min_chars))
-    places = spread_lines(docs, min_sites, min_chars).join(found, ["h1", "h2"])
+    id_, drops_ = (unused(name, docs) for name in ("id", "drops"))
+    places = look_up(spread_lines(docs, min_sites, min_chars).drop("least", "site"), found, ["h1", "h2"], F.struct("doc_id", "at")).where("first IS NOT NULL")
     elsewhere = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at")))
-    drops = places.where(elsewhere).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("at", "h1", "h2")).alias("__drops"))
-    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["__id"]), "left")
+    drops = places.where(elsewhere).groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set(F.struct("at", "h1", "h2")).alias(drops_))
+    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops[id_]), "left")
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda line, at: ~F.array_contains("__drops", F.struct(at.alias("at"), *line_key(line))))
-    text = F.when(F.col("__drops").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(lines, lambda line, at: ~F.array_contains(drops_, F.struct(at.alias("at"), *line_key(line))))
+    text = F.when(F.col(drops_).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long")
-    n_kept = F.coalesce(F.when(F.col("text").isNotNull() & F.col("__drops").isNotNull(), F.size(kept)).cast("long"), F.col("__n"))
-    counted = joined.withColumn("__n", n_lines).withColumn("__kept", n_kept).withColumn("text", text)
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return counted.select(*columns, F.col("__n").alias("n_lines"), (F.col("__n") - F.col("__kept")).alias("n_removed"))
+    n_removed = F.coalesce(F.when(F.col("text").isNotNull() & F.col(drops_).isNotNull(), F.size(lines) - F.size(kept)), F.lit(0)).cast("long")
+    columns = [text.alias("text") if c == "text" else docs[quoted(c)] for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(*columns, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+
+
+def unused(name: str, docs: DataFrame) -> str:
+    """A column name that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def summary(cleaned: DataFrame) -> DataFrame:
@@ -78,16 +88,20 @@ def summary(cleaned: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, min_sites: int | None = None, min_chars: int | None = None) -> DataFrame:
-    """docs without boilerplate lines; documents that consisted of them go, as their lines stay elsewhere."""
-    cleaned = without_boilerplate(docs, min_sites, min_chars)
-    return cleaned.where((F.col("n_removed") == 0) | (F.length(F.regexp_replace("text", "\\s", "")) > 0)).select(docs.columns)
+    """docs without boilerplate lines; documents that consisted of them go, as their lines stay elsewhere. Columns n_lines and n_removed of docs stay as they are."""
+    own = {c: unused(f"own_{c}", docs) for c in docs.columns if c in ("n_lines", "n_removed")}
+    cleaned = without_boilerplate(docs.withColumnsRenamed(own), min_sites, min_chars)
+    left = cleaned.where((F.col("n_removed") == 0) | (F.length(F.regexp_replace("text", "\\s", "")) > 0)).drop("n_lines", "n_removed")
+    return left.withColumnsRenamed({v: k for k, v in own.items()}).select(*map(quoted, docs.columns))
 
 
-SQL = f"""
+SQL = rf"""
 WITH split AS (SELECT doc_id, coalesce(source, '') AS site, string_split(text, chr(10)) AS l FROM documents),
 lines AS (SELECT doc_id, site, i, l[i] AS line, trim(l[i], ' ') AS k FROM (SELECT doc_id, site, l, unnest(range(1, len(l) + 1)) AS i FROM split)),
-spread AS (
-  SELECT k, min((doc_id, i)) AS first FROM lines WHERE length(k) >= {MIN_CHARS} GROUP BY k HAVING count(DISTINCT site) >= {MIN_SITES}),
+ruled AS (
+  SELECT k, doc_id, i, site, CASE WHEN len(regexp_extract_all(k, '[^ \t\n\x0B\f\r]+')) >= {LONG_WORDS} THEN {LONG_SITES} ELSE {MIN_SITES} + greatest(0, {MIN_CHARS} - length(k)) END AS least
+  FROM lines WHERE regexp_matches(k, '[^ \t\n\x0B\f\r]')),
+spread AS (SELECT k, min((doc_id, i)) AS first FROM ruled GROUP BY k HAVING count(DISTINCT site) >= max(least)),
 judged AS (SELECT doc_id, i, line, first IS NOT NULL AND first <> (doc_id, i) AS gone FROM lines LEFT JOIN spread USING (k)),
 texts AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS text
