@@ -8,6 +8,8 @@ hash prefixes; full digests confirm, and the longest rule wins. Only built-in fu
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendlake.llm.common import cut
+
 #: (verdict, rule) of the contract's query.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 PREFIX_BITS = 32
@@ -41,23 +43,22 @@ def verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Data
 
     A rule fits if the URL's host is the rule's or ends with a dot and the rule's, and the path starts with
     the rule's path. The longest rule that fits wins (of equally long ones, the one with the longer host),
-    else `default` holds. Null and malformed URLs have an empty host and path, which no rule fits. Equal
-    URLs are judged once, so a URL or host that a large share of rows has costs no more than others.
+    else `default` holds. Null and malformed URLs have an empty host and path, which no rule fits; an empty rule
+    table fits nothing. Rows are judged where they are: only expressions leave a row, and only rows that a rule
+    fits are gathered, each by itself, so a URL or host that a large share of rows has costs no more than others.
     """
-    urls = pages.select("page_id", F.coalesce("url", F.lit("")).alias("__url"))
-    distinct = urls.select("__url").distinct().select("__url", *(c.alias(n) for n, c in parts(F.col("__url")).items()))
+    rows = pages.select("page_id", *(c.alias(n) for n, c in parts(F.coalesce("url", F.lit(""))).items()))
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     lengths = [r.path_length for r in rules.select("path_length").distinct().collect()]  # at most as many numbers as the longest path has characters
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("path"))
     expressions = F.flatten(F.transform(suffixes, lambda h: F.transform(fitting, lambda n: F.concat(h, F.substring(F.col("path"), F.lit(1), n)))))
-    expanded = distinct.where("host <> ''").select("__url", F.explode(F.array_distinct(expressions)).alias("expression")).withColumn("short", short(F.col("expression")))
+    expanded = rows.where("host <> ''").select("row", F.explode(F.array_distinct(expressions)).alias("expression")).withColumn("short", short(F.col("expression")))
     found = expanded.join(rules, "short").where(digest(F.col("expression")) == F.col("digest"))
     order = F.struct(F.length("rule"), F.length("rule") - F.col("path_length"), "rule")
-    winners = found.groupBy("__url").agg(F.max_by(F.struct("rule", "verdict"), order).alias("won"))
-    judged = distinct.join(winners, "__url", "left")
-    out = urls.join(judged, "__url")
-    return out.select("page_id", "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))
+    winners = found.groupBy("row").agg(F.max_by(F.struct("rule", "verdict"), order).alias("won"))
+    return rows.join(winners, "row", "left").select("page_id", "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))
 
 
 SQL = r"""
