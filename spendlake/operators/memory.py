@@ -68,12 +68,14 @@ def cosine(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def search(memories: DataFrame, queries: DataFrame, now, k: int = 10) -> DataFrame:
+def search(memories: DataFrame, queries: DataFrame, now, k: int = 10, kinds: list[str] | None = None) -> DataFrame:
     """query_id, place, id and score of the k best active memories of each query's user: of the 20 nearest, by nearness, age and confidence.
 
-    memories: id, user_id, embedding, confidence, last_used_at, status (a user has at most KEPT active ones).
+    memories: id, user_id, kind, embedding, confidence, last_used_at, status (a user has at most KEPT active ones);
+    kinds: only memories of these kinds.
     """
-    active = memories.where("status = 'ACTIVE'").select("id", "user_id", "embedding", "confidence", "last_used_at")
+    wanted = memories.where("status = 'ACTIVE'" if kinds is None else (F.col("status") == "ACTIVE") & F.col("kind").isin(kinds))
+    active = wanted.select("id", "user_id", "embedding", "confidence", "last_used_at")
     both = queries.select("query_id", "user_id", F.col("embedding").alias("q")).join(active, "user_id").withColumn("near", F.round(cosine(F.col("q"), F.col("embedding")), 6))
     nearest = Window.partitionBy("query_id").orderBy(F.desc("near"), "id")
     top = both.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= NEAREST)
@@ -91,16 +93,46 @@ def forget(memories: DataFrame, now, kept: int = KEPT) -> DataFrame:
     return memories.withColumn("status", F.when(active & (F.row_number().over(order) > kept), "FORGOTTEN").otherwise(F.col("status")))
 
 
-def remember(memories: DataFrame, new: DataFrame) -> DataFrame:
-    """memories after one new memory (id, user_id, kind, embedding, confidence) of each user and kind.
+def used(memories: DataFrame, found: DataFrame, now) -> DataFrame:
+    """memories with last_used_at set for those that a search (id) has given."""
+    hits = found.select("id").distinct().withColumn("__hit", F.lit(True))
+    return memories.join(hits, "id", "left").withColumn("last_used_at", F.when(F.col("__hit"), now).otherwise(F.col("last_used_at"))).select(memories.columns)
 
-    If the nearest active memory of the kind is SAME or nearer, that one's confidence grows by 0.1 over the
-    larger of the two, up to 1; else the new memory is added.
+
+def active_counts(memories: DataFrame) -> DataFrame:
+    """Each user's number of active memories."""
+    return memories.groupBy("user_id").agg(F.count_if(F.col("status") == "ACTIVE").alias("n"))
+
+
+def updated(memories: DataFrame, changes: DataFrame) -> DataFrame:
+    """memories after users' changes (id, user_id, confidence, status; null leaves a field as it is). Others' memories and forgotten ones don't change; of several changes of a memory the one of largest status and confidence stands."""
+    own = changes.groupBy("id", "user_id").agg(F.max(F.struct("status", "confidence")).alias("__c"))
+    rows = memories.join(own, ["id", "user_id"], "left")
+    may = F.col("status") != "FORGOTTEN"
+    new = lambda c: F.when(may & F.col(f"__c.{c}").isNotNull(), F.col(f"__c.{c}")).otherwise(F.col(c))
+    return rows.withColumns({"status": new("status"), "confidence": new("confidence")}).select(memories.columns)
+
+
+def forgotten(memories: DataFrame, users_memories: DataFrame) -> DataFrame:
+    """memories with those that their own users (id, user_id) want forgotten set to FORGOTTEN."""
+    gone = users_memories.select("id", "user_id").distinct().withColumn("__gone", F.lit(True))
+    return memories.join(gone, ["id", "user_id"], "left").withColumn("status", F.when(F.col("__gone"), "FORGOTTEN").otherwise(F.col("status"))).select(memories.columns)
+
+
+def remember(memories: DataFrame, new: DataFrame, now=None, kept: int = KEPT) -> DataFrame:
+    """memories after one new memory (id, user_id, kind, embedding, confidence, perhaps replaces) of each user and kind.
+
+    A memory of the user that the new one replaces is forgotten first. If the nearest active memory of the kind
+    is then SAME or nearer, that one's confidence grows by 0.1 over the larger of the two, up to 1; else the new
+    memory is added. With `now`, users who then have more than `kept` active ones lose the least.
     """
+    if "replaces" in new.columns:
+        memories = forgotten(memories, new.where("replaces IS NOT NULL").select(F.col("replaces").alias("id"), "user_id"))
     active = memories.where("status = 'ACTIVE'").select("user_id", "kind", "id", "embedding")
     pairs = new.select("user_id", "kind", F.col("id").alias("new_id"), F.col("embedding").alias("e"), F.col("confidence").alias("c")).join(active, ["user_id", "kind"])
-    near = pairs.withColumn("near", cosine(F.col("e"), F.col("embedding"))).where(F.col("near") >= SAME).groupBy("new_id", "c").agg(F.max_by("id", "near").alias("id"))
+    near = pairs.withColumn("near", cosine(F.col("e"), F.col("embedding"))).where(F.col("near") >= SAME).groupBy("new_id", "c").agg(F.max_by("id", F.struct("near", "id")).alias("id"))
     grown = F.least(F.lit(1.0), F.greatest(F.col("confidence").cast("double"), F.col("c").cast("double")) + 0.1)
-    updated = memories.join(near.groupBy("id").agg(F.max("c").alias("c")), "id", "left").withColumn("confidence", F.when(F.col("c").isNotNull(), grown).otherwise(F.col("confidence").cast("double"))).select(*memories.columns)
+    updated_ = memories.join(near.groupBy("id").agg(F.max("c").alias("c")), "id", "left").withColumn("confidence", F.when(F.col("c").isNotNull(), grown).otherwise(F.col("confidence").cast("double"))).select(*memories.columns)
     fresh = new.join(near.select(F.col("new_id").alias("id")), "id", "left_anti").withColumn("confidence", F.col("confidence").cast("double"))
-    return updated.unionByName(fresh.select(*memories.columns))
+    out = updated_.unionByName(fresh.select(*memories.columns))
+    return out if now is None else forget(out, now, kept)
