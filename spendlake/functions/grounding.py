@@ -27,12 +27,13 @@ def numbers(text: Column) -> Column:
     return F.transform(pairs, value)
 
 
-def allowed_values(paise: Column, counts: Column) -> Column:
-    """Values that a text may state: amounts (array of paise) in rupees, exact and to the whole rupee (half to even), and counts (array)."""
+def allowed_values(paise: Column, counts: Column, dates: Column | None = None) -> Column:
+    """Values that a text may state: amounts (array of paise) in rupees, exact and to the whole rupee (half to even), counts (array), and day, month and year of dates (array)."""
     rupees = lambda p: (p.cast("decimal(22,0)") / 100).cast("decimal(30,4)")
     exact = F.transform(paise, rupees)
     whole = F.transform(paise, lambda p: F.bround(rupees(p), 0).cast("decimal(30,4)"))
-    return F.array_distinct(F.concat(exact, whole, F.transform(counts, lambda c: c.cast("decimal(30,4)"))))
+    of_dates = [F.transform(dates, lambda d: f(d).cast("decimal(30,4)")) for f in (F.dayofmonth, F.month, F.year)] if dates is not None else []  # noqa: B023
+    return F.array_distinct(F.concat(exact, whole, F.transform(counts, lambda c: c.cast("decimal(30,4)")), *of_dates))
 
 
 def ungrounded(text: Column, allowed: Column) -> Column:

@@ -6,6 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Fixed value: the namespace of ids that follow from other ids.
+NAMESPACE = "6f1d3c2a-5b7e-4c1d-9a8f-2e4b6c8d0a1f"
+
+
+def derived(*parts: Column) -> Column:
+    """Id that follows from other ids, so that work done again gives the same one."""
+    return uuid5(NAMESPACE, F.concat_ws("/", *parts))
+
+
+def derived_hex(prefix: str, *parts: Column) -> Column:
+    """`derived` without hyphens, after a prefix."""
+    return F.concat(F.lit(prefix), F.replace(derived(*parts), F.lit("-"), F.lit("")))
+
+
 def uuid5(namespace: str, name: Column) -> Column:
     """Version-5 UUID of a name in a namespace."""
     h = F.sha1(F.concat(F.lit(uuid.UUID(namespace).bytes), F.encode(name, "UTF-8")))

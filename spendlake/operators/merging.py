@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from spendlake.functions.ids import uuid5
+from spendlake.functions.ids import derived_hex
 from spendlake.functions.text import merchant_key, payee_similarity
 from spendlake.sources.scratch import cut
 
@@ -228,10 +228,6 @@ def own_transfer(p: dict, r: dict) -> bool:
     return near and p["direction"] != r["direction"] and p["kind"] in ("SPEND", "INCOME") and p["account_hint"] not in (None, r["account_hint"])
 
 
-#: Namespace of the ids of payments.
-NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
-
-
 def latest(changelog: DataFrame) -> DataFrame:
     """The last version of each payment."""
     rest = [c for c in changelog.columns if c != "payment"]
@@ -239,7 +235,8 @@ def latest(changelog: DataFrame) -> DataFrame:
 
 
 def payment_id(event_id):
-    return F.concat(F.lit("t_"), F.replace(uuid5(NAMESPACE, F.concat(F.lit("txn/"), event_id)), F.lit("-"), F.lit("")))
+    """Id of the payment that an event's report begins."""
+    return derived_hex("t_", F.lit("txn"), event_id)
 
 
 def atm_cash(changelog: DataFrame) -> DataFrame:

@@ -80,6 +80,28 @@ def by_sender(rules: DataFrame, status: str) -> DataFrame:
     return rules.where(F.col("status") == status).groupBy("sender_key").agg(F.array_sort(F.collect_list(order)).alias("rules"))
 
 
+def rules_for(rules: DataFrame) -> DataFrame:
+    """sender_key, rule_id, status and place of the rules that may read a sender's messages: active ones first, then candidates, each oldest first."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("sender_key").orderBy("status", "created_at", "id")
+    return rules.where("status IN ('ACTIVE', 'CANDIDATE')").select("sender_key", F.col("id").alias("rule_id"), "status", F.row_number().over(order).alias("place"))
+
+
+def samples(messages: DataFrame, sources: DataFrame, payments: DataFrame, n: int = 50) -> DataFrame:
+    """The newest n messages of each sender key whose payment a teacher read, to write rules from.
+
+    messages: event_id, sender, source_app, text, posted_at; sources: event_id, transaction_id; payments: id, parse_method.
+    """
+    from pyspark.sql import Window
+
+    taught = payments.where("parse_method = 'TEACHER_LLM'").select(F.col("id").alias("transaction_id"))
+    ids = sources.join(taught, "transaction_id", "left_semi").select("event_id").distinct()
+    keyed = messages.join(ids, "event_id", "left_semi").withColumn("sender_key", sender_key(F.col("sender"), F.lit(None).cast("string")))
+    order = Window.partitionBy("sender_key").orderBy(F.desc("posted_at"), "event_id")
+    return keyed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
 def extraction(rule, text):
     """What a rule takes from a text; null if it doesn't match or the text is too long.
 
