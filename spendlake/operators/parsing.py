@@ -1,7 +1,7 @@
 """Messages to payments: rules kept as data, checks, and tiers that answer one after another.
 
-Rules are a small table: a sender key, a regex with named groups, and fixed fields. A message meets the rules
-of its own key as one array, so a message stays one row and nothing but the rule table is exchanged.
+Rules are a small table: a sender key, a regex with named groups, and fixed fields. A message stays one row:
+a few hundred rules are written into the plan, and a larger table meets the messages by sender key.
 """
 
 import re
@@ -74,12 +74,6 @@ def rule_table(spark: SparkSession, rules: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, RULE)
 
 
-def by_sender(rules: DataFrame, status: str) -> DataFrame:
-    """The rules of each sender key, oldest first."""
-    order = F.struct("created_at", "id", "regex", "groups", "direction", "channel", "txn_status")
-    return rules.where(F.col("status") == status).groupBy("sender_key").agg(F.array_sort(F.collect_list(order)).alias("rules"))
-
-
 def rules_for(rules: DataFrame) -> DataFrame:
     """sender_key, rule_id, status and place of the rules that may read a sender's messages: active ones first, then candidates, each oldest first."""
     from pyspark.sql import Window
@@ -102,34 +96,68 @@ def samples(messages: DataFrame, sources: DataFrame, payments: DataFrame, n: int
     return keyed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 
 
-def extraction(rule, text):
-    """What a rule takes from a text; null if it doesn't match or the text is too long.
-
-    One replacement of the whole text by the rule's groups, a mark before each, so that a regex runs once a text.
-    """
+def extraction(rule, groups):
+    """What a rule takes from a text that it matches (groups: the split replacement); null if it doesn't match."""
+    group = {g: F.nullif(F.trim(F.get(groups, F.lit(i + 1))), F.lit("")) for i, g in enumerate(GROUPS)}
+    out = F.struct(
+        F.lit(True).alias("is_transaction"), group["amount"].alias("amount"), rule["direction"].alias("direction"), rule["channel"].alias("channel"), rule["txn_status"].alias("status"),
+        F.coalesce(group["merchant"], group["vpa"]).alias("merchant_raw"), group["vpa"].alias("counterparty_vpa"), group["ref"].alias("reference_id"),
+        group["acct"].alias("account_hint"), group["bal"].alias("balance_after"), F.when(group["days"].rlike("^[0-9]{1,9}$"), group["days"].cast("int")).alias("promised_refund_days"),
+    )
+    return F.when(F.size(groups) == len(GROUPS) + 1, out)
 
-    def fields(groups):
-        group = {g: F.nullif(F.trim(F.get(groups, F.lit(i + 1))), F.lit("")) for i, g in enumerate(GROUPS)}
-        out = F.struct(
-            F.lit(True).alias("is_transaction"), group["amount"].alias("amount"), rule["direction"].alias("direction"), rule["channel"].alias("channel"), rule["txn_status"].alias("status"),
-            F.coalesce(group["merchant"], group["vpa"]).alias("merchant_raw"), group["vpa"].alias("counterparty_vpa"), group["ref"].alias("reference_id"),
-            group["acct"].alias("account_hint"), group["bal"].alias("balance_after"), F.when(group["days"].rlike("^[0-9]{1,9}$"), group["days"].cast("int")).alias("promised_refund_days"),
-        )
-        return F.when(F.size(groups) == len(GROUPS) + 1, out)
 
-    taken = F.call_function("regexp_replace", F.replace(text, F.lit(MARK), F.lit(" ")), rule["regex"], rule["groups"])
-    return F.when(F.length(text) <= MAX_TEXT, once(F.split(taken, MARK), fields))
+#: So many rules are written into the plan, each regex compiled once for a task; more of them meet messages by a join.
+LITERAL_RULES = 256
 
 
 def tried(messages: DataFrame, rules: DataFrame, status: str = "ACTIVE") -> DataFrame:
-    """messages with sender_key and `tries`: (rule_id, x, failure) of each rule of the key that matches, oldest first."""
+    """messages with sender_key and `tries`: (rule_id, x, failure) of each rule of the key that matches, oldest first.
+
+    A rule runs once a text: one replacement of the whole text by the rule's groups, a mark before each. Texts
+    longer than MAX_TEXT match nothing.
+    """
     keyed = messages.withColumn("sender_key", sender_key(F.col("sender"), F.col("source_app")))
-    joined = keyed.join(F.broadcast(by_sender(rules, status)), "sender_key", "left")  # a row for each sender key of the rule table
-    each = F.transform("rules", lambda r: F.struct(r["id"].alias("rule_id"), extraction(r, F.col("text")).alias("x")))
+    keyed = keyed.withColumn("__plain", F.when(F.length("text") <= MAX_TEXT, F.replace("text", F.lit(MARK), F.lit(" "))))
+    own = rules.where(F.col("status") == status)
+    known = own.orderBy("created_at", "id").limit(LITERAL_RULES + 1).collect()
+    return (tried_in_plan(keyed, known) if len(known) <= LITERAL_RULES else tried_by_join(keyed, own)).drop("__plain")
+
+
+TRIES = f"array<struct<rule_id: string, x: {EXTRACTION}, failure: string>>"
+
+
+def tried_in_plan(keyed: DataFrame, rules: list) -> DataFrame:
+    """The nth rule of each sender key is the nth try; which rule that is follows from the key."""
+    of_key: dict[str, list] = {}
+    for r in rules:
+        of_key.setdefault(r.sender_key, []).append(r)
+    rows, tries = keyed, []
+    for n in range(max(map(len, of_key.values()), default=0)):
+        nth = [own[n] for own in of_key.values() if len(own) > n]
+
+        def chosen(value, nth=nth):
+            out = F.when(F.col("sender_key") == nth[0].sender_key, value(nth[0]))
+            for r in nth[1:]:
+                out = out.when(F.col("sender_key") == r.sender_key, value(r))
+            return out
+
+        rule = chosen(lambda r: F.struct(F.lit(r.id).alias("id"), *(F.lit(r[c]).alias(c) for c in ("direction", "channel", "txn_status"))))
+        rows = rows.withColumn(f"__rule{n}", rule).withColumn(f"__groups{n}", chosen(lambda r: F.split(F.regexp_replace("__plain", r.regex, r.groups), MARK)))
+        rows = rows.withColumn(f"__x{n}", extraction(F.col(f"__rule{n}"), F.col(f"__groups{n}")))
+        tries.append(F.struct(F.col(f"__rule{n}.id").alias("rule_id"), F.col(f"__x{n}").alias("x"), F.when(F.col(f"__x{n}").isNotNull(), failure(F.col(f"__x{n}"), F.col("text"))).alias("failure")))
+    found = F.filter(F.array(*tries), lambda t: t["x"].isNotNull()) if tries else F.array()
+    return rows.withColumn("tries", found.cast(TRIES)).drop(*(f"__{c}{n}" for n in range(len(tries)) for c in ("rule", "groups", "x")))
+
+
+def tried_by_join(keyed: DataFrame, rules: DataFrame) -> DataFrame:
+    """A message meets the rules of its key as one array; Spark sends the table of rules to all tasks as long as it is small enough."""
+    by_key = rules.groupBy("sender_key").agg(F.array_sort(F.collect_list(F.struct("created_at", "id", "regex", "groups", "direction", "channel", "txn_status"))).alias("__rules"))
+    taken = lambda r: F.split(F.call_function("regexp_replace", F.col("__plain"), r["regex"], r["groups"]), MARK)
+    each = F.transform("__rules", lambda r: F.struct(r["id"].alias("rule_id"), once(taken(r), lambda g: extraction(r, g)).alias("x")))
     hits = F.filter(each, lambda e: e["x"].isNotNull())
     checked = F.transform(hits, lambda e: F.struct(e["rule_id"].alias("rule_id"), e["x"].alias("x"), failure(e["x"], F.col("text")).alias("failure")))
-    none = F.array().cast(f"array<struct<rule_id: string, x: {EXTRACTION}, failure: string>>")
-    return joined.withColumn("tries", F.coalesce(checked, none)).drop("rules")
+    return keyed.join(by_key, "sender_key", "left").withColumn("tries", F.coalesce(checked, F.array().cast(TRIES))).drop("__rules")
 
 
 def parsed_fields(x, method, rule_id):
@@ -151,15 +179,16 @@ def parse(messages: DataFrame, rules: DataFrame, models: dict[str, str] | None =
     tier's failure, or NO_TIER. Null texts are dropped as EMPTY.
     """
     rows = tried(messages.withColumn("drop", drop_reason(F.col("text"))), rules)
-    first = F.get(F.filter("tries", lambda t: t["failure"].isNull()), F.lit(0))
+    rows = rows.withColumn("__first", F.get(F.filter("tries", lambda t: t["failure"].isNull()), F.lit(0)))
+    first = F.col("__first")
     answers = [F.struct(F.lit("RULE").alias("method"), first["rule_id"].alias("rule_id"), first["x"].alias("x"), F.when(first.isNull(), "NO_TIER").alias("failure"))]
     for method, column in (models or {}).items():
         x = F.col(column)
         answers.append(F.struct(F.lit(method).alias("method"), F.lit(None).cast("string").alias("rule_id"), x.alias("x"), F.when(x.isNull(), "NO_TIER").otherwise(failure(x, F.col("text"))).alias("failure")))
     rows = rows.withColumn("answers", F.when(F.col("drop").isNull(), F.array(*answers)))
-    won = F.get(F.filter("answers", lambda a: a["failure"].isNull()), F.lit(0))
-    tier_failure = F.element_at(F.transform(F.filter("answers", lambda a: a["failure"] != "NO_TIER"), lambda a: a["failure"]), -1)
-    rows = rows.withColumn("won", won).withColumn("last", F.when(F.size(F.filter("answers", lambda a: a["failure"] != "NO_TIER")) > 0, tier_failure).otherwise("NO_TIER"))
+    rows = rows.withColumn("won", F.get(F.filter("answers", lambda a: a["failure"].isNull()), F.lit(0)))
+    rows = rows.withColumn("__faults", F.filter("answers.failure", lambda f: f != "NO_TIER"))
+    rows = rows.withColumn("last", F.when(F.size("__faults") > 0, F.element_at("__faults", -1)).otherwise("NO_TIER"))
     outcome = F.when(F.col("drop").isNotNull(), "DROPPED").when(F.col("won").isNotNull(), "PARSED").when(F.col("last") == "NOT_TRANSACTION", "NOT_TRANSACTION").otherwise("FAILED")
     reason = F.when(F.col("drop").isNotNull(), F.col("drop")).when(F.col("won").isNull(), F.col("last"))
     kept = [c for c in messages.columns if c not in ("amount_paise", "outcome", "reason")]
