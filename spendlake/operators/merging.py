@@ -1,11 +1,14 @@
 """Reports of one payment merged into one payment, and the special kinds of payments.
 
-Whether two reports are one payment depends on the user, the amount and the direction alone, so reports are
-dealt by (user, amount) and pass through their task one by one, in order of arrival: a pass keeps what it must
-remember of a payment, never a group's rows. What depends on a user's other amounts (a credit that reverses or
+Whether two reports are one payment depends on the user, the amount, the direction and the time between them
+alone, so reports are dealt by user, amount and stretch of time (islands) and pass through their task one by one,
+in order of arrival: a pass keeps what it must remember of a stretch's payments, never rows, and finds those
+near a report in time by bisection. What depends on a user's other amounts (a credit that reverses or
 refunds an earlier debit) is found by windows between two passes.
 """
 
+from bisect import bisect_left, bisect_right
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,19 +130,53 @@ class Payment:
         self.version += 1
 
 
-def in_order(df: DataFrame, names: list[str], schema: T.StructType, step) -> DataFrame:
-    """Rows of `names` that step(group's memory, row) returns for each row, in order of arrival within each user and amount."""
-    dealt = df.repartition("user_id", "amount_paise").sortWithinPartitions("user_id", "amount_paise", "seq")
+def islands(rows: DataFrame) -> DataFrame:
+    """rows (user_id, amount_paise, micros) with `island`: stretches of time between which nothing is looked up.
+
+    Time is dealt into bins as long as the longest window; where a bin of a user and amount is empty, what lies
+    before it and after it is further apart than that. Bins are made distinct before they are numbered.
+    """
+    at = F.floor(F.col("micros") / (WINDOW_WITH_REFERENCE * 1_000_000))
+    key = ["user_id", "amount_paise"]
+    bins = rows.select(*key, at.alias("bin")).distinct()
+    order = Window.partitionBy(*key).orderBy("bin")
+    new = F.coalesce((F.col("bin") - F.lag("bin").over(order) > 1).cast("int"), F.lit(1))
+    numbered = bins.withColumn("new", new).withColumn("island", F.sum("new").over(order)).drop("new")
+    return rows.withColumn("bin", at).join(numbered, [*key, "bin"]).drop("bin")
+
+
+class Near:
+    """Values by time; those within a window of a moment."""
+
+    def __init__(self):
+        self.times: list[int] = []
+        self.values: list = []
+
+    def add(self, micros: int, value) -> None:
+        at = bisect_right(self.times, micros)
+        self.times.insert(at, micros)
+        self.values.insert(at, value)
+
+    def within(self, micros: int, seconds: int) -> list:
+        reach = seconds * 1_000_000
+        return self.values[bisect_left(self.times, micros - reach) : bisect_right(self.times, micros + reach)]
+
+
+def in_order(df: DataFrame, names: list[str], schema: T.StructType, memory_of, step) -> DataFrame:
+    """Rows of `names` that step(memory, row) returns for each row, in order of arrival within each user, amount and island; memory_of() makes an island's memory."""
+    key = ["user_id", "amount_paise", "island"]
+    dealt = islands(df).repartition(*key).sortWithinPartitions(*key, "seq")
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        group, memory = None, {}
+        group, memory = None, None
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 out = []
                 for r in batch.slice(at, ROWS).to_pylist():
-                    if (r["user_id"], r["amount_paise"]) != group:
-                        group, memory = (r["user_id"], r["amount_paise"]), {}
+                    own = tuple(r[c] for c in key)
+                    if own != group:
+                        group, memory = own, memory_of()
                     out += [{c: x[c] for c in names} for x in step(memory, r)]
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
@@ -159,19 +196,19 @@ def merged(reports: DataFrame) -> DataFrame:
     kinds = {"payment": T.LongType(), "version": T.IntegerType(), "is_new": T.BooleanType()}
     schema = T.StructType([T.StructField(c, kinds.get(c) or rows.schema[c].dataType) for c in FIELDS])
 
-    def step(known: dict, r: dict) -> list[dict]:
-        stored = known.setdefault(r["direction"], [])
+    def step(known: dict[str, Near], r: dict) -> list[dict]:
+        stored = known.setdefault(r["direction"], Near())
         window = WINDOW_WITH_REFERENCE if r["reference_id"] else WINDOW
-        near = sorted((p.apart(r), p.payment, p) for p in stored if p.apart(r) <= window)
+        near = sorted((p.apart(r), p.payment, p) for p in stored.within(r["micros"], window))
         own = next((p for _, _, p in near if p.takes(r)), None)
         if own:
             own.add(r)
         else:
             own = Payment(dict(r))
-            stored.append(own)
+            stored.add(own.micros, own)
         return [r | {c: own.row[c] for c in FIELDS[10:]} | {"payment": own.payment, "version": own.version, "is_new": own.version == 1}]
 
-    return in_order(rows, FIELDS, schema, step)
+    return in_order(rows, FIELDS, schema, dict, step)
 
 
 def special_credits(steps: DataFrame) -> DataFrame:
@@ -200,7 +237,8 @@ def payments(reports: DataFrame) -> DataFrame:
     steps = cut(merged(reports))
     rows = steps.join(special_credits(steps), "seq", "left").withColumn("kind", F.coalesce("special", base_kind(F.col("status"), F.col("channel"), F.col("direction")))).drop("special")
 
-    def step(stored: dict, r: dict) -> list[dict]:
+    def step(memory: tuple[dict, Near], r: dict) -> list[dict]:
+        stored, by_time = memory
         if not r["is_new"]:
             own = stored[r["payment"]]
             kept = {"kind": own["kind"], "bumps": own["bumps"], "category": own["category"] if own["kind"] == "SELF_TRANSFER" else r["category"], "txn_time": own["txn_time"], "micros": own["micros"]}
@@ -209,8 +247,10 @@ def payments(reports: DataFrame) -> DataFrame:
             return [dict(own)]
         own, partner = r | {"bumps": 0}, None
         if r["account_hint"] and r["kind"] in ("SPEND", "INCOME"):
-            partner = next((p for p in stored.values() if own_transfer(p, r)), None)
+            near = [p for p in by_time.within(r["micros"], SELF_TRANSFER) if own_transfer(p, r)]
+            partner = min(near, key=lambda p: p["payment"], default=None)
         stored[r["payment"]] = own
+        by_time.add(own["micros"], own)
         if not partner:
             return [dict(own)]
         for p in (own, partner):
@@ -219,7 +259,7 @@ def payments(reports: DataFrame) -> DataFrame:
         partner["version"] += 1
         return [dict(own), dict(partner)]
 
-    return in_order(rows, rows.columns, rows.schema, step).drop("micros")
+    return in_order(rows, rows.columns, rows.schema, lambda: ({}, Near()), step).drop("micros")
 
 
 def own_transfer(p: dict, r: dict) -> bool:

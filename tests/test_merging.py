@@ -1,11 +1,15 @@
 """Merging of reports: scenarios, and a plain pass over all of a user's reports."""
 
+import os
 import random
 from datetime import datetime, timedelta
 
-from spendlake.operators import merging
+import pytest
+
 from spendlake.functions.text import STOP_WORDS
+from spendlake.operators import merging
 
+TABLES = "/root/testdata/sf0.001"
 T0 = datetime(2026, 10, 3, 8)
 SCHEMA = "seq long, event_id string, user_id long, raw_type string, source_app string, amount_paise long, direction string, status string, channel string, txn_time timestamp_ntz, merchant_raw string, merchant_id long, category string, reference_id string, account_hint string, balance_after_paise long, parse_method string"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -108,13 +112,13 @@ def plain_pass(rows):
             target["version"] += 1
             continue
         p = dict(r) | {"payment": r["seq"], "version": 1, "sources": {(r["raw_type"], r["source_app"])}}
-        kind = "SPEND" if r["direction"] == "DEBIT" else "INCOME"
+        kind = "INCOME" if r["direction"] == "CREDIT" else "ATM_WITHDRAWAL" if r["channel"] == "ATM" else "SPEND"
         debits = [x for x in payments if x["direction"] == "DEBIT"]
         if r["direction"] == "CREDIT" and r["reference_id"] and any(x["reference_id"] == r["reference_id"] for x in debits):
             kind = "REVERSAL"
         elif r["direction"] == "CREDIT" and r["merchant_id"] is not None and any(x["merchant_id"] == r["merchant_id"] and timedelta(0) <= r["txn_time"] - x["txn_time"] <= timedelta(days=90) for x in debits):
             kind = "REFUND"
-        elif r["account_hint"]:
+        elif r["account_hint"] and kind != "ATM_WITHDRAWAL":
             other = next((x for x in payments if x["amount_paise"] == r["amount_paise"] and x["direction"] != r["direction"] and x["kind"] in ("SPEND", "INCOME") and x["account_hint"] not in (None, r["account_hint"]) and gap(x) <= 600), None)
             if other:
                 kind = other["kind"] = "SELF_TRANSFER"
@@ -123,18 +127,38 @@ def plain_pass(rows):
     return sorted((p["user_id"], p["payment"], p["version"], p["kind"], p["status"], p["reference_id"] or "", p["account_hint"] or "", p["merchant_id"] or 0) for p in payments)
 
 
-def test_random_reports_like_a_plain_pass(spark):
+@pytest.mark.parametrize("seconds", [400_000, 12_000_000])  # one stretch of time, and many
+def test_random_reports_like_a_plain_pass(spark, seconds):
     draw = random.Random(5)
     rows = []
     for seq in range(1, 700):
         rows.append(report(
             seq, event_id=f"e{draw.randrange(600)}", user_id=draw.randrange(3), raw_type=draw.choice(["RAW_NOTIFICATION", "RAW_SMS"]), source_app=draw.choice(["a", "b"]), amount_paise=draw.choice([100, 200, 300]), direction=draw.choice(["DEBIT", "DEBIT", "CREDIT"]),
-            status=draw.choice(["SUCCESS", "PENDING"]), txn_time=T0 + timedelta(seconds=draw.randrange(400_000)), merchant_raw=draw.choice([None, "zomato", "Zomatto Ltd", "uber", "12@ybl"]), merchant_id=draw.choice([None, None, None, 1, 2]), reference_id=draw.choice([None, None, f"R{draw.randrange(90)}"]), account_hint=draw.choice([None, "1", "2"]),
+            status=draw.choice(["SUCCESS", "PENDING"]), txn_time=T0 + timedelta(seconds=draw.randrange(seconds)), merchant_raw=draw.choice([None, "zomato", "Zomatto Ltd", "uber", "12@ybl"]), merchant_id=draw.choice([None, None, None, 1, 2]), reference_id=draw.choice([None, None, f"R{draw.randrange(90)}"]), account_hint=draw.choice([None, "1", "2"]),
         ))
     got = sorted((r["user_id"], r["payment"], r["version"], r["kind"], r["status"], r["reference_id"] or "", r["account_hint"] or "", r["merchant_id"] or 0) for r in final(spark, rows).values())
     want = sorted(x for u in range(3) for x in plain_pass([r for r in rows if r["user_id"] == u]))
     assert got == want
 
 
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="the test tables are not here")
+def test_query_like_a_plain_pass(spark):
+    from spendlake.plans import flows
+
+    by_user = {}
+    for r in flows.reports(spark, TABLES).collect():
+        by_user.setdefault(r["user_id"], []).append(r.asDict())
+    want = sorted((p[1], p[2], p[3], p[4], p[5], p[6]) for rows in by_user.values() for p in plain_pass(rows))
+    got = sorted((r["payment"], r["version"], r["kind"], r["status"], r["reference_id"] or "", r["account_hint"] or "") for r in flows.QUERIES["dedup_merge"](spark, TABLES).collect())
+    assert len(got) > 500 and got == want
+
+
+def test_islands(spark):
+    hours = [0, 47, 48, 95, 200, 201, 400, 401]
+    rows = spark.createDataFrame([(1, 5, h * 3_600_000_000) for h in hours] + [(2, 5, 0)], "user_id long, amount_paise long, micros long")
+    got = {(r.user_id, r.micros // 3_600_000_000): r.island for r in merging.islands(rows).collect()}
+    assert [got[1, h] for h in hours] == [1, 1, 1, 1, 2, 2, 3, 3] and got[2, 0] == 1
+
+
 def test_no_reports(spark):
     assert merging.payments(frame(spark, [])).count() == 0
