@@ -17,11 +17,11 @@ CARD = r"(?<![0-9])(?:[0-9]{4}[\s-]){3}([0-9]{4})(?![0-9])"
 BARE_CARD = r"(?<![0-9])[0-9]{12}([0-9]{4})(?![0-9])"
 AADHAAR = r"\b[2-9][0-9]{3}[\s-][0-9]{4}[\s-][0-9]{4}\b|(?i:aadhaar\D{0,12})[0-9]{12}\b"
 ACCOUNT = r"(\b(?i:a/c|acct|account|ac)\.?\s*(?i:no\.?)?\s*[:\-]?\s*)[Xx*]*[0-9]{1,14}([0-9]{4})(?![0-9])"
-#: What stands before a number that is a reference, at most 24 characters back.
-REFERENCE = r"(?i:(?:ref|rrn|utr|txn|upi|transaction|imps|neft|rtgs|order)(?:\s{0,3}(?:id|no|number))?[\s.:/#-]{0,6})"
-# The cheap look at the number itself comes before the look back.
-PHONE = rf"(?<![0-9])(?=(?:\+91[\s-]?)?[6-9][0-9]{{9}}(?![0-9]))(?<!{REFERENCE})(?:\+91[\s-]?)?[6-9][0-9]{{9}}"
-LONG_DIGITS = rf"(?<![0-9A-Za-z])(?=[0-9]{{9,}}(?![0-9A-Za-z@]))(?<!{REFERENCE})[0-9]{{5,}}([0-9]{{4}})"
+#: What ends the 24 characters before a number that is a reference.
+REFERENCE = r"(?i)(?:ref|rrn|utr|txn|upi|transaction|imps|neft|rtgs|order)(?:\s*(?:id|no|number))?[\s.:/#-]*$"
+REFERENCE_CHARS = 24
+PHONE = r"(?<![0-9])(?:\+91[\s-]?)?[6-9][0-9]{9}(?![0-9])"
+LONG_DIGITS = r"(?<![0-9A-Za-z])[0-9]{9,}(?![0-9A-Za-z@])"
 
 
 def hmac_sha256(key: bytes, message: Column) -> Column:
@@ -50,6 +50,18 @@ def redact(text: Column, key: bytes) -> Column:
         found = F.transform(F.regexp_extract_all(t, F.lit(VPA), F.lit(0)), hashed)
         return F.when(t.contains("@"), F.array_join(F.zip_with(F.split(t, VPA), found, lambda a, v: F.concat(a, F.coalesce(v, F.lit("")))), "")).otherwise(t)
 
+    def numbers_hidden(pattern: str, mask):
+        """Masks what the pattern finds unless the characters before it say that it is a reference; no reference reaches across a number, so the text since the last find tells."""
+
+        def hidden(t: Column) -> Column:
+            found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+            part = lambda a, v: F.concat(a, F.when(v.isNull(), "").when(F.right(a, F.lit(REFERENCE_CHARS)).rlike(REFERENCE), v).otherwise(mask(v)))
+            return F.when(t.rlike(pattern), F.array_join(F.zip_with(F.split(t, pattern), found, part), "")).otherwise(t)
+
+        return hidden
+
     out = once(no_mail, persons_hidden)
-    steps = [(PAN, "[pan]"), (CARD, "XX$1"), (BARE_CARD, "XX$1"), (AADHAAR, "[aadhaar]"), (ACCOUNT, "$1XX$2"), (PHONE, "[phone]"), (LONG_DIGITS, "XX$1")]
-    return reduce(lambda t, s: F.regexp_replace(t, *s), steps, out)
+    steps = [(PAN, "[pan]"), (CARD, "XX$1"), (BARE_CARD, "XX$1"), (AADHAAR, "[aadhaar]"), (ACCOUNT, "$1XX$2")]
+    out = reduce(lambda t, s: F.regexp_replace(t, *s), steps, out)
+    out = once(out, numbers_hidden(PHONE, lambda v: F.lit("[phone]")))
+    return once(out, numbers_hidden(LONG_DIGITS, lambda v: F.concat(F.lit("XX"), F.right(v, F.lit(4)))))

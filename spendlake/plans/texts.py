@@ -1,5 +1,7 @@
 """Queries on texts, ids and calendar functions."""
 
+import hashlib
+import hmac
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -57,6 +59,16 @@ QUERIES = {
 }
 
 M = t.MESSAGE_SQL
+#: What cash_lines' words come to: entry type, note and category; a second amount makes a line unreadable.
+LINES = [("CASH_SPEND", "vada pav", "DINING_OUT"), ("CASH_RECEIVED", "got from mom", None), ("ATM_WITHDRAWAL", "atm", None), ("CASH_SPEND", "shoes sale", "SHOPPING"), ("CASH_SPEND", "auto", "TRANSPORT"), ("CASH_SPEND", "chai", "DINING_OUT"), ("CASH_SPEND", "movie night", "ENTERTAINMENT"), (None, None, None), ("CASH_SPEND", "rent", "RENT"), ("CASH_SPEND", "something", "CASH_UNCATEGORIZED")]
+LINE_SQL = ["[" + ", ".join("NULL" if x is None else f"'{x}'" for x in column) + "][k % 10 + 1]" for column in zip(*LINES, strict=True)]
+
+
+def hidden(local: str) -> str:
+    """A person's name in an address, as redaction writes it under the query's key."""
+    return "p" + hmac.new(b"key", local.encode(), hashlib.sha256).hexdigest()[:8]
+
+
 ORACLE_SQL = {
     "merchant_normalize": with_txn(f"SELECT id, {KEY_SQL} AS key, regexp_matches(trim(merchant_raw), '{text.PERSON_VPA}') AS person FROM txn"),
     "sender_key": with_txn(f"SELECT event_id, upper(regexp_extract(trim(sender), '[^-]*$')) AS key, regexp_matches(sender, '{text.BANK_SENDER}') AS bank FROM message", M),
@@ -102,6 +114,13 @@ ORACLE_SQL = {
         """SELECT id, ['coffee', 'food delivery', 'chai', NULL, 'shoes'][seq % 5 + 1] AS target, CAST([k % 30, 0, 2, NULL, 0][seq % 5 + 1] AS INTEGER) AS max_count, ['week', 'month', 'week', NULL, 'week'][seq % 5 + 1] AS period,
         CASE seq % 5 WHEN 0 THEN DATE '2026-03-05' WHEN 4 THEN make_date(2027, 1, CAST(k % 28 + 1 AS INTEGER)) END AS until FROM txn"""
     ),
+    "cash_entry_parse": with_txn(
+        f"""SELECT id, CASE WHEN good THEN {LINE_SQL[0]} END AS entry_type, CASE WHEN good THEN p END AS amount_paise, CASE WHEN good THEN {LINE_SQL[1]} END AS note, CASE WHEN good THEN {LINE_SQL[2]} END AS category
+        FROM (SELECT *, k % 10 <> 7 AND p > 0 AND p <= 100000000 AS good FROM (SELECT id, k, amount_paise // 100 * CASE WHEN seq % 3 = 0 THEN 100000 ELSE 100 END AS p FROM txn))"""
+    ),
+    "redact_messages": with_txn(
+        f"SELECT event_id, replace(replace(text, 'p12ab34cd@ybl', '{hidden('p12ab34cd')}@ybl'), '12345@ybl', '{hidden('12345')}@ybl') || ' [email] {hidden('asha')}@ybl [phone]' AS text FROM message", M
+    ),
     "sender_match": with_txn("SELECT event_id, sender FROM message WHERE upper(sender) = 'HDFCBK' OR sender LIKE '%-HDFCBK' OR source_app = 'HDFCBK'", M),
     "capture_key": with_txn(f"SELECT event_id, sha256(coalesce(sender, '') || chr(0) || coalesce(source_app, '') || chr(0) || coalesce(text, '') || chr(0)) AS dedupe_key FROM message WHERE regexp_matches(sender, '{text.BANK_SENDER}') AND regexp_matches(text, '\\S')", M),
 }

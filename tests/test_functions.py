@@ -104,6 +104,10 @@ def test_content_and_digits(spark):
         ("call 9812345670 or +91-9812345671, Txn id 9812345672", "call [phone] or [phone], Txn id 9812345672"),
         ("mail a.b@c.co.in, PAN ABCDE9999K, Aadhaar 4321 8765 1234", "mail [email], PAN [pan], Aadhaar [aadhaar]"),
         ("member 556677889900, order #556677889900", "member XX9900, order #556677889900"),
+        ("Ref No." + " " * 17 + "9876543210", "Ref No." + " " * 17 + "9876543210"),
+        ("Ref No." + " " * 25 + "9876543210", "Ref No." + " " * 25 + "[phone]"),
+        ("9876543210 9876543211 upi/9876543212", "[phone] [phone] upi/9876543212"),
+        ("order number 1234567890123 then 1234567890123", "order number 1234567890123 then XX0123"),
         ("", ""),
         (None, None),
     ],
