@@ -4,7 +4,8 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from spendlake.operators import digests, forecast, memory, personas
+from spendlake.functions import commitments, grounding, money
+from spendlake.operators import datasets, digests, forecast, ingest, memory, personas
 from spendlake.plans.payments import DAY, WEEK, with_txn
 from spendlake.sources import tables as t
 
@@ -89,7 +90,36 @@ def new_forecasts(s, d):
     return users.select("user_id", F.concat(F.lit("n_"), "user_id").alias("id"), F.when(F.col("user_id") % 7 > 0, F.expr("date_add(date'2024-01-29', cast(user_id % 30 as int))")).alias("broke_p50"))
 
 
+def stated_numbers(s, d):
+    """A line with an amount, a count with a unit and a day, of which some are wrong."""
+    rows = t.transactions(s, d)
+    rupees = F.format_string("%d.%02d", F.floor(F.col("amount_paise") / 100), F.col("amount_paise") % 100)
+    line = F.concat(F.lit("₹"), rupees, F.lit(" on "), F.col("k") + F.when(F.col("k") % 5 == 0, 1).otherwise(0), F.lit(" orders, "), F.col("seq"), F.lit("k left, the "), F.col("k") % 28 + 1, F.lit("th"))
+    return rows.select("id", line.alias("line"), F.array("amount_paise").alias("paise"), F.array("k", F.col("seq") * 1000, F.col("k") % 28 + 1).alias("counts"))
+
+
+def distilled(s, d):
+    rows = t.messages(s, d)
+    return rows.select("event_id", F.when(F.col("k") % 9 > 0, t.pick(["a", "b"], F.col("k") % 2)).alias("first_label"), F.when(F.col("k") % 11 > 0, t.pick(["a", "b"], F.col("k") % 4 % 2)).alias("second_label"))
+
+
+def models(s, d):
+    """Models of two kinds for each region, one active of each kind."""
+    r = t.table(s, d, "region").select(F.col("r_regionkey").alias("r"))
+    kinds = [r.select(F.concat(F.lit(f"{kind}-"), "r").alias("id"), F.lit(kind).alias("kind"), F.when(F.col("r") == 0, "ACTIVE").otherwise("SHADOW").alias("status"), (F.col("r") % 2 == 1).alias("gate_passed")) for kind in ("parser", "coach")]
+    return kinds[0].union(kinds[1])
+
+
 QUERIES = {
+    "paise_to_rupees": lambda s, d: t.transactions(s, d).select("id", money.paise_to_rupees(F.col("amount_paise") * (F.col("seq") - 500)).alias("rupees")),
+    "numbers_in_text": lambda s, d: stated_numbers(s, d).select("id", F.array_join(grounding.numbers(F.col("line")).cast("array<string>"), ",").alias("numbers")),
+    "ungrounded_numbers": lambda s, d: stated_numbers(s, d).select("id", F.array_join(grounding.ungrounded(F.col("line"), grounding.allowed_values(F.col("paise"), F.col("counts"))).cast("array<string>"), ",").alias("wrong")),
+    "insert_new": lambda s, d: ingest.insert_new(t.transactions(s, d).where("seq % 3 = 0").select("id", F.lit("old").alias("mark")), t.transactions(s, d).where("seq % 2 = 0").select("id", F.lit("new").alias("mark")), ["id"]),
+    "promote_model": lambda s, d: ingest.promote(ingest.promote(models(s, d), "parser-3"), "coach-2"),
+    "undo_cash": lambda s, d: ingest.undo_cash(t.cash_ledger(s, d), t.cash_ledger(s, d).where("user_id % 3 = 0").select(F.expr("case when amount_paise % 2 = 0 then id else substring(id, 3) end").alias("id"))).select("id"),
+    "commitment_due_at": lambda s, d: memories(s, d).select("id", commitments.due_at(F.col("due_at")).alias("due")),
+    "review_queue": lambda s, d: datasets.unreviewed(datasets.review_queue(distilled(s, d)), t.messages(s, d).where("seq % 5 = 0").select("event_id")).select("event_id", "reason"),
+    "leaking_templates": lambda s, d: datasets.leaking(t.transactions(s, d).select(F.concat(F.lit("T"), F.col("seq") % 97).alias("template"), t.pick(["train", "val"], (F.col("seq") % 97 + F.floor(F.col("seq") / 970)).cast("int") % 2).alias("split"))),
     "weekly_digest": lambda s, d: digests.weeks(with_merchants(s, d), suppliers(s, d), t.cash_ledger(s, d)).select("user_id", "week", "week_end", "total_paise", "n", "cash_paise", "previous_paise", joined("categories", "name", "paise"), joined("top", "name", "paise", "n")),
     "daily_digest": lambda s, d: digests.days(t.transactions(s, d), t.cash_ledger(s, d)).select("user_id", "day", "total_paise", "n", "cash_paise", "in_hand_paise", joined("top", "name", "paise")),
     "recent_payments": lambda s, d: digests.recent_payments(t.transactions(s, d), now(), 14, 5, category="SHOPPING"),
@@ -150,7 +180,20 @@ def repeat_sql() -> str:
     return REPEAT_SQL.format(key=PAYEE_KEY.format(f"({KEY_SQL})"))
 
 
+NUMBERS_SQL = "n AS (SELECT id, CAST(amount_paise / 100.0 AS DECIMAL(30, 4)) AS a, CAST(k + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS DECIMAL(30, 4)) AS b, CAST(seq * 1000 AS DECIMAL(30, 4)) AS c, CAST(k % 28 + 1 AS DECIMAL(30, 4)) AS d, [CAST(amount_paise / 100.0 AS DECIMAL(30, 4)), CAST(round_even(CAST(amount_paise AS DOUBLE) / 100, 0) AS DECIMAL(30, 4)), k, seq * 1000, k % 28 + 1] AS ok FROM txn)"
 ORACLE_SQL = {
+    "paise_to_rupees": with_txn("SELECT id, CAST(amount_paise * (seq - 500) / 100.0 AS DECIMAL(20, 2)) AS rupees FROM txn"),
+    "numbers_in_text": with_txn("SELECT id, a || ',' || b || ',' || c || ',' || d AS numbers FROM n", NUMBERS_SQL),
+    "ungrounded_numbers": with_txn("SELECT id, array_to_string(list_transform(list_filter([a, b, c, d], lambda v: NOT list_contains(ok, v) AND NOT list_contains(ok, CAST(round_even(CAST(v AS DOUBLE), 0) AS DECIMAL(30, 4)))), lambda v: CAST(v AS VARCHAR)), ',') AS wrong FROM n", NUMBERS_SQL),
+    "insert_new": with_txn("SELECT id, CASE WHEN seq % 3 = 0 THEN 'old' ELSE 'new' END AS mark FROM txn WHERE seq % 3 = 0 OR seq % 2 = 0"),
+    "promote_model": "SELECT kind || '-' || r_regionkey AS id, kind, CASE WHEN kind = 'parser' AND r_regionkey = 3 THEN 'ACTIVE' WHEN kind = 'parser' AND r_regionkey = 0 THEN 'RETIRED' WHEN r_regionkey = 0 THEN 'ACTIVE' ELSE 'SHADOW' END AS status, r_regionkey % 2 = 1 AS gate_passed FROM region, (VALUES ('parser'), ('coach')) v(kind)",
+    "undo_cash": with_txn("SELECT id FROM cash WHERE user_id % 3 > 0", t.CASH_SQL),
+    "commitment_due_at": f"WITH {MEMORY_SQL} SELECT id, CAST(due_at AS TIMESTAMP) + INTERVAL '18 hours 29 minutes' AS due FROM memory",
+    "review_queue": with_txn(
+        """SELECT event_id, reason FROM (SELECT 'e_' || seq AS event_id, seq, CASE WHEN k % 9 = 0 OR k % 11 = 0 THEN 'FAILED' WHEN k % 2 <> k % 4 % 2 THEN 'DISAGREE' WHEN CAST('0x' || substr(sha256('e_' || seq), 1, 8) AS BIGINT) % 10000 < 1000 THEN 'SAMPLE' END AS reason FROM txn)
+        WHERE reason IS NOT NULL AND seq % 5 > 0"""
+    ),
+    "leaking_templates": with_txn("SELECT template, count(DISTINCT split) AS splits FROM (SELECT 'T' || (seq % 97) AS template, (seq % 97 + seq // 970) % 2 AS split FROM txn) GROUP BY template HAVING count(DISTINCT split) > 1"),
     "weekly_digest": with_txn(
         "SELECT user_id, p AS week, CAST(p + 6 AS DATE) AS week_end, total_paise, n, cash_paise, coalesce(CAST(sum(total_paise) OVER (PARTITION BY user_id ORDER BY p RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 7 DAY PRECEDING) AS BIGINT), 0) AS previous_paise, categories, top FROM digest",
         t.CASH_SQL, digest_sql(WEEK, WEEK.replace("txn_time", "occurred_at"), f"{SPEND} AND direction = 'DEBIT'", "coalesce(s_name, merchant_raw, 'unknown')", True),
