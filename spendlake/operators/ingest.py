@@ -51,15 +51,24 @@ def upsert(stored: DataFrame, rows: DataFrame, key: list[str], version: str) ->
     return best.select(*key, *(F.col(f"r.{c}").alias(c) for c in rest)).select(*stored.columns)
 
 
-def correct(payments: DataFrame, corrections: DataFrame) -> DataFrame:
-    """payments with users' corrections (id, user_id, category, merchant_name) applied: version up by one, corrected set. A corrected name gets a merchant id of its own."""
+def correct(payments: DataFrame, corrections: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """payments with users' corrections (id, user_id, category, merchant_name) applied: version up by one, corrected set.
+
+    A corrected name stands for the merchant whose alias (alias, merchant_id) has its key, else for a merchant of its
+    own, whose id follows from the name.
+    """
     named = corrections.select("id", "user_id", F.col("category").alias("__category"), F.col("merchant_name").alias("__name"), F.lit(True).alias("__own"))
-    rows = payments.join(named, ["id", "user_id"], "left")
+    own_id = F.when(F.trim("__name") != "", short_hash("um_", F.lower(F.trim("__name"))))
+    if aliases is None:
+        named = named.withColumn("__merchant", own_id)
+    else:
+        known = aliases.select(F.col("alias").alias("__alias"), F.col("merchant_id").cast("string").alias("__known")).where("__alias <> ''").groupBy("__alias").agg(F.min("__known").alias("__known"))
+        named = named.withColumn("__alias", merchant_key(F.col("__name"))).join(known, "__alias", "left").withColumn("__merchant", F.coalesce("__known", own_id))
+    rows = payments.join(named.select("id", "user_id", "__category", "__merchant", "__own"), ["id", "user_id"], "left")
     own = F.coalesce("__own", F.lit(False))
-    merchant = F.when(F.trim("__name") != "", short_hash("um_", F.lower(F.trim("__name"))))
     return rows.select(
         *(c for c in payments.columns if c not in ("category", "merchant_id", "version", "user_corrected")),
-        F.coalesce("__category", "category").alias("category"), F.coalesce(merchant, F.col("merchant_id").cast("string")).alias("merchant_id"),
+        F.coalesce("__category", "category").alias("category"), F.coalesce("__merchant", F.col("merchant_id").cast("string")).alias("merchant_id"),
         (F.col("version") + own.cast("int")).alias("version"), (own | F.coalesce("user_corrected", F.lit(False))).alias("user_corrected"),
     )
 

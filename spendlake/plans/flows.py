@@ -156,6 +156,7 @@ QUERIES = {
     "upload_classify": lambda s, d: ingest.classify(upload_table(s, d), t.transactions(s, d).where("seq % 10 = 3").select(F.col("seq").alias("event_id"), "user_id"), F.lit(END).cast("timestamp_ntz")).select("event_id", "seq", "status", "reason"),
     "upsert_latest": lambda s, d: ingest.upsert(t.transactions(s, d).select("id", "category", F.lit(1).alias("version")), t.transactions(s, d).where("seq % 4 = 0").select("id", F.lit("OTHER").alias("category"), (F.col("k") % 3).cast("int").alias("version")), ["id"], "version"),
     "correct_category": lambda s, d: ingest.correct(t.transactions(s, d).select("id", "user_id", "category", F.lit("m").alias("merchant_id"), F.lit(1).alias("version"), F.lit(False).alias("user_corrected")), corrections(s, d)),
+    "correct_known_name": lambda s, d: ingest.correct(t.transactions(s, d).select("id", "user_id", "category", F.lit("m").alias("merchant_id"), F.lit(1).alias("version"), F.lit(False).alias("user_corrected")), corrections(s, d).withColumn("merchant_name", F.when(F.length("id") % 2 == 0, "the Zomato  Ltd").otherwise(F.col("merchant_name"))), merchants.aliases_of(merchant_table(s))).select("id", "merchant_id"),
     "delete_users": lambda s, d: ingest.delete_users({"alerts": t.alerts(s, d), "feedback": t.alerts(s, d).select(F.col("id").alias("alert_id"), "reaction")}, t.budgets(s, d).where("user_id % 7 = 0"), {"feedback": ("alert_id", "alerts", "id")})["feedback"],
     "rule_lifecycle": lambda s, d: parsing.lifecycle(observed(s, d), "seq"),
     "labelling_export": lambda s, d: ingest.labelling_export(t.transactions(s, d).select("user_id").distinct().withColumn("consent", F.col("user_id") % 2 == 0), t.messages(s, d), t.transactions(s, d).where("seq % 3 = 0").select(F.concat(F.lit("e_"), "seq").alias("raw_event_id"), F.col("id").alias("transaction_id")), t.transactions(s, d)).select("event_id", "amount_paise", "direction", "merchant_raw"),
@@ -215,6 +216,7 @@ ORACLE_SQL = {
     ),
     "upsert_latest": with_txn("SELECT id, CASE WHEN seq % 4 = 0 AND k % 3 >= 1 THEN 'OTHER' ELSE category END AS category, CAST(CASE WHEN seq % 4 = 0 THEN greatest(1, k % 3) ELSE 1 END AS INTEGER) AS version FROM txn"),
     "correct_category": with_txn("SELECT id, user_id, CASE WHEN c THEN 'TRAVEL' ELSE category END AS category, CASE WHEN c AND k % 2 = 0 THEN 'um_' || substr(sha256('my shop'), 1, 12) ELSE 'm' END AS merchant_id, CAST(CASE WHEN c THEN 2 ELSE 1 END AS INTEGER) AS version, c AS user_corrected FROM (SELECT *, seq % 9 = 0 AS c FROM txn)"),
+    "correct_known_name": with_txn("SELECT id, CASE WHEN seq % 9 = 0 AND length(id) % 2 = 0 THEN 'm_zomato' WHEN seq % 9 = 0 AND k % 2 = 0 THEN 'um_' || substr(sha256('my shop'), 1, 12) ELSE 'm' END AS merchant_id FROM txn"),
     "delete_users": with_txn("SELECT id AS alert_id, reaction FROM alert WHERE user_id NOT IN (SELECT user_id FROM budget WHERE user_id % 7 = 0)", t.ALERT_SQL, t.BUDGET_SQL),
     "rule_lifecycle": with_txn(
         """SELECT rule_id, CASE WHEN mismatches > 2 THEN 'DISABLED' WHEN promoted THEN 'ACTIVE' ELSE 'CANDIDATE' END AS status, matches, mismatches FROM (

@@ -31,6 +31,24 @@ def read_merchants(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(part(1).alias("id"), part(2).alias("name"), part(3).alias("category"), aliases.alias("aliases"))
 
 
+RULE = "id string, sender string, regex string, direction string, channel string, status string"
+MOST_RULES = 10_000
+
+
+def read_rules(spark: SparkSession, path: str) -> list[dict]:
+    """Rules of JSON lines for parsing.rule_table; an unsafe rule, a line that doesn't fit, or more than MOST_RULES raise."""
+    from spendlake.operators.parsing import fault
+
+    rows = spark.read.schema(RULE).option("mode", "FAILFAST").json(path).limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"{path} has more than {MOST_RULES} rules")
+    rules = [r.asDict() | {"channel": r.channel or "UNKNOWN", "status": r.status or "SUCCESS"} for r in rows]
+    for r in rules:
+        if reason := fault(r["regex"], r["direction"], r["channel"], r["status"]):
+            raise ValueError(f"rule {r['id']}: {reason}")
+    return rules
+
+
 def from_envelopes(messages: DataFrame) -> DataFrame:
     """Raw events of topic messages (key, value): the envelope's fields beside its payload's; what can't be read has `fault` set."""
     e = messages.select(F.col("value").cast("string").alias("value")).withColumn("e", F.from_json("value", ENVELOPE)).withColumn("p", F.from_json("e.payload", RAW_PAYLOAD))

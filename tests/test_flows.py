@@ -184,3 +184,33 @@ def test_files(spark, tmp_path):
     assert [(r.event_id, r.user_id, r.text, r.fault) for r in back] == [("e1", "7", "hello", None), (None, None, None, "BAD_ENVELOPE"), (None, None, None, "BAD_ENVELOPE")]
     files.write_examples(spark.createDataFrame([("x", "A", None, "t", "rules", True, None, (True, "5", "DEBIT", "UPI", "SUCCESS", "a", None, None, None, None, None))], files.EXAMPLE), str(tmp_path / "out"))
     assert files.read_examples(spark, str(tmp_path / "out")).first().label.amount == "5"
+
+
+def test_rules_from_a_file(spark, tmp_path):
+    import json
+
+    from spendlake.sources import files
+    from spendlake.sources.seeds import seed_rules
+
+    (tmp_path / "rules.json").write_text("\n".join(map(json.dumps, seed_rules())))
+    assert sorted(r["id"] for r in files.read_rules(spark, str(tmp_path / "rules.json"))) == sorted(r["id"] for r in seed_rules())
+    (tmp_path / "bad.json").write_text(json.dumps({"id": "r", "sender": "X", "regex": "(?P<amount>(a+)+)", "direction": "DEBIT"}))
+    with pytest.raises(ValueError, match="nested_quantifier"):
+        files.read_rules(spark, str(tmp_path / "bad.json"))
+
+
+def test_many_rules_meet_by_a_join(spark, monkeypatch):
+    """Rules in the plan and rules by a join try the same and find the same."""
+    rules = parsing.rule_table(spark, seed_rules_and_more())
+    rows = [(f"e{i}", sender, None, text) for i, (sender, text) in enumerate([("AX-HDFCBK", "Rs.349.00 debited from A/c XX1234 on 03-10-26 to VPA zomato@hdfcbank. UPI Ref 412345678901"), ("AX-HDFCBK", "Rs 5 debited"), ("XY-NONE", "Rs 5 debited"), (None, None), ("AX-HDFCBK", "Rs.1 debited " + "x" * 2000)])]
+    messages = spark.createDataFrame(rows, "event_id string, sender string, source_app string, text string")
+    want = {r.event_id: r.tries for r in parsing.tried(messages, rules).collect()}
+    monkeypatch.setattr(parsing, "LITERAL_RULES", 3)
+    got = {r.event_id: r.tries for r in parsing.tried(messages, rules).collect()}
+    assert got == want and len(want["e0"]) >= 2 and len(want["e1"]) == 1 and not want["e2"] and not want["e4"]
+
+
+def seed_rules_and_more():
+    from spendlake.sources.seeds import seed_rules
+
+    return [*seed_rules(), {"id": "r_any", "sender": "HDFCBK", "regex": r"Rs\.? ?(?P<amount>[\d,]+(?:\.\d{1,2})?) debited", "direction": "DEBIT", "created_at": 5}]
