@@ -199,6 +199,21 @@ ORACLE_SQL = {
           CASE WHEN a = 'CONFIRMATION' THEN NULL WHEN quiet THEN 'QUIET_HOURS' WHEN a = 'SUMMARY' THEN NULL WHEN k % 5 >= 3 THEN 'DAILY_CAP' WHEN a = 'NUDGE' THEN NULL WHEN user_id % 3 = 1 THEN 'ROAST_OFF' WHEN category NOT IN ({ROASTS}) THEN 'NOT_ROASTABLE' WHEN k % 3 >= 1 OR k % 6 >= 4 THEN 'ROAST_CAP' END AS reason
         FROM (SELECT 'p_' || seq AS id, user_id, k, category, ['ROAST', 'NUDGE', 'SUMMARY', 'CONFIRMATION'][k % 4 + 1] AS a, hour(txn_time + INTERVAL 330 MINUTE) * 60 + minute(txn_time + INTERVAL 330 MINUTE) NOT BETWEEN 480 AND 1379 AS quiet FROM txn)"""
     ),
+    "policy_gate": with_txn(
+        """SELECT id, user_id, decision, reason FROM walk WHERE rn > 0""",
+        f"""proposal AS (SELECT 'p_' || seq AS id, user_id, txn_time AS moment, k, CAST(txn_time + INTERVAL 330 MINUTE AS DATE) AS day, CAST(date_trunc('week', txn_time + INTERVAL 330 MINUTE) AS DATE) AS week, ['ROAST', 'NUDGE', 'SUMMARY', 'CONFIRMATION'][k % 4 + 1] AS a,
+            category IN ({ROASTS}) AS fit, hour(txn_time + INTERVAL 330 MINUTE) * 60 + minute(txn_time + INTERVAL 330 MINUTE) NOT BETWEEN 480 AND 1379 AS quiet, CASE WHEN k % 5 = 0 THEN k || ':' || CAST(txn_time AS DATE) END AS dedupe FROM txn)""",
+        """step AS (SELECT *, dedupe IS NOT NULL AND row_number() OVER (PARTITION BY user_id, dedupe ORDER BY moment, id) > 1 AS again, row_number() OVER (PARTITION BY user_id, week ORDER BY moment, id) AS rn,
+            CASE WHEN a = 'CONFIRMATION' OR (a = 'SUMMARY' AND NOT quiet) THEN 'SEND' WHEN quiet THEN 'SUPPRESS' WHEN a = 'ROAST' AND (user_id % 3 = 1 OR NOT fit) THEN 'SEND_PLAIN' ELSE 'SEND' END AS d,
+            CASE WHEN a = 'CONFIRMATION' THEN NULL WHEN quiet THEN 'QUIET_HOURS' WHEN a = 'ROAST' AND user_id % 3 = 1 THEN 'ROAST_OFF' WHEN a = 'ROAST' AND NOT fit THEN 'NOT_ROASTABLE' END AS r FROM proposal)""",
+        """walk AS (
+          SELECT DISTINCT user_id, week, CAST(0 AS BIGINT) AS rn, CAST(NULL AS DATE) AS day, 0 AS capped, 0 AS today, 0 AS of_week, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS decision, CAST(NULL AS VARCHAR) AS reason FROM step
+          UNION ALL
+          SELECT user_id, week, rn, day, c + CASE WHEN counts AND c < 3 THEN 1 ELSE 0 END, t + CASE WHEN joke AND c < 3 AND t < 1 AND w < 4 THEN 1 ELSE 0 END, w + CASE WHEN joke AND c < 3 AND t < 1 AND w < 4 THEN 1 ELSE 0 END, id,
+            CASE WHEN again THEN 'SUPPRESS' WHEN counts AND c >= 3 THEN 'SUPPRESS' WHEN joke AND (t >= 1 OR w >= 4) THEN 'SEND_PLAIN' ELSE d END, CASE WHEN again THEN 'DUPLICATE' WHEN counts AND c >= 3 THEN 'DAILY_CAP' WHEN joke AND (t >= 1 OR w >= 4) THEN 'ROAST_CAP' ELSE r END
+          FROM (SELECT s.*, CASE WHEN s.day = w.day THEN w.capped ELSE 0 END AS c, CASE WHEN s.day = w.day THEN w.today ELSE 0 END AS t, w.of_week AS w, NOT again AND a IN ('ROAST', 'NUDGE') AND d <> 'SUPPRESS' AS counts, NOT again AND a = 'ROAST' AND d = 'SEND' AS joke
+            FROM walk w JOIN step s ON s.user_id = w.user_id AND s.week = w.week AND s.rn = w.rn + 1))""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
     "alert_caps": with_txn(
         """SELECT user_id, day, capped_today, roasts_today, CAST(sum(roasts_today) OVER (PARTITION BY user_id, week ORDER BY day) AS BIGINT) AS roasts_week FROM (
         SELECT user_id, CAST(date_trunc('week', sent_at + INTERVAL 330 MINUTE) AS DATE) AS week, CAST(sent_at + INTERVAL 330 MINUTE AS DATE) AS day, count(*) FILTER (alert_type IN ('ROAST', 'NUDGE')) AS capped_today, count(*) FILTER (alert_type = 'ROAST') AS roasts_today
