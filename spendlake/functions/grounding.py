@@ -1,5 +1,11 @@
 """Numbers in texts, held against the values that a text may state, and checks of extracted fields."""
 
+import json
+import math
+import re
+from datetime import date
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +42,59 @@ def allowed_values(paise: Column, counts: Column, dates: Column | None = None) -
     return F.array_distinct(F.concat(exact, whole, F.transform(counts, lambda c: c.cast("decimal(30,4)")), *of_dates))
 
 
+PARTS = "paise array<bigint>, counts array<bigint>, dates array<date>, texts array<string>"
+
+
+def leaves(result: str | None) -> list[tuple[str, object]]:
+    """(key, value) of every leaf of a JSON text, in order; items of a list have the list's key. None for what is no JSON."""
+    try:
+        waiting = [("", json.loads(result or "null"))]
+    except ValueError:
+        return []
+    out = []
+    while waiting:
+        key, value = waiting.pop()
+        if isinstance(value, dict):
+            waiting += reversed(value.items())
+        elif isinstance(value, list):
+            waiting += [(key, v) for v in reversed(value)]
+        else:
+            out.append((key, value))
+    return out
+
+
+def parts_of(result: str | None) -> dict[str, list]:
+    """What a result states: whole numbers under names that end in Paise are amounts, others counts; fractions count rounded, and shares from 0 to 1 also as percent; texts that begin with a date give it."""
+    out: dict[str, list] = {"paise": [], "counts": [], "dates": [], "texts": []}
+    for key, value in leaves(result):
+        if isinstance(value, str):
+            out["texts"].append(value)
+            if re.match(r"\d{4}-\d{2}-\d{2}", value):
+                try:
+                    out["dates"].append(date.fromisoformat(value[:10]))
+                except ValueError:
+                    pass
+        elif isinstance(value, float) and math.isfinite(value):
+            out["counts"] += [round(value)] + [round(100 * value)] * (0 <= value <= 1)
+        elif isinstance(value, int) and not isinstance(value, bool):
+            out["paise" if key.endswith(("Paise", "_paise")) else "counts"].append(value)
+    return out
+
+
+def allowed_from_results(results: Column) -> Column:
+    """Values that a text on results (array of JSON texts) may state: their amounts, counts, dates, and the numbers in their texts."""
+
+    @F.pandas_udf(f"array<struct<{PARTS.replace(' ', ': ').replace(',: ', ', ')}>>")
+    def read(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda own: [parts_of(r) for r in own] if own is not None else [])
+
+    def values(parts: Column) -> Column:
+        every = lambda name: F.flatten(F.transform(parts, lambda p: p[name]))
+        return F.array_union(allowed_values(every("paise"), every("counts"), every("dates")), F.flatten(F.transform(every("texts"), numbers)))
+
+    return once(read(results), values)
+
+
 def ungrounded(text: Column, allowed: Column) -> Column:
     """The text's numbers that neither as they are nor to the whole rupee are allowed."""
     good = lambda v: F.array_contains(allowed, v) | F.array_contains(allowed, F.bround(v, 0).cast("decimal(30,4)"))

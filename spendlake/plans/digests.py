@@ -98,6 +98,13 @@ def stated_numbers(s, d):
     return rows.select("id", line.alias("line"), F.array("amount_paise").alias("paise"), F.array("k", F.col("seq") * 1000, F.col("k") % 28 + 1).alias("counts"))
 
 
+def results(s, d):
+    """What tools say of a payment: nested, with a share, a date and a text; some are no JSON."""
+    rows = t.transactions(s, d)
+    body = F.concat(F.lit('{"spentPaise": '), "amount_paise", F.lit(', "items": [{"n": '), "k", F.lit(', "share": 0.25, "ok": true}, {"n": null}], "day": "'), F.to_date("txn_time"), F.lit('", "note": "about '), F.col("seq"), F.lit('k on the 3rd"}'))
+    return rows.select("id", F.array(body, F.when(F.col("k") % 2 == 0, "not json")).alias("results"))
+
+
 def distilled(s, d):
     rows = t.messages(s, d)
     return rows.select("event_id", F.when(F.col("k") % 9 > 0, t.pick(["a", "b"], F.col("k") % 2)).alias("first_label"), F.when(F.col("k") % 11 > 0, t.pick(["a", "b"], F.col("k") % 4 % 2)).alias("second_label"))
@@ -114,6 +121,7 @@ QUERIES = {
     "paise_to_rupees": lambda s, d: t.transactions(s, d).select("id", money.paise_to_rupees(F.col("amount_paise") * (F.col("seq") - 500)).alias("rupees")),
     "numbers_in_text": lambda s, d: stated_numbers(s, d).select("id", F.array_join(grounding.numbers(F.col("line")).cast("array<string>"), ",").alias("numbers")),
     "ungrounded_numbers": lambda s, d: stated_numbers(s, d).select("id", F.array_join(grounding.ungrounded(F.col("line"), grounding.allowed_values(F.col("paise"), F.col("counts"))).cast("array<string>"), ",").alias("wrong")),
+    "allowed_from_results": lambda s, d: results(s, d).select("id", F.array_join(F.array_sort(grounding.allowed_from_results(F.col("results"))).cast("array<string>"), ",").alias("allowed")),
     "insert_new": lambda s, d: ingest.insert_new(t.transactions(s, d).where("seq % 3 = 0").select("id", F.lit("old").alias("mark")), t.transactions(s, d).where("seq % 2 = 0").select("id", F.lit("new").alias("mark")), ["id"]),
     "promote_model": lambda s, d: ingest.promote(ingest.promote(models(s, d), "parser-3"), "coach-2"),
     "undo_cash": lambda s, d: ingest.undo_cash(t.cash_ledger(s, d), t.cash_ledger(s, d).where("user_id % 3 = 0").select(F.expr("case when amount_paise % 2 = 0 then id else substring(id, 3) end").alias("id"))).select("id"),
@@ -185,6 +193,9 @@ ORACLE_SQL = {
     "paise_to_rupees": with_txn("SELECT id, CAST(amount_paise * (seq - 500) / 100.0 AS DECIMAL(20, 2)) AS rupees FROM txn"),
     "numbers_in_text": with_txn("SELECT id, a || ',' || b || ',' || c || ',' || d AS numbers FROM n", NUMBERS_SQL),
     "ungrounded_numbers": with_txn("SELECT id, array_to_string(list_transform(list_filter([a, b, c, d], lambda v: NOT list_contains(ok, v) AND NOT list_contains(ok, CAST(round_even(CAST(v AS DOUBLE), 0) AS DECIMAL(30, 4)))), lambda v: CAST(v AS VARCHAR)), ',') AS wrong FROM n", NUMBERS_SQL),
+    "allowed_from_results": with_txn(
+        """SELECT id, array_to_string(list_transform(list_sort(list_distinct(list_transform([amount_paise / 100.0, round_even(CAST(amount_paise AS DOUBLE) / 100, 0), k, 0, 25, day(txn_time), month(txn_time), year(txn_time), year(txn_time), seq * 1000, 3] || list_transform(regexp_extract_all(strftime(txn_time, '%m-%d'), '[0-9]+'), lambda x: CAST(x AS DOUBLE)), lambda v: CAST(v AS DECIMAL(30, 4))))), lambda v: CAST(v AS VARCHAR)), ',') AS allowed FROM txn"""
+    ),
     "insert_new": with_txn("SELECT id, CASE WHEN seq % 3 = 0 THEN 'old' ELSE 'new' END AS mark FROM txn WHERE seq % 3 = 0 OR seq % 2 = 0"),
     "promote_model": "SELECT kind || '-' || r_regionkey AS id, kind, CASE WHEN kind = 'parser' AND r_regionkey = 3 THEN 'ACTIVE' WHEN kind = 'parser' AND r_regionkey = 0 THEN 'RETIRED' WHEN r_regionkey = 0 THEN 'ACTIVE' ELSE 'SHADOW' END AS status, r_regionkey % 2 = 1 AS gate_passed FROM region, (VALUES ('parser'), ('coach')) v(kind)",
     "undo_cash": with_txn("SELECT id FROM cash WHERE user_id % 3 > 0", t.CASH_SQL),
