@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spendlake.functions.money import format_inr
 from spendlake.functions.times import ist_day, ist_week
 from spendlake.operators.spending import is_spend
 
@@ -77,6 +78,14 @@ def commitments(memories: DataFrame) -> DataFrame:
     return memories.where("kind = 'COMMITMENT' AND status = 'ACTIVE'").withColumn("place", F.row_number().over(order))
 
 
+def refund_cases(cases: DataFrame, limit: int = 50) -> DataFrame:
+    """Facts of each user's newest refund cases: amount also as text, missing compensation as 0, and whether a complaint is drafted."""
+    newest = Window.partitionBy("user_id").orderBy(F.desc("opened_at"), F.desc("id"))
+    owed = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("compensation_owed_paise", "compensation_received_paise")]
+    facts = ["user_id", "id", "case_type", "state", "amount_paise", format_inr(F.col("amount_paise")).alias("amount_text"), "reference_id", "opened_at", "deadline_at", "reversed_at", *owed, (F.coalesce("complaint_draft", F.lit("")) != "").alias("has_draft")]
+    return cases.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= limit).select(*facts, "place")
+
+
 def latest_entry(ledger: DataFrame, since) -> DataFrame:
     """The newest cash entry of each user since a time."""
     return ledger.where(F.col("occurred_at") >= since).groupBy("user_id").agg(F.max_by("id", F.struct("occurred_at", "id")).alias("id"))

@@ -109,6 +109,13 @@ def promote(registry: DataFrame, model_id: str) -> DataFrame:
     return registry.withColumn("status", status)
 
 
+def register(registry: DataFrame, manifests: DataFrame, kind: str = "PARSER") -> DataFrame:
+    """registry (id, kind, status, gate_passed, sha256) and a candidate for each manifest (version, quant, sha256) that it lacks; a model's id follows from kind, version and quantization."""
+    model = F.concat_ws("-", F.lit(kind.lower()), "version", F.lower("quant"))
+    rows = manifests.select(model.alias("id"), F.lit(kind).alias("kind"), F.lit("CANDIDATE").alias("status"), F.lit(False).alias("gate_passed"), "sha256")
+    return insert_new(registry, rows.groupBy("id").agg(*(F.min(c).alias(c) for c in rows.columns if c != "id")), ["id"])
+
+
 def labelling_export(users: DataFrame, events: DataFrame, sources: DataFrame, payments: DataFrame) -> DataFrame:
     """Events of users who agreed, with their text scrubbed and the first payment they led to, if any."""
     from spendlake.functions.text import scrub_digits

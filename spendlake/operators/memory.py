@@ -9,6 +9,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spendlake.functions.commitments import commitment, due_at
 from spendlake.functions.times import recency
 
 WIDTH = 768
@@ -136,3 +137,19 @@ def remember(memories: DataFrame, new: DataFrame, now=None, kept: int = KEPT) ->
     fresh = new.join(near.select(F.col("new_id").alias("id")), "id", "left_anti").withColumn("confidence", F.col("confidence").cast("double"))
     out = updated_.unionByName(fresh.select(*memories.columns))
     return out if now is None else forget(out, now, kept)
+
+
+COMMITMENT_CONFIDENCE, PREFERENCE_CONFIDENCE, CONTENT_CHARS = 0.9, 0.8, 300
+
+
+def written(messages: DataFrame, feedback: DataFrame, today) -> DataFrame:
+    """What users' words make worth remembering: source, user_id, kind, content, confidence and due_at.
+
+    messages: id, user_id, text; those that hold a promise are commitments, due at the end of its day if it names
+    one. feedback: id, user_id, reaction, category; a joke that was not fair is a preference on its category.
+    """
+    promised = messages.withColumn("__c", commitment(F.col("text"), today)).where("__c IS NOT NULL")
+    kept = promised.select(F.col("id").alias("source"), "user_id", F.lit("COMMITMENT").alias("kind"), F.substring("__c.text", 1, CONTENT_CHARS).alias("content"), F.lit(COMMITMENT_CONFIDENCE).alias("confidence"), due_at(F.col("__c.until")).alias("due_at"))
+    unfair = feedback.where("reaction = 'NOT_FAIR' AND category <> ''")
+    said = F.concat(F.lit("Finds roasts about "), F.lower(F.replace("category", F.lit("_"), F.lit(" "))), F.lit(" not fair"))
+    return kept.union(unfair.select(F.col("id").alias("source"), "user_id", F.lit("PREFERENCE").alias("kind"), said.alias("content"), F.lit(PREFERENCE_CONFIDENCE).alias("confidence"), F.lit(None).cast("timestamp_ntz").alias("due_at")))

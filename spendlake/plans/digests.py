@@ -1,11 +1,12 @@
 """Queries on whole summaries, lists, settings, memories and forecasts' inputs."""
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
 from spendlake.functions import commitments, grounding, money
 from spendlake.operators import datasets, digests, forecast, ingest, memory, personas
+from spendlake.plans import texts
 from spendlake.plans.payments import DAY, WEEK, with_txn
 from spendlake.sources import tables as t
 
@@ -105,6 +106,17 @@ def results(s, d):
     return rows.select("id", F.array(body, F.when(F.col("k") % 2 == 0, "not json")).alias("results"))
 
 
+def cases(s, d):
+    """A refund case for each failed payment."""
+    rows = t.transactions(s, d).where("status = 'FAILED'")
+    day = F.expr("INTERVAL 5 DAYS")
+    return rows.select(F.concat(F.lit("rc_"), "seq").alias("id"), "user_id", F.lit("FAILED_DEBITED").alias("case_type"), t.pick(["OPEN", "CLOSED"], F.col("k") % 2).alias("state"), "amount_paise", F.col("seq").cast("string").alias("reference_id"), F.col("txn_time").alias("opened_at"), (F.col("txn_time") + day).alias("deadline_at"), F.when(F.col("k") % 2 == 1, F.col("txn_time") + day).alias("reversed_at"), F.when(F.col("k") % 3 == 0, F.lit(10_000)).alias("compensation_owed_paise"), F.lit(None).cast("long").alias("compensation_received_paise"), F.when(F.col("k") % 4 == 0, "Dear bank").when(F.col("k") % 4 == 1, "").alias("complaint_draft"))
+
+
+def manifests(s, d):
+    return t.table(s, d, "region").select(F.concat(F.lit("v"), F.col("r_regionkey") % 3).alias("version"), F.lit("Q4_K").alias("quant"), F.col("r_name").alias("sha256"))
+
+
 def distilled(s, d):
     rows = t.messages(s, d)
     return rows.select("event_id", F.when(F.col("k") % 9 > 0, t.pick(["a", "b"], F.col("k") % 2)).alias("first_label"), F.when(F.col("k") % 11 > 0, t.pick(["a", "b"], F.col("k") % 4 % 2)).alias("second_label"))
@@ -124,6 +136,9 @@ QUERIES = {
     "allowed_from_results": lambda s, d: results(s, d).select("id", F.array_join(F.array_sort(grounding.allowed_from_results(F.col("results"))).cast("array<string>"), ",").alias("allowed")),
     "insert_new": lambda s, d: ingest.insert_new(t.transactions(s, d).where("seq % 3 = 0").select("id", F.lit("old").alias("mark")), t.transactions(s, d).where("seq % 2 = 0").select("id", F.lit("new").alias("mark")), ["id"]),
     "promote_model": lambda s, d: ingest.promote(ingest.promote(models(s, d), "parser-3"), "coach-2"),
+    "register_model": lambda s, d: ingest.register(s.createDataFrame([("parser-v1-q4_k", "PARSER", "ACTIVE", True, "old")], "id string, kind string, status string, gate_passed boolean, sha256 string"), manifests(s, d)),
+    "refund_cases": lambda s, d: digests.refund_cases(cases(s, d), 3),
+    "memory_writes": lambda s, d: memory.written(texts.promises(s, d).join(t.transactions(s, d).select("id", "user_id"), "id"), t.alerts(s, d), F.lit(date(2026, 2, 1))),
     "undo_cash": lambda s, d: ingest.undo_cash(t.cash_ledger(s, d), t.cash_ledger(s, d).where("user_id % 3 = 0").select(F.expr("case when amount_paise % 2 = 0 then id else substring(id, 3) end").alias("id"))).select("id"),
     "commitment_due_at": lambda s, d: memories(s, d).select("id", commitments.due_at(F.col("due_at")).alias("due")),
     "review_queue": lambda s, d: datasets.unreviewed(datasets.review_queue(distilled(s, d)), t.messages(s, d).where("seq % 5 = 0").select("event_id")).select("event_id", "reason"),
@@ -198,6 +213,18 @@ ORACLE_SQL = {
     ),
     "insert_new": with_txn("SELECT id, CASE WHEN seq % 3 = 0 THEN 'old' ELSE 'new' END AS mark FROM txn WHERE seq % 3 = 0 OR seq % 2 = 0"),
     "promote_model": "SELECT kind || '-' || r_regionkey AS id, kind, CASE WHEN kind = 'parser' AND r_regionkey = 3 THEN 'ACTIVE' WHEN kind = 'parser' AND r_regionkey = 0 THEN 'RETIRED' WHEN r_regionkey = 0 THEN 'ACTIVE' ELSE 'SHADOW' END AS status, r_regionkey % 2 = 1 AS gate_passed FROM region, (VALUES ('parser'), ('coach')) v(kind)",
+    "register_model": "SELECT 'parser-v1-q4_k' AS id, 'PARSER' AS kind, 'ACTIVE' AS status, true AS gate_passed, 'old' AS sha256 UNION ALL SELECT 'parser-v' || (r_regionkey % 3) || '-q4_k', 'PARSER', 'CANDIDATE', false, min(r_name) FROM region WHERE r_regionkey % 3 <> 1 GROUP BY ALL",
+    "refund_cases": with_txn(
+        """SELECT user_id, 'rc_' || seq AS id, 'FAILED_DEBITED' AS case_type, ['OPEN', 'CLOSED'][k % 2 + 1] AS state, amount_paise, '₹' || CASE WHEN length(w) <= 3 THEN w ELSE reverse(substr(reverse(w), 1, 3) || regexp_replace(substr(reverse(w), 4), '(..?)', ',\\1', 'g')) END || '.' || lpad(CAST(amount_paise % 100 AS VARCHAR), 2, '0') AS amount_text,
+          CAST(seq AS VARCHAR) AS reference_id, txn_time AS opened_at, txn_time + INTERVAL 5 DAY AS deadline_at, CASE WHEN k % 2 = 1 THEN txn_time + INTERVAL 5 DAY END AS reversed_at, CAST(CASE WHEN k % 3 = 0 THEN 10000 ELSE 0 END AS BIGINT) AS compensation_owed_paise, CAST(0 AS BIGINT) AS compensation_received_paise, k % 4 = 0 AS has_draft,
+          row_number() OVER (PARTITION BY user_id ORDER BY txn_time DESC, 'rc_' || seq DESC) AS place FROM (SELECT *, CAST(amount_paise // 100 AS VARCHAR) AS w FROM txn) WHERE status = 'FAILED' QUALIFY place <= 3"""
+    ),
+    "memory_writes": with_txn(
+        """SELECT id AS source, user_id, 'COMMITMENT' AS kind, ['Please limit coffee to ' || (k % 30) || ' times a week till 5 mar', 'no food delivery this month until 31 feb', 'sirf chai 2 baar ek hafte', NULL, 'stop shoes for a week by ' || (k % 28 + 1) || 'jan'][seq % 5 + 1] AS content, 0.9::DOUBLE AS confidence,
+          CASE seq % 5 WHEN 0 THEN TIMESTAMP '2026-03-05 18:29:00' WHEN 4 THEN CAST(make_date(2027, 1, CAST(k % 28 + 1 AS INTEGER)) AS TIMESTAMP) + INTERVAL '18 hours 29 minutes' END AS due_at FROM txn WHERE seq % 5 <> 3
+        UNION ALL SELECT id, user_id, 'PREFERENCE', 'Finds roasts about ' || lower(replace(category, '_', ' ')) || ' not fair', 0.8, NULL FROM alert WHERE reaction = 'NOT_FAIR'""",
+        t.ALERT_SQL,
+    ),
     "undo_cash": with_txn("SELECT id FROM cash WHERE user_id % 3 > 0", t.CASH_SQL),
     "commitment_due_at": f"WITH {MEMORY_SQL} SELECT id, CAST(due_at AS TIMESTAMP) + INTERVAL '18 hours 29 minutes' AS due FROM memory",
     "review_queue": with_txn(
