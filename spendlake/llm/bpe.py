@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendlake.llm.common import chunks
+from spendlake.llm.common import chunks, lean
 from spendlake.llm.words import TEXT_BYTES, WordEncoder
 
 #: Ids decoded at once.
 DECODED_IDS = 1 << 18
+#: Bytes of new words that are laid out at once (a longer word is laid out whole); about 250 bytes of memory for each.
+REPLAYED_BYTES = 1 << 18
 
 
 class Vocabulary:
@@ -36,7 +38,7 @@ class Vocabulary:
         self.pairs: dict[int, int] = {}
         self._byte_pairs: np.ndarray | None = None
         self._token_bytes: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-        self.texts = WordEncoder(regex.compile(pattern).findall, self.learn)
+        self.texts = WordEncoder(regex.compile(pattern), self.learn)
 
     def byte_pairs(self) -> np.ndarray:
         """Rank of each pair of bytes, or -1."""
@@ -64,7 +66,15 @@ class Vocabulary:
         return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[ids] - ends + sizes, sizes)].tobytes()
 
     def learn(self, words: list[str]) -> list[bytes]:
-        return replay([w.encode() for w in words], self)
+        """Token ids of each word, by replays over runs of words of REPLAYED_BYTES."""
+        out, run, size = [], [], 0
+        for w in words:
+            run.append(w.encode())
+            size += len(run[-1])
+            if size >= REPLAYED_BYTES:
+                out += replay(run, self)
+                run, size = [], 0
+        return out + replay(run, self) if run else out
 
 
 @lru_cache(maxsize=4)
@@ -167,13 +177,8 @@ def replay(words: list[bytes], vocab: Vocabulary) -> list[bytes]:
     return [alone[w : w + 1].tobytes() if alone[w] >= 0 else tokens[a:b] for w, (a, b) in enumerate(zip(starts, stops, strict=True))]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns `keep` and ids array<int> of each row of docs; a map over partitions, without a shuffle.
-
-    Null and empty texts give an empty array. Rows, repeated ones too, come out one for one; other columns
-    of docs are left out, so that names cannot clash. Any length of text is encoded whole.
-    """
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
+def encoder(path: str, pattern: str, keep: tuple[str, ...]):
+    """Batches of `keep` and __text to batches of `keep` and ids."""
 
     def run(batches):
         vocab = vocabulary(path, pattern)
@@ -186,13 +191,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: t
                 lists = pa.ListArray.from_arrays(pa.array(offsets), values, type=pa.list_(pa.field("element", pa.int32(), False)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lists], names=[*keep, "ids"])
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return run
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """encoded with a column `decoded` (binary): the bytes of the ids, which are the text's UTF-8. Null ids give empty bytes."""
-    names = [*encoded.columns, "decoded"]
-    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType(), False)])
+def decoder(path: str, pattern: str):
+    """Batches with ids to the same with `decoded`."""
 
     def run(batches):
         vocab = vocabulary(path, pattern)
@@ -202,14 +205,39 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             out = []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 out.append(b"".join([vocab.bytes_of(values[x : min(b, x + DECODED_IDS)]) for x in range(a, b, DECODED_IDS)]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
+
+    return run
+
+
+IDS, DECODED = T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("decoded", T.BinaryType(), False)
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns `keep` and ids array<int> of each row of docs; a map over partitions, without a shuffle.
+
+    Null and empty texts give an empty array. Rows, repeated ones and those without doc_id too, come out one
+    for one; other columns of docs are left out, so that names cannot clash. Any length of text is encoded whole.
+    """
+    schema = T.StructType([*(docs.schema[c] for c in keep), IDS])
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(lean(encoder(path, pattern, keep)), schema)
+
+
+def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+    """encoded with a column `decoded` (binary): the bytes of the ids, which are the text's UTF-8. Null ids give empty bytes."""
+    return encoded.mapInArrow(lean(decoder(path, pattern)), T.StructType([*encoded.schema.fields, DECODED]))
+
 
-    return encoded.mapInArrow(run, schema)
+def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """decode of encode, in one worker for each task instead of two, which halves the memory beside an executor."""
+    one, two = encoder(path, pattern, keep), decoder(path, pattern)
+    schema = T.StructType([*(docs.schema[c] for c in keep), IDS, DECODED])
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(lean(lambda batches: two(one(batches))), schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids, comma-joined) and decoded_sha256 of each document."""
-    both = decode(encode(docs, path, pattern), path, pattern)
+    both = encode_decode(docs, path, pattern)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -133,17 +133,22 @@ def chunks(batch, column: str = "text", limit: int = CHUNK_BYTES, rows: int = CH
         yield batch.slice(a, b - a)
 
 
+def trim_memory() -> None:
+    """Hands memory that this process has freed back to the system; allocators keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def lean(run):
-    """run, a function from batches to batches, which at its end hands free memory back to the system: reused Python workers live on beside the executor, and allocators keep what a task has freed."""
+    """run, a function from batches to batches, which trims memory at its end: reused Python workers live on beside the executor."""
 
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
-            if trim:
-                trim(0)
+            trim_memory()
 
     return wrapped

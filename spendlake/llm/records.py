@@ -11,7 +11,8 @@ The checksum is CRC-32, rotated right by 15 bits plus a constant, so that checks
 disturb each other. Beside ``part-….rec`` lies ``part-….idx``: the 8-byte offset of each record and of the
 end. Each task writes files under a name of its own; only files named in the manifest count, so a task that
 is run again after an executor is lost leaves at most an orphan. Files go to the shared folder through the
-file system that its URI names.
+file system that its URI names, by Arrow's libraries (see file_system). They are the operator's output: they
+stay until the caller deletes the folder that the manifest names.
 """
 
 import os
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendlake.llm.common import chunks, cut, shared_dir, shuffle_partitions
+from spendlake.llm.common import chunks, cut, lean, shared_dir, shuffle_partitions
 from spendlake.llm.words import TEXT_BYTES, WordEncoder
 
 HEAD = struct.Struct("<QI")
@@ -37,8 +38,8 @@ BODY = struct.Struct("<?qB")
 MASK = 0xA282EAD8
 #: Bytes that a reader takes from a file at once.
 READ_BYTES = 8 << 20
-#: Words that a writing worker remembers, at about 200 bytes each.
-MEMORY_WORDS = 600_000
+#: Bytes that a writing worker's memory of words may take.
+MEMORY_BYTES = 96 << 20
 
 MANIFEST = T.StructType(
     [
@@ -80,16 +81,57 @@ def unframe(data: bytes, at: int = 0) -> tuple[int | None, np.ndarray, int] | No
     return doc_id if present else None, np.frombuffer(payload, f"<u{width}", offset=BODY.size), end
 
 
-@lru_cache(maxsize=4)
-def library_encoder(path: str, pattern: str) -> WordEncoder:
-    """The tokenizers library over a vocabulary file whose pre-tokenizer splits by `pattern`. Strings of special tokens in texts are ordinary text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class LibraryEncoder:
+    """The tokenizers library over a vocabulary file whose pre-tokenizer splits by `pattern`, with a memory of words.
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    learn = lambda words: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-    return WordEncoder(regex.compile(pattern).findall, learn, MEMORY_WORDS)
+    The library takes the string of an added token for that token, also where no special tokens are asked for; so
+    texts are split at such strings before words are found. Files with added tokens that match in other ways
+    (whole words only, with the space around them, or in normalized text) raise ValueError.
+    """
+
+    def __init__(self, path: str, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        tokens = self.library.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in tokens.values()):
+            raise ValueError(f"{path} has added tokens that don't match as plain strings")
+        self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in tokens.items()}
+        self.marks = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self.words = WordEncoder(regex.compile(pattern), self.learn, MEMORY_BYTES)
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; none for null and empty ones."""
+        out = self.words.encode([None if self.marked(t) else t for t in texts])
+        return [self.around_marks(t) if self.marked(t) else ids for t, ids in zip(texts, out, strict=True)]
+
+    def marked(self, text: str | None) -> bool:
+        return bool(text) and any(a in text for a in self.added)
+
+    def around_marks(self, text: str) -> bytes:
+        ids, at = [], 0
+        for m in self.marks.finditer(text):
+            ids += [*self.words.encode([text[at : m.start()]]), self.added[m.group()]]
+            at = m.end()
+        return b"".join([*ids, *self.words.encode([text[at:]])])
+
+
+@lru_cache(maxsize=2)
+def library_encoder(path: str, pattern: str) -> LibraryEncoder:
+    return LibraryEncoder(path, pattern)
+
+
+def file_system(uri: str) -> tuple[FileSystem, str]:
+    """Arrow's file system and path of a URI: file, hdfs, viewfs, s3, gs and abfs, and the names that Hadoop has for some of them. Others raise ValueError, on the driver before any task starts."""
+    scheme, colon, rest = uri.partition("://")
+    try:
+        return FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + colon + rest)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"token records can't be written to {scheme}://; give `folder` a URI of file, hdfs, viewfs, s3, gs or abfs") from e
 
 
 def write(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, width: int = 2, folder: str | None = None) -> DataFrame:
@@ -102,10 +144,11 @@ def write(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, width
     """
     spark = docs.sparkSession
     base = f"{folder or shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    file_system(base)
     most = 256**width
 
     def run(batches):
-        files, base_path = FileSystem.from_uri(base)
+        files, base_path = file_system(base)
         part = TaskContext.get().partitionId()
         path = f"{base_path}/part-{part:06d}-{uuid.uuid4().hex[:12]}"
         encoder = library_encoder(tokenizer_path, pattern)
@@ -132,20 +175,20 @@ def write(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, width
             yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_records", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first())
-    return cut(dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).mapInArrow(run, MANIFEST))
+    return cut(dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).mapInArrow(lean(run), MANIFEST))
 
 
 def read(manifest: DataFrame) -> DataFrame:
     """doc_id, position (ids in all records before it, in file order) and ids (little-endian 32-bit) of every record, read file by file in bounded pieces."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))  # a row for each file
-    return starts.repartition(shuffle_partitions(manifest.sparkSession), "path").mapInArrow(read_files, ROWS)
+    return starts.repartition(shuffle_partitions(manifest.sparkSession), "path").mapInArrow(lean(read_files), ROWS)
 
 
 def read_files(batches):
     for batch in batches:
         for row in batch.to_pylist():
-            files, path = FileSystem.from_uri(row["path"])
+            files, path = file_system(row["path"])
             position, rest = row["first"], b""
             with files.open_input_stream(f"{path}.rec") as f:
                 while data := f.read(READ_BYTES):
@@ -178,7 +221,7 @@ def read_shuffled(manifest: DataFrame, seed: int) -> DataFrame:
     def offsets(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                files, path = FileSystem.from_uri(row["path"])
+                files, path = file_system(row["path"])
                 with files.open_input_stream(f"{path}.idx") as f:
                     at = np.frombuffer(f.read(), "<u8").astype("i8")
                 n = len(at) - 1
@@ -191,7 +234,7 @@ def read_shuffled(manifest: DataFrame, seed: int) -> DataFrame:
                 if row["path"] not in handles:
                     if len(handles) >= 64:
                         handles.popitem()[1].close()
-                    files, path = FileSystem.from_uri(row["path"])
+                    files, path = file_system(row["path"])
                     handles[row["path"]] = files.open_input_file(f"{path}.rec")
                 doc_id, ids, _ = unframe(handles[row["path"]].read_at(row["size"], row["at"]))
                 found.append((doc_id, row["number"], ids.astype("<u4").tobytes()))

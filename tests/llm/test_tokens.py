@@ -67,7 +67,8 @@ def test_records(spark, texts):
 
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    end = "<|endoftext|>"
+    texts = [*texts, end, end * 2, f"a{end}b", f" {end} ", f"x <|endoftext {end}\n\n{end}|> y", f"{end[:-1]}{end}é" * 300, f"word {end} " * 60_000, f"w{end} " + "abc déf " * 90_000]
     manifest = records.write(docs(spark, texts), path, P.PATTERN, end_id=2)
     got = {r.doc_id: r for r in records.summary(records.read(manifest)).collect()}
     start = 0
