@@ -9,7 +9,9 @@ is toxic) and to its offending offsets.
 """
 
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlake.llm.common import chunks
+from spendlake.llm.common import chunks, lean, trim_memory
 
 #: Bounds of the training sample: toxic and clean documents, characters of a document, tokens that the field is fitted on.
 SAMPLE_TOXIC = 2_000
@@ -35,8 +37,10 @@ PREFIXES = (4, 5, 6)
 ROUNDS = 80
 FLOOR = 0.2
 FOLDS, HELD_OUT_FOLD = 4, 2
-#: Words whose emission a worker remembers.
-BOUND = 150_000
+#: Words whose emission a task remembers.
+BOUND = 100_000
+#: Segments scored at once; forward and backward chances take two kilobytes for each.
+SCORED_SEGMENTS = 4_096
 
 TOKEN = regex.compile(r"\w+")
 LINES = regex.compile(r"[^\n]+")
@@ -58,13 +62,12 @@ def features(word: str) -> list[int]:
     return [xxhash.xxh3_64_intdigest(f"{n}:{word[:n] if n else word}") for n in (0, *PREFIXES)]
 
 
-def segments(text: str | None) -> list[list[str]]:
+def segments(text: str | None) -> Iterator[list[str]]:
     """Lower-cased words of each line, in runs of at most SEGMENT."""
-    out = []
-    for line in LINES.findall(text.lower()) if text else ():
-        words = TOKEN.findall(line)
-        out += [words[a : a + SEGMENT] for a in range(0, len(words), SEGMENT)]
-    return out
+    for line in LINES.finditer(text.lower()) if text else ():
+        words = (m.group() for m in TOKEN.finditer(line.group()))
+        while run := list(islice(words, SEGMENT)):
+            yield run
 
 
 def marginals(emission: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +159,8 @@ def features_of(word: str) -> list[int]:
 def fit(rows: list[tuple[str, int]]) -> Model:
     """The field that gives the labelled tokens of (text, toxic) rows the largest likelihood, by full-batch AdaGrad with a small ridge."""
     rows = sorted(set(rows), key=lambda r: (xxhash.xxh3_64_intdigest(r[0]), r))
-    docs = [(segments(text), toxic) for text, toxic in rows]
+    once: dict[str, str] = {}  # one object for each distinct word
+    docs = [([[once.setdefault(w, w) for w in s] for s in segments(text)], toxic) for text, toxic in rows]
     docs = [d for d in docs if d[0]]
     if not any(toxic for _, toxic in docs):
         return Model({}, -30.0, np.zeros((2, 2)))
@@ -205,12 +209,12 @@ def held_out(doc_id):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """(text, toxic) of at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents outside the held-out fold, drawn by a hash of doc_id. What reaches the driver is bounded by these numbers and SAMPLE_CHARS."""
+    """(text, toxic) of at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents outside the held-out fold, drawn by a hash of doc_id; of a doc_id with several texts, the least. What reaches the driver is bounded by these numbers and SAMPLE_CHARS."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     pick = lambda toxic, n: known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = pick(1, SAMPLE_TOXIC).union(pick(0, SAMPLE_CLEAN))
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).join(F.broadcast(chosen), "doc_id")
-    rows = texts.dropDuplicates(["doc_id"]).select("text", "toxic").limit(SAMPLE_TOXIC + SAMPLE_CLEAN).toArrow()
+    rows = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic").limit(SAMPLE_TOXIC + SAMPLE_CLEAN).toArrow()
     return list(zip(rows["text"].to_pylist(), rows["toxic"].to_pylist(), strict=True))
 
 
@@ -246,34 +250,41 @@ def tagged(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in chunks(batch):
                 texts = part.column("text").to_pylist()
-                split = [segments(t) for t in texts]
-                lengths = np.array([len(s) for x in split for s in x], np.int64)
-                e = np.fromiter((emission(w) for x in split for s in x for w in s), float, int(lengths.sum()))
-                p, _ = marginals(e, lengths, model.moves)
-                ends = np.cumsum([sum(map(len, x)) for x in split])
+                own, lengths, ends = [], [], []
+                for t in texts:
+                    for words in segments(t):
+                        own.append(np.fromiter(map(emission, words), float, len(words)))
+                        lengths.append(len(words))
+                    ends.append(len(own))
+                chances = [marginals(np.concatenate(own[a : a + SCORED_SEGMENTS]), np.array(lengths[a : a + SCORED_SEGMENTS]), model.moves)[0] for a in range(0, len(own), SCORED_SEGMENTS)]
+                p = np.concatenate([np.zeros(0), *chances])
+                tokens = np.cumsum([0, *lengths])[[0, *ends]].tolist()
                 scores, spans = [], []
-                for text, a, b in zip(texts, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                    own = p[a:b]
-                    scores.append(document_score(own))
-                    spans.append(offsets(text, own) if len(own) and own.max() > 0.5 else [])
+                for text, a, b in zip(texts, tokens[:-1], tokens[1:], strict=True):
+                    scores.append(document_score(p[a:b]))
+                    spans.append(offsets(text, p[a:b]) if b > a and p[a:b].max() > 0.5 else [])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64()), pa.array(spans, span)], names=["doc_id", "score", "spans"])
 
-    judged = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, spans array<struct<start: int, stop: int, chance: double>>")
+    judged = docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, score double, spans array<struct<start: int, stop: int, chance: double>>")
     return judged.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
 def offsets(text: str, chances: np.ndarray) -> list[dict]:
     """Where the tokens stand that are likelier toxic than not. Lower-casing may lengthen a text; then its tokens are found in the text as it is."""
     lower = text.lower()
-    found = [(m.start(), m.end()) for m in TOKEN.finditer(lower if len(lower) == len(text) else text)]
-    if len(found) != len(chances):
-        return [{"start": 0, "stop": len(text), "chance": float(chances.max())}]
-    return [{"start": found[i][0], "stop": found[i][1], "chance": float(chances[i])} for i in np.flatnonzero(chances > 0.5)]
+    found, n = [], 0
+    for n, m in enumerate(TOKEN.finditer(lower if len(lower) == len(text) else text), 1):
+        if n <= len(chances) and chances[n - 1] > 0.5:
+            found.append({"start": m.start(), "stop": m.end(), "chance": float(chances[n - 1])})
+    return found if n == len(chances) else [{"start": 0, "stop": len(text), "chance": float(chances.max())}]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and spans of each row of docs; see tagged. Without toxic labels every score is near 0."""
-    scored = tagged(docs, fit(training_sample(docs, labels)))
+    model = fit(training_sample(docs, labels))
+    _features.clear()
+    trim_memory()
+    scored = tagged(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")
 
 
