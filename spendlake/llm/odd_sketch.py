@@ -6,7 +6,7 @@ group of any size costs a comparison a member. An odd sketch (parities of MinHas
 count of two sketches' XOR estimates how much two sets differ) sorts out pairs that are far from the
 threshold; the others are confirmed on full sets. Links found this way make up components. Members of a
 bucket that ended up outside its leader's component are then held against the bucket's other members, in
-blocks of bounded size which only links leave.
+blocks of bounded size: sketches first, then the full sets of rows with a plausible partner; only links leave.
 
 Joins of tables that grow with the corpus are asked to be merge joins, so that a plan is the same at every size.
 """
@@ -18,8 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spendlake.llm.common import Hashes, chunks, cut
+from spendlake.llm.common import Hashes, Steps, chunks, cut, lean, look_up, quoted, salted
 from spendlake.llm.grams import MULTIPLIER, grams, mix, space_words, word_hashes
 
 SHINGLE = 5
@@ -27,7 +28,9 @@ ROWS = 5
 SKETCH_LONGS = 16
 #: Chance that no band holds a pair at the threshold.
 MISS = 1e-7
-#: Shingles on either side of a block, and columns of its matrices.
+#: Rows on either side of a block of sketches.
+BLOCK_SKETCHES = 2_048
+#: Shingles on either side of a block of sets, and columns of its matrices.
 BLOCK_SHINGLES = 400_000
 COLUMNS = 2048
 
@@ -91,7 +94,7 @@ def signatures(docs: DataFrame, percent: int) -> DataFrame:
                 lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (mix(keys).view(np.int64), sketch)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), *lists], names=["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), f"doc_id {kind}, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -106,7 +109,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 np.cumsum([len(s) for s in sets], out=offsets[1:])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], names=["doc_id", "shingles"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, shingles array<long>")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), f"doc_id {kind}, shingles array<long>")
 
 
 def bits_apart(a, b):
@@ -118,11 +121,42 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold. A doc_id in several rows counts by each of its sets."""
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = shingle_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi"))
-    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")).hint("merge"), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")).hint("merge"), "a")
+    one = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")).hint("merge"), "b")
+    both = salted(one, sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), "a", F.col("b"))
     shared = F.size(F.array_intersect("of_a", "of_b"))
     return both.where(100 * shared >= percent * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b").distinct()
 
 
+def plausible(pairs: DataFrame, sketches: DataFrame, limit: int) -> DataFrame:
+    """The pairs (a, b) whose sketches differ in at most `limit` bits."""
+    one = pairs.join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")).hint("merge"), "b")
+    both = salted(one, sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a", F.col("b"))
+    return both.where(bits_apart(F.col("sa"), F.col("sb")) <= limit).select("a", "b").distinct()
+
+
+def block_sketches(limit: int):
+    """Of two blocks, the rows whose sketch is within `limit` bits of one of another component on the other side."""
+
+    def side(table: pa.Table, suffix: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sketch = table.column(f"sketch{suffix}").combine_chunks().flatten().to_numpy().reshape(table.num_rows, SKETCH_LONGS)
+        return sketch.view(np.uint64), table.column(f"component{suffix}").to_numpy(), table.column(f"doc_id{suffix}").to_numpy()
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        found = np.zeros(0, np.int64)
+        if left.num_rows and right.num_rows:
+            (of_a, comp_a, id_a), (of_b, comp_b, id_b) = side(left, "_l"), side(right, "_r")
+            hit_b = np.zeros(len(id_b), bool)
+            hit_a = np.zeros(len(id_a), bool)
+            for i, (x, comp) in enumerate(zip(of_a, comp_a, strict=True)):
+                near = (np.bitwise_count(of_b ^ x).sum(axis=1) <= limit) & (comp_b != comp)
+                hit_a[i] = near.any()
+                hit_b |= near
+            found = np.concatenate([id_a[hit_a], id_b[hit_b]])
+        return pa.table({"band": pa.array(np.full(len(found), key[0].as_py()), pa.int32()), "bucket": pa.array(np.full(len(found), key[1].as_py()), pa.int64()), "doc_id": pa.array(found, pa.int64())})
+
+    return run
+
+
 def block_links(percent: int):
     """Links (a, b) between rows of one block and rows of another, of different components, by exact overlaps of their shingle sets."""
 
@@ -153,87 +187,104 @@ def block_links(percent: int):
     return run
 
 
-def links_within(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links between the minor rows (band, bucket, doc_id, component, minor) of each bucket and its other rows of other components.
-
-    Both sides of a bucket are dealt into blocks of about BLOCK_SHINGLES shingles, which meet block by block;
-    only links leave a block.
-    """
-    sets = shingle_sets(docs.join(rows.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")).select(F.col("doc_id").cast("long").alias("doc_id"), "shingles")
-    full = cut(rows.join(sets.distinct().hint("merge"), "doc_id"))
+def blocks(rows: DataFrame, weight, size: int, columns: list[str]):
+    """The minor rows of each bucket and all its rows, both dealt into blocks of about `size` of weight, so that each pair of blocks of a bucket meets once."""
     bucket = ["band", "bucket"]
-    weight = F.size("shingles") + 256
-    blocks = lambda total: F.greatest(F.lit(1), F.ceil(F.coalesce(total, F.lit(0)) / BLOCK_SHINGLES)).cast("int")
-    sizes = cut(full.groupBy(*bucket).agg(blocks(F.sum(F.when(F.col("minor"), weight))).alias("nl"), blocks(F.sum(weight)).alias("nr")))
+    number = lambda total: F.greatest(F.lit(1), F.ceil(F.coalesce(total, F.lit(0)) / size)).cast("int")
+    sizes = cut(rows.groupBy(*bucket).agg(number(F.sum(F.when(F.col("minor"), weight))).alias("nl"), number(F.sum(weight)).alias("nr"), F.count(F.lit(1)).alias("n")))
     spot = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    spread = full.join(sizes, bucket)
-    unit, columns = [*bucket, "bl", "br"], ["doc_id", "component", "shingles"]
+    spread = look_up(rows, sizes, bucket, F.col("doc_id"))
+    unit = [*bucket, "bl", "br"]
     left = spread.where("minor").withColumn("bl", spot("nl")).withColumn("br", all_of("nr")).select(*(F.col(c).alias(f"{c}_l") for c in [*unit, *columns]))
     right = spread.withColumn("br", spot("nr")).withColumn("bl", all_of("nl")).select(*(F.col(c).alias(f"{c}_r") for c in [*unit, *columns]))
-    both = left.groupBy(*(f"{c}_l" for c in unit)).cogroup(right.groupBy(*(f"{c}_r" for c in unit)))
+    return left.groupBy(*(f"{c}_l" for c in unit)).cogroup(right.groupBy(*(f"{c}_r" for c in unit)))
+
+
+def links_within(rows: DataFrame, docs: DataFrame, sketches: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Links between the minor rows (band, bucket, doc_id, component, minor) of each bucket and its other rows of other components.
+
+    Both sides of a bucket are dealt into blocks, which meet block by block: first sketches, which leave the
+    rows that have a plausible partner; then full sets of these. Only links leave a block of sets.
+    """
+    drawn = cut(rows.join(sketches.hint("merge"), "doc_id"))
+    near = cut(blocks(drawn, F.lit(1), BLOCK_SKETCHES, ["doc_id", "component", "sketch"]).applyInArrow(block_sketches(limit), "band int, bucket long, doc_id long").distinct())
+    left = rows.join(near.hint("merge"), ["band", "bucket", "doc_id"], "left_semi")
+    sets = shingle_sets(docs.join(near.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")).distinct()
+    full = cut(left.join(sets.hint("merge"), "doc_id"))
+    both = blocks(full, F.size("shingles") + 256, BLOCK_SHINGLES, ["doc_id", "component", "shingles"])
     return both.applyInArrow(block_links(percent), "a long, b long").where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """doc_id and component (smallest id reachable) of every end of an edge (a, b): least labels of neighbours, and of labels, until nothing changes."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.col("a"), F.min("b")).alias("component")))
+    steps = Steps(edges.sparkSession)
+    both = steps.cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
+    labels = steps.cut(both.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.col("a"), F.min("b")).alias("component")))
     while True:
         near = both.join(labels.select(F.col("doc_id").alias("b"), "component"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("component").alias("near"))
         step = labels.join(near, "doc_id").select("doc_id", F.col("component").alias("old"), F.least("component", "near").alias("new"))
         beyond = labels.select(F.col("doc_id").alias("new"), F.col("component").alias("beyond"))
-        step = cut(step.join(beyond, "new").select("doc_id", "old", F.least("new", "beyond").alias("component")))
-        labels = step.select("doc_id", "component")
-        if step.where("old <> component").isEmpty():
-            return labels
+        # the rows of a frequent end or label are a few numbers each, and Spark splits such a join where it gets large
+        after = steps.cut(step.join(beyond, "new").select("doc_id", "old", F.least("new", "beyond").alias("component")))
+        steps.drop(labels)
+        labels = after
+        if after.where("old <> component").isEmpty():
+            steps.drop(both)
+            return after.select("doc_id", "component")
 
 
 def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs.
 
     Documents whose distinct five-word shingles overlap by `percent` of their union or more are linked;
-    component_id is the smallest doc_id reachable. Null, empty and wordless texts have no shingles and are
-    linked with nothing. Rows without doc_id take no part: component_id null, kept true. Repeated rows come
-    out as often as they went in. No bucket, group or text is capped.
+    component_id is the smallest doc_id reachable. doc_id is a whole number; ids of another type raise TypeError.
+    Null, empty and wordless texts have no shingles and are linked with nothing. Rows without doc_id take no
+    part: component_id null, kept true. Repeated rows come out as often as they went in. No bucket, group or
+    text is capped.
     """
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        raise TypeError(f"doc_id must be a whole number, not {kind.simpleString()}")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    limit = most_bits(percent, bands_for(percent) * ROWS)
+    steps, bucket = Steps(docs.sparkSession), ["band", "bucket"]
     seen = cut(signatures(docs, percent))
     full = seen.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    firsts = cut(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("first")))
-    rep = full.join(firsts.hint("merge"), ["d1", "d2"]).where("doc_id = first").dropDuplicates(["doc_id", "d1", "d2"])
-    bucketed = cut(rep.select("doc_id", F.posexplode("bands").alias("band", "bucket")))
-    leaders = bucketed.groupBy("band", "bucket").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    crowded = cut(bucketed.join(leaders.hint("merge"), ["band", "bucket"]))
-    sketches = rep.select("doc_id", "sketch")
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")).hint("merge"), "a")
-        two = one.join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")).hint("merge"), "b")
-        return two.where(bits_apart(F.col("sa"), F.col("sb")) <= limit).select("a", "b").distinct()
+    # rows of one digest have the same set, so the same bands and sketch; copies are combined before they leave a task
+    rep = steps.cut(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    sketches = rep.groupBy("doc_id").agg(F.first("sketch").alias("sketch"))  # a doc_id may stand for the sets of several rows
+    bucketed = steps.cut(rep.select("doc_id", F.posexplode("bands").alias("band", "bucket")))
+    leaders = bucketed.groupBy(*bucket).agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    leaders = steps.cut(leaders)
+    crowded = steps.cut(look_up(bucketed, leaders, bucket, F.col("doc_id")).where("a IS NOT NULL"))
+    steps.drop(bucketed)
 
-    limit = most_bits(percent, bands_for(percent) * ROWS)
     star = crowded.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    links = cut(confirmed(cut(plausible(star)), docs, percent))
+    pairs = steps.cut(plausible(star, sketches, limit))
+    links = steps.cut(confirmed(pairs, docs, percent))
     first_labels = components(links)
 
-    labelled = crowded.join(first_labels.hint("merge"), "doc_id", "left").select("band", "bucket", "a", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    lead = labelled.where("doc_id = a").select("band", "bucket", F.col("component").alias("lead"))
-    placed = labelled.where("doc_id <> a").join(lead.hint("merge"), ["band", "bucket"])
-    torn = placed.where("component <> lead").select("band", "bucket").distinct()
-    others = cut(placed.join(torn, ["band", "bucket"], "left_semi").select("band", "bucket", "doc_id", "component", (F.col("component") != F.col("lead")).alias("minor")))
-    more = cut(links_within(others, docs, percent))
+    named = leaders.join(first_labels.select(F.col("doc_id").alias("a"), F.col("component").alias("lead")).hint("merge"), "a", "left").select(*bucket, "n", F.coalesce("lead", "a").alias("lead"))
+    labelled = crowded.join(first_labels.hint("merge"), "doc_id", "left").select(*bucket, "a", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    placed = steps.cut(look_up(labelled.where("doc_id <> a"), named, bucket, F.col("doc_id")))
+    torn = placed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("component") != F.col("lead")).alias("torn")).where("torn")
+    others = steps.cut(look_up(placed, torn, bucket, F.col("doc_id")).where("torn").select(*bucket, "doc_id", "component", (F.col("component") != F.col("lead")).alias("minor")))
+    more = steps.cut(links_within(others, docs, sketches, percent, limit))
     labels = first_labels if more.isEmpty() else components(links.union(more))
 
-    placed_firsts = firsts.join(labels.withColumnRenamed("doc_id", "first"), "first", "left").select("d1", "d2", F.coalesce("component", "first").alias("component"))
-    out = seen.drop("bands", "sketch").join(placed_firsts, ["d1", "d2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    firsts = rep.select("d1", "d2", "n", F.col("doc_id").alias("first"))
+    component = cut(firsts.join(labels.withColumnRenamed("doc_id", "first").hint("merge"), "first", "left").select("d1", "d2", "n", F.coalesce("component", "first").alias("component_id")))
+    steps.drop(rep, leaders, crowded, pairs, links, placed, others, more)
+    linked = look_up(full.select("doc_id", "n_shingles", "d1", "d2"), component, ["d1", "d2"], F.col("doc_id")).select("doc_id", "n_shingles", "component_id")
+    alone = seen.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs with the document of smallest doc_id of each component; rows without doc_id stay."""
     gone = classes(docs, percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 SQL = r"""
