@@ -37,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens and the decoded text of each document."""
     path, pattern = tokenizer_file("byte_bpe_multi_50k.tiktoken"), word_pattern()
-    both = bpe.decode(bpe.encode(docs, path, pattern, keep=("doc_id", "lang", "source")), path, pattern)
+    both = bpe.encode_decode(docs, path, pattern, keep=("doc_id", "lang", "source"))
     return both.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.decode("decoded", "UTF-8").alias("text"))
 
 
