@@ -12,13 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlake.llm.common import cut
+from spendlake.llm.common import cut, lean
 
-#: Tables, and probed buckets of each. In 64 random-like dimensions nothing is much nearer than the rest: the probes of
-#: all tables together meet 0.9 of the rows to find 0.92 (of 500 rows) to 0.99 (of 50,000) of the 10 nearest. Vectors
-#: that lie in clusters need far fewer.
+#: Tables. How many buckets of each are probed is measured for the data at hand: as many as find RECALL of the nearest of
+#: TRIAL_QUERIES queries, drawn by a hash. Vectors that lie in clusters need one or two; in 64 random-like dimensions,
+#: where nothing is much nearer than the rest, it takes about twenty.
 TABLES = 5
-PROBES = 24
+RECALL = 0.97
+TRIAL_QUERIES = 256
 #: Vectors and queries of a block, and of a distance matrix within it.
 BLOCK_VECTORS = 8192
 BLOCK_QUERIES = 2048
@@ -66,7 +67,7 @@ def valid_vectors(embeddings: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64()))], names=["vec_id", "vector", "width", "d1", "d2"])
 
     vectors = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return vectors.mapInArrow(run, "vec_id long, vector binary, width int, d1 long, d2 long")
+    return vectors.mapInArrow(lean(run), "vec_id long, vector binary, width int, d1 long, d2 long")
 
 
 def hashed(vectors: DataFrame, probes: int, tables: int) -> DataFrame:
@@ -86,7 +87,7 @@ def hashed(vectors: DataFrame, probes: int, tables: int) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.full(len(x), table, "i4")), pa.array(near[:, p].astype("i4"))], names=names)
 
     names = [*vectors.columns, "table", "bucket"]
-    return vectors.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema) + ", `table` int, bucket int")
+    return vectors.mapInArrow(lean(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema) + ", `table` int, bucket int")
 
 
 def best_of_block(k: int):
@@ -134,29 +135,53 @@ def best(found: DataFrame, keys: list[str], k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def brute_force(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The k nearest of all vectors (d1, d2, vec_id, score) for each query, in blocks."""
+    one = lambda df: df.withColumn("table", F.lit(-1)).withColumn("bucket", F.lit(0))
+    return best(meet(one(queries), one(vectors), k), ["d1", "d2"], k).drop("rank")
+
+
+def probes_needed(queries: DataFrame, vectors: DataFrame, k: int, tables: int, recall: float, trial: int = TRIAL_QUERIES) -> int:
+    """Probes a table that find `recall` of the k nearest of at most `trial` queries, by comparison with all vectors.
+
+    A neighbour is found by so many probes as the place of its bucket among the query's nearest axes, in the
+    table where that is least. What reaches the driver is bounded by trial and k.
+    """
+    asked = cut(queries.orderBy("d1", "d2").limit(trial))
+    true = brute_force(asked, vectors, k + 1).select("d1", "d2", "vec_id")
+    sides = true.join(vectors.select(F.explode("ids").alias("vec_id"), "vector"), "vec_id").join(asked.select("d1", "d2", F.col("vector").alias("q")), ["d1", "d2"])
+    pairs = sides.select("q", "vector").limit(trial * (k + 1)).toArrow()
+    places = []
+    for q, v in zip(pairs["q"].to_pylist(), pairs["vector"].to_pylist(), strict=True):
+        both = np.stack([np.frombuffer(q), np.frombuffer(v)])
+        places.append(min(int((of_q > of_q[of_v.argmax()]).sum()) for of_q, of_v in (axes(both, t) for t in range(tables))))
+    return 1 + int(np.quantile(places, recall, method="higher")) if places else 1
+
+
+def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, tables: int = TABLES, probes: int | None = None, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of the k nearest rows found for each row whose vec_id is divisible by `every`.
 
-    A row is never its own neighbour; ties go to the smaller vec_id; repeated rows of one vec_id count as one.
-    Rows without id and vectors that are null, empty, zero or hold null or non-finite numbers take no part;
+    probes: buckets probed of each table; by default as many as find `recall` of the nearest of a sample of the
+    queries. A row is never its own neighbour; ties go to the smaller vec_id; repeated rows of one vec_id count as
+    one, and of different vectors of one vec_id the one of least digest counts. Rows without id and vectors that are
+    null, empty, zero, hold null or non-finite numbers, or are so long that their square overflows take no part;
     vectors of different widths never meet. Queries whose probes hold fewer than k other rows are compared
     with all rows, in blocks; where there are fewer candidates, all come back. No bucket is capped.
     """
-    rows = cut(valid_vectors(embeddings).dropDuplicates(["vec_id"]))
-    # of equal vectors, only the k + 1 smallest ids can be among anyone's k nearest
+    rows = valid_vectors(embeddings).groupBy("vec_id").agg(F.min(F.struct("d1", "d2", "width", "vector")).alias("least"))
+    rows = cut(rows.select("vec_id", "least.*"))
+    # of equal vectors, only the k + 1 smallest ids can be among anyone's k nearest; Spark ranks within tasks before copies meet
     few = Window.partitionBy("d1", "d2").orderBy("vec_id")
     firsts = rows.withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + 1)
     distinct = cut(firsts.groupBy("d1", "d2", "width").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("vector").alias("vector")))
     asked = rows.where(F.col("vec_id") % every == 0)
     queries = cut(asked.dropDuplicates(["d1", "d2"]).select("d1", "d2", "width", "vector"))
+    probes = probes or probes_needed(queries, distinct, k, tables, recall)
     found = meet(hashed(queries, probes, tables), hashed(distinct, 1, tables), k + 1)
     top = cut(best(found.distinct(), ["d1", "d2"], k + 1).drop("rank"))
     enough = top.groupBy("d1", "d2").count().where(F.col("count") > k)
     rest = cut(queries.join(enough, ["d1", "d2"], "left_anti"))
     if not rest.isEmpty():
-        one = lambda df: df.withColumn("table", F.lit(-1)).withColumn("bucket", F.lit(0))
-        more = best(meet(one(rest), one(distinct), k + 1), ["d1", "d2"], k + 1).drop("rank")
-        top = top.join(rest.select("d1", "d2"), ["d1", "d2"], "left_anti").union(more)
+        top = top.join(rest.select("d1", "d2"), ["d1", "d2"], "left_anti").union(brute_force(rest, distinct, k + 1))
     own = asked.select(F.col("vec_id").alias("query_id"), "d1", "d2").join(top, ["d1", "d2"]).where("query_id <> vec_id")
     return best(own, ["query_id"], k).select("query_id", "rank", "vec_id", "score")
-
