@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -41,6 +42,23 @@ def test_neighbours(spark):
     assert found >= 0.9 * 200
 
 
+def test_probes_follow_the_data(spark):
+    """Clusters need few probes, and the least digest counts where a vec_id has two vectors, in whatever order they come."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 32))
+    x = centres[rng.integers(0, 40, 1600)] + rng.normal(size=(1600, 32)) * 0.05
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(100, [1.0] * 32)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    one, two = (sorted(map(tuple, ann.nearest(d).collect())) for d in (df, df.orderBy(df.vec_id.desc()).repartition(3)))
+    assert one == two
+    valid = ann.valid_vectors(df).where("vec_id % 100 = 0").select("d1", "d2", "width", "vector")
+    every = ann.valid_vectors(df).selectExpr("d1", "d2", "width", "array(vec_id) AS ids", "vector")
+    assert ann.probes_needed(valid, every, 10, 5, 0.95) <= 3
+    own = {r[2] for r in one if r[0] == 200}
+    true = {int(i) for i in np.argsort(((x - x[200]) ** 2).sum(1), kind="stable")[:11]} - {200}
+    assert len(own & true) >= 9
+
+
 def test_neighbours_of_few_and_none(spark):
     _, df = vectors(spark)
     assert ann.nearest(df.where("vec_id IN (0, 3, 7)")).select("query_id", "rank", "vec_id").collect().__len__() == 2
@@ -140,18 +158,38 @@ def brute_kneser_ney(train, text, n=5):
 @pytest.mark.parametrize("broadcast", [0, 1 << 19])
 def test_perplexity(spark, broadcast, monkeypatch):
     monkeypatch.setattr(kneser_ney, "BROADCAST_GRAMS", broadcast)
+    if not broadcast:  # a filter so small that it lets most documents through
+        monkeypatch.setattr(kneser_ney, "BLOCK_BITS", 64)
+        monkeypatch.setattr(kneser_ney, "MOST_BLOCKS", 1)
     rnd = random.Random(8)
     good = ["".join(rnd.choice(["ba", "do ", "ri", "mu", "te "]) for _ in range(60)).strip() for _ in range(40)]
     texts = good + ["Do  BA\nri", None, "", "  ", "zzqqxx" * 50, "é", "do ba ri " * 3000, "same do", "same do"]
-    docs = spark.createDataFrame([(i if t != "é" else None, t, "xx", 7) for i, t in enumerate(texts)], "doc_id long, text string, lang string, perplexity int")
-    labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(44, 0)], "doc_id long, quality int")
+    rows = [(i if t != "é" else None, t, "xx", 7) for i, t in enumerate(texts)]
+    swapped = [(100 + i, good[i].replace("ba", "xo"), None, 7) for i in range(20)] + [(200, "do ba ri", "zz", 7)]
+    docs = spark.createDataFrame(rows + swapped, "doc_id long, text string, lang string, perplexity int")
+    labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(44, 0), (None, 1)] + [(100 + i, 1) for i in range(10)], "doc_id long, quality int")
     got = kneser_ney.quality(docs, labels).collect()
-    assert len(got) == len(texts)
-    train = [kneser_ney.normal(t) for t in good[:30]]
+    assert len(got) == len(rows) + len(swapped)
+    trained = [i for i in [*range(30), *range(100, 110)] if zlib.crc32(str(i).encode()) % kneser_ney.FOLDS]
+    own, other = ([kneser_ney.normal(r[1]) for r in rows + swapped if r[0] in trained and r[2] == lang] for lang in ("xx", None))
     by = {r.doc_id: r for r in got}
-    for i in (0, 35, 40, 44):
-        assert math.isclose(by[i].perplexity, brute_kneser_ney(train, kneser_ney.normal(texts[i])), rel_tol=1e-4)
-    assert [by[i].keep for i in (0, 35, 40, 41, 42, 43, 44, 46)] == [True, True, by[40].keep, False, False, False, False, by[46].keep]
-    assert by[41].perplexity is None and by[44].threshold > 0
+    for i in (0, 35, 40, 44, 46):
+        assert math.isclose(by[i].perplexity, brute_kneser_ney(own, kneser_ney.normal(texts[i])), rel_tol=1e-4)
+    for i in (100, 115):
+        assert math.isclose(by[i].perplexity, brute_kneser_ney(other, kneser_ney.normal(swapped[i - 100][1])), rel_tol=1e-4) and by[i].lang is None
+    for lang, ids in (("xx", range(30)), (None, range(100, 110))):
+        held = [by[i].perplexity for i in ids if i not in trained]
+        assert held and all(math.isclose(r.threshold, max(held), rel_tol=1e-9) for r in got if r.lang == lang)
+    assert all(r.keep == (r.perplexity <= r.threshold) for r in got if r.perplexity and r.threshold)
+    assert by[200].threshold is None and by[200].keep and math.isclose(by[200].perplexity, 1000, rel_tol=1e-5)
+    assert not by[44].keep and by[41].perplexity is None and not any(by[i].keep for i in (41, 42, 43))
     assert kneser_ney.quality(docs.limit(0), labels).count() == 0
     assert kneser_ney.quality(docs, labels.limit(0)).where("perplexity IS NOT NULL AND NOT keep").count() == 0
+
+
+def test_grams_stay_within_texts():
+    high, low, sizes = kneser_ney.grams(["abcdef", "", "é🙂"], [3, 0, 7])
+    start = ord(kneser_ney.START)
+    points = [(h >> 42, h >> 21 & 0x1FFFFF, h & 0x1FFFFF, w >> 42, w >> 21 & 0x1FFFFF, w & 0x1FFFFF) for h, w in zip(high.tolist(), low.tolist())]
+    want = [(lang, *([start] * 4 + list(map(ord, t)))[i : i + 5]) for t, lang in (("abcdef", 3), ("é🙂", 7)) for i in range(len(t))]
+    assert points == want and sizes.tolist() == [6, 0, 2]
