@@ -59,6 +59,12 @@ def with_txn(body: str, *more: str) -> str:
     return f"WITH {', '.join([t.TXN_SQL, *more])} {body}"
 
 
+def way(*parts: str) -> str:
+    """SQL of a JSON list of categories and amounts, given in turn."""
+    each = [f"""'{{"category":"' || {c} || '","amount_paise":' || ({a}) || '}}'""" for c, a in zip(parts[::2], parts[1::2], strict=True)]
+    return "'[' || " + " || ',' || ".join(each) + " || ']'"
+
+
 ORACLE_SQL = {
     "spend_total": with_txn(f"SELECT user_id, CAST(coalesce(sum(amount_paise) FILTER ({SPEND} AND txn_time >= TIMESTAMP '2024-01-08' AND txn_time < TIMESTAMP '2024-01-22'), 0) AS BIGINT) AS total_paise FROM txn GROUP BY user_id"),
     "weekly_summary": with_txn(
@@ -105,6 +111,19 @@ ORACLE_SQL = {
         FROM cash WHERE entry_type = 'CASH_SPEND' GROUP BY ALL) QUALIFY place <= 6""",
         t.CASH_SQL,
     ),
+    "cash_breakdowns": with_txn(
+        f"""SELECT id, '[' || {way("c[1]", "t")} || CASE WHEN len(c) >= 2 THEN ',' || {way("c[1]", "b1", "c[2]", "t - b1")} ELSE '' END
+          || CASE WHEN len(c) >= 3 THEN ',' || {way("c[1]", "d1", "c[2]", "d2", "c[3]", "t - d1 - d2")} WHEN other IS NOT NULL THEN ',' || {way("other", "t")} ELSE '' END || ']' AS ways
+        FROM (SELECT *, least(t - d1 - 1000, greatest(1000, t * w[2] // (w[1] + w[2] + w[3]) // 1000 * 1000)) AS d2 FROM (
+          SELECT *, least(t - 1000, greatest(1000, t * w[1] // (w[1] + w[2]) // 1000 * 1000)) AS b1, least(t - 2000, greatest(1000, t * w[1] // (w[1] + w[2] + w[3]) // 1000 * 1000)) AS d1 FROM (
+            SELECT a.id, t, coalesce(c, usual) AS c, coalesce(w, [1, 1, 1]) AS w, list_filter(usual, lambda u: NOT list_contains(coalesce(c, usual), u))[1] AS other FROM (
+              SELECT a.id, a.user_id, ['DINING_OUT', 'TRANSPORT', 'SHOPPING'] AS usual, greatest(0, a.amount_paise - CAST(coalesce(sum(b.amount_paise), 0) AS BIGINT)) AS t
+              FROM cash a LEFT JOIN cash b ON a.user_id = b.user_id AND b.occurred_at >= a.occurred_at AND b.entry_type IN ('CASH_SPEND', 'UNACCOUNTED') WHERE a.entry_type = 'ATM_WITHDRAWAL' GROUP BY a.id, a.user_id, a.amount_paise) a
+            LEFT JOIN (SELECT user_id, list(category ORDER BY place) AS c, list(total ORDER BY place) AS w FROM (
+              SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, category) AS place FROM (SELECT user_id, category, count(*) AS n, CAST(sum(amount_paise) AS BIGINT) AS total FROM cash WHERE entry_type = 'CASH_SPEND' GROUP BY ALL)
+              QUALIFY place <= 6) WHERE total > 0 GROUP BY user_id) h ON h.user_id = a.user_id WHERE t >= 5000)))""",
+        t.CASH_SQL,
+    ),
     "due_summaries": with_txn(
         f"""SELECT u.user_id, 'daily:2024-01-20' AS dedupe_key, coalesce(total_paise, 0) AS total_paise, coalesce(n, 0) AS n FROM (SELECT DISTINCT user_id FROM txn) u
         LEFT JOIN (SELECT user_id, CAST(sum(amount_paise) AS BIGINT) AS total_paise, count(*) AS n FROM txn WHERE {ANY_SPEND} AND {DAY} = DATE '2024-01-20' GROUP BY user_id) s ON s.user_id = u.user_id
