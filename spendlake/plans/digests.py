@@ -4,7 +4,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from spendlake.functions import commitments, grounding, money
+from spendlake.functions import commitments, grounding, messages, money
 from spendlake.operators import datasets, digests, forecast, ingest, memory, personas
 from spendlake.plans import texts
 from spendlake.plans.payments import DAY, WEEK, with_txn
@@ -117,6 +117,19 @@ def manifests(s, d):
     return t.table(s, d, "region").select(F.concat(F.lit("v"), F.col("r_regionkey") % 3).alias("version"), F.lit("Q4_K").alias("quant"), F.col("r_name").alias("sha256"))
 
 
+def day_texts(s, d):
+    from spendlake.operators.cash import balances
+
+    rows = digests.days(t.transactions(s, d), t.cash_ledger(s, d)).join(balances(t.cash_ledger(s, d)).select("user_id", "balance_paise"), "user_id", "left")
+    return rows.select("user_id", "day", messages.day_text(F.col("day"), F.col("total_paise"), F.col("n"), F.col("cash_paise"), F.col("top"), F.coalesce("balance_paise", F.lit(0))).alias("text"))
+
+
+def forecast_labels(s, d):
+    rows = t.transactions(s, d)
+    early, late = (F.when(F.col("k") % m > 0, F.expr(f"date_add(date'2024-01-28', cast(k % {m} as int))")) for m in (20, 40))
+    return rows.select("id", messages.broke_range(early, late, F.to_date(now()), F.lit(45)).alias("text"))
+
+
 def distilled(s, d):
     rows = t.messages(s, d)
     return rows.select("event_id", F.when(F.col("k") % 9 > 0, t.pick(["a", "b"], F.col("k") % 2)).alias("first_label"), F.when(F.col("k") % 11 > 0, t.pick(["a", "b"], F.col("k") % 4 % 2)).alias("second_label"))
@@ -139,6 +152,9 @@ QUERIES = {
     "register_model": lambda s, d: ingest.register(s.createDataFrame([("parser-v1-q4_k", "PARSER", "ACTIVE", True, "old")], "id string, kind string, status string, gate_passed boolean, sha256 string"), manifests(s, d)),
     "refund_cases": lambda s, d: digests.refund_cases(cases(s, d), 3),
     "memory_writes": lambda s, d: memory.written(texts.promises(s, d).join(t.transactions(s, d).select("id", "user_id"), "id"), t.alerts(s, d), F.lit(date(2026, 2, 1))),
+    "day_texts": day_texts,
+    "cash_logged_texts": lambda s, d: t.cash_ledger(s, d).select("id", messages.logged_text(F.col("entry_type"), F.col("amount_paise"), F.col("note"), F.col("category")).alias("text")),
+    "forecast_labels": forecast_labels,
     "undo_cash": lambda s, d: ingest.undo_cash(t.cash_ledger(s, d), t.cash_ledger(s, d).where("user_id % 3 = 0").select(F.expr("case when amount_paise % 2 = 0 then id else substring(id, 3) end").alias("id"))).select("id"),
     "commitment_due_at": lambda s, d: memories(s, d).select("id", commitments.due_at(F.col("due_at")).alias("due")),
     "review_queue": lambda s, d: datasets.unreviewed(datasets.review_queue(distilled(s, d)), t.messages(s, d).where("seq % 5 = 0").select("event_id")).select("event_id", "reason"),
@@ -203,6 +219,12 @@ def repeat_sql() -> str:
     return REPEAT_SQL.format(key=PAYEE_KEY.format(f"({KEY_SQL})"))
 
 
+def inr(paise: str) -> str:
+    """SQL of an amount above 0 in Indian grouping."""
+    whole = f"CAST(({paise}) // 100 AS VARCHAR)"
+    return f"('₹' || CASE WHEN length({whole}) <= 3 THEN {whole} ELSE reverse(substr(reverse({whole}), 1, 3) || regexp_replace(substr(reverse({whole}), 4), '(..?)', ',\\1', 'g')) END || '.' || lpad(CAST(({paise}) % 100 AS VARCHAR), 2, '0'))"
+
+
 NUMBERS_SQL = "n AS (SELECT id, CAST(amount_paise / 100.0 AS DECIMAL(30, 4)) AS a, CAST(k + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS DECIMAL(30, 4)) AS b, CAST(seq * 1000 AS DECIMAL(30, 4)) AS c, CAST(k % 28 + 1 AS DECIMAL(30, 4)) AS d, [CAST(amount_paise / 100.0 AS DECIMAL(30, 4)), CAST(round_even(CAST(amount_paise AS DOUBLE) / 100, 0) AS DECIMAL(30, 4)), k, seq * 1000, k % 28 + 1] AS ok FROM txn)"
 ORACLE_SQL = {
     "paise_to_rupees": with_txn("SELECT id, CAST(amount_paise * (seq - 500) / 100.0 AS DECIMAL(20, 2)) AS rupees FROM txn"),
@@ -225,6 +247,20 @@ ORACLE_SQL = {
         UNION ALL SELECT id, user_id, 'PREFERENCE', 'Finds roasts about ' || lower(replace(category, '_', ' ')) || ' not fair', 0.8, NULL FROM alert WHERE reaction = 'NOT_FAIR'""",
         t.ALERT_SQL,
     ),
+    "day_texts": with_txn(
+        f"""SELECT user_id, p AS day, '📊 Today, ' || strftime(p, '%-d %b') || chr(10) || CASE WHEN n = 0 AND cash_paise = 0 THEN 'No spends recorded today. 🙌' ELSE 'Spent ' || {inr("total_paise")} || ' in ' || n || ' payment' || CASE n WHEN 1 THEN '' ELSE 's' END || CASE WHEN cash_paise > 0 THEN ' + ' || {inr("cash_paise")} || ' cash' ELSE '' END END
+          || CASE WHEN names <> '' THEN chr(10) || 'Top: ' || names ELSE '' END || chr(10) || CASE WHEN b >= 0 THEN 'Cash in hand: ' || {inr("b")} ELSE 'You logged ' || {inr("-b")} || ' more than tracked cash' END AS text FROM (
+          SELECT *, coalesce((SELECT CAST(sum(CASE WHEN entry_type IN ('ATM_WITHDRAWAL', 'CASH_RECEIVED') THEN amount_paise ELSE -amount_paise END) AS BIGINT) FROM cash c WHERE c.user_id = digest.user_id), 0) AS b, array_to_string(list_transform(list_filter(string_split(top, ','), lambda x: x <> ''), lambda x: regexp_replace(x, ':[0-9]+$', '') || ' ' || {inr("CAST(regexp_extract(x, '[0-9]+$') AS BIGINT)")}), ', ') AS names FROM digest)""",
+        t.CASH_SQL, digest_sql(DAY, CASH_DAY, SPEND, "coalesce(merchant_raw, 'unknown')", False),
+    ),
+    "cash_logged_texts": with_txn(
+        f"""SELECT id, '✅ Logged ' || CASE entry_type WHEN 'CASH_SPEND' THEN 'cash spend' WHEN 'CASH_RECEIVED' THEN 'cash received' WHEN 'ATM_WITHDRAWAL' THEN 'ATM withdrawal' ELSE 'unaccounted cash' END || ' ' || {inr("amount_paise")} || coalesce(' · ' || note, '')
+          || CASE WHEN category = 'CASH_UNCATEGORIZED' THEN '' ELSE ' (' || lower(replace(category, '_', ' ')) || ')' END AS text FROM cash""",
+        t.CASH_SQL,
+    ),
+    "forecast_labels": with_txn(
+        """SELECT id, CASE WHEN a = b THEN a ELSE a || ' – ' || b END AS text FROM (SELECT id, CASE WHEN k % 20 > 0 THEN strftime(DATE '2024-01-28' + CAST(k % 20 AS INTEGER), '%-d %b') ELSE 'after 13 Mar' END AS a, CASE WHEN k % 40 > 0 THEN strftime(DATE '2024-01-28' + CAST(k % 40 AS INTEGER), '%-d %b') ELSE 'after 13 Mar' END AS b FROM txn)"""
+    ),
     "undo_cash": with_txn("SELECT id FROM cash WHERE user_id % 3 > 0", t.CASH_SQL),
     "commitment_due_at": f"WITH {MEMORY_SQL} SELECT id, CAST(due_at AS TIMESTAMP) + INTERVAL '18 hours 29 minutes' AS due FROM memory",
     "review_queue": with_txn(
