@@ -49,6 +49,13 @@ def read_rules(spark: SparkSession, path: str) -> list[dict]:
     return rules
 
 
+def exported_schemas() -> dict[str, str]:
+    """The schemas of wire formats by name, as Spark's JSON."""
+    from pyspark.sql.types import StructType
+
+    return {name: StructType.fromDDL(ddl).json() for name, ddl in (("labeled-example", EXAMPLE), ("envelope", ENVELOPE), ("raw-event-payload", RAW_PAYLOAD), ("rule", RULE))}
+
+
 def from_envelopes(messages: DataFrame) -> DataFrame:
     """Raw events of topic messages (key, value): the envelope's fields beside its payload's; what can't be read has `fault` set."""
     e = messages.select(F.col("value").cast("string").alias("value")).withColumn("e", F.from_json("value", ENVELOPE)).withColumn("p", F.from_json("e.payload", RAW_PAYLOAD))

@@ -199,6 +199,17 @@ def test_rules_from_a_file(spark, tmp_path):
         files.read_rules(spark, str(tmp_path / "bad.json"))
 
 
+def test_exported_schemas_read_back(spark):
+    import json
+
+    from pyspark.sql.types import StructType
+    from spendlake.sources import files
+
+    schemas = files.exported_schemas()
+    assert set(schemas) == {"labeled-example", "envelope", "raw-event-payload", "rule"}
+    assert StructType.fromJson(json.loads(schemas["envelope"])) == spark.createDataFrame([], files.ENVELOPE).schema
+
+
 def test_many_rules_meet_by_a_join(spark, monkeypatch):
     """Rules in the plan and rules by a join try the same and find the same."""
     rules = parsing.rule_table(spark, seed_rules_and_more())
