@@ -38,7 +38,7 @@ def vectors(texts: list[str], width: int = WIDTH) -> np.ndarray:
     place = np.ascontiguousarray(digests[:, :4]).view(">u4").ravel().astype(np.int64) % width
     sign = np.where(digests[:, 4] & 1, 1.0, -1.0)
     rows, which = np.concatenate([np.zeros(0, np.int64), *owner]), np.concatenate([np.zeros(0, np.int64), *feature])
-    sums = np.bincount(rows * width + place[which], weights=sign[which], minlength=len(texts) * width).reshape(len(texts), width)
+    sums = np.bincount(rows * width + place[which], weights=sign[which], minlength=len(texts) * width).astype(float).reshape(len(texts), width)
     sizes = np.linalg.norm(sums, axis=1, keepdims=True)
     return np.divide(sums, sizes, out=np.zeros_like(sums), where=sizes > 0)
 

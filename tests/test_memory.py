@@ -32,8 +32,9 @@ def near(a, b):
 
 def test_vectors():
     texts = ["", "a", "Rent due ₹500", "rent due ₹500 " * 400, "ñandú, 日本語!", "..."]
-    for text, got in zip(texts, memory.vectors(texts), strict=True):
-        assert near(got.tolist(), plain(text))
+    for some in (texts, ["", "..."], []):
+        for text, got in zip(some, memory.vectors(some), strict=True):
+            assert near(got.tolist(), plain(text))
 
 
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="the test tables are not here")
