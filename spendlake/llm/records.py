@@ -39,7 +39,7 @@ MASK = 0xA282EAD8
 #: Bytes that a reader takes from a file at once.
 READ_BYTES = 8 << 20
 #: Bytes that a writing worker's memory of words may take.
-MEMORY_BYTES = 96 << 20
+MEMORY_BYTES = 160 << 20
 
 MANIFEST = T.StructType(
     [
@@ -106,8 +106,11 @@ class LibraryEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; none for null and empty ones."""
-        out = self.words.encode([None if self.marked(t) else t for t in texts])
-        return [self.around_marks(t) if self.marked(t) else ids for t, ids in zip(texts, out, strict=True)]
+        marked = [self.marked(t) for t in texts]
+        if not any(marked):
+            return self.words.encode(texts)
+        out = self.words.encode([None if m else t for t, m in zip(texts, marked, strict=True)])
+        return [self.around_marks(t) if m else ids for t, m, ids in zip(texts, marked, out, strict=True)]
 
     def marked(self, text: str | None) -> bool:
         return bool(text) and any(a in text for a in self.added)
@@ -154,7 +157,7 @@ def write(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, width
         encoder = library_encoder(tokenizer_path, pattern)
         offsets, at, n_ids, out = [0], 0, 0, None
         for batch in batches:
-            for piece in chunks(batch, limit=TEXT_BYTES):
+            for piece in chunks(batch, limit=2 * TEXT_BYTES):
                 if out is None:
                     files.create_dir(base_path, recursive=True)
                     out = files.open_output_stream(f"{path}.rec")
