@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm import ann, bpe, chat, crf, decontaminate, kneser_ney, line_spread, odd_sketch, records, url_rules
+from spendlake.llm import ann, bpe, chat, crf, decontaminate, fim, kneser_ney, line_spread, odd_sketch, pieces, product_codes, records, url_rules
 from spendlake.llm.common import table
 
 #: A text that holds the chat template's own control strings.
@@ -66,7 +66,19 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.summary(records.read(manifest))
 
 
-QUERIES = {f.__name__: f for f in (op1_cross_polytope, op2_decontaminate, op3_kneser_ney, op4_chat, op5_line_spread, op6_url_rules, op7_odd_sketch, op8_crf, op9_bpe, op10_records)}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.summary(fim.transform(table(spark, sf_dir, "documents"), rate=100, spm_rate=50, seed=7))
+
+
+def op12_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_codes.summary(*product_codes.compressed(table(spark, sf_dir, "embeddings")))
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_cross_polytope, op2_decontaminate, op3_kneser_ney, op4_chat, op5_line_spread, op6_url_rules, op7_odd_sketch, op8_crf, op9_bpe, op10_records, op11_fill_middle, op12_product_codes, op13_pieces)}
 ORACLE_SQL: dict[str, str] = {"op2_decontaminate": decontaminate.SQL, "op4_chat": chat.SQL,
     "op5_line_spread": line_spread.SQL,
-    "op6_url_rules": url_rules.SQL, "op7_odd_sketch": odd_sketch.SQL}
+    "op6_url_rules": url_rules.SQL, "op7_odd_sketch": odd_sketch.SQL, "op11_fill_middle": fim.SQL, "op12_product_codes": product_codes.SQL}

@@ -3,6 +3,9 @@
 from collections.abc import Callable, Iterator
 from itertools import islice
 
+import numpy as np
+import pyarrow as pa
+
 #: Bytes that a Python worker's memory of words may take, unless told otherwise; the first to come stay, so the frequent ones are among them.
 BOUND = 32 << 20
 #: What a remembered word takes beside its own characters and ids: two objects and a dictionary's entry.
@@ -43,3 +46,11 @@ class WordEncoder:
             return [b"".join(map(known.__getitem__, w)) for w in words]
         get = known.get
         return [b"".join([get(x) or fresh[x] for x in w]) for w in words]
+
+
+def id_lists(ids: list[bytes]) -> pa.ListArray:
+    """Little-endian 32-bit integers of each row as a list."""
+    offsets = np.zeros(len(ids) + 1, "<i4")
+    np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
+    values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
+    return pa.ListArray.from_arrays(pa.array(offsets), values, type=pa.list_(pa.field("element", pa.int32(), False)))
