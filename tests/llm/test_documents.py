@@ -98,4 +98,32 @@ def test_near_duplicates_of_nothing_nulls_and_repeats(spark):
 
 def test_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
-    assert {r.doc_id: r.component for r in odd_sketch.components(edges).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+    assert {r.set_id: r.component for r in odd_sketch.components(edges).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_ids_in_several_rows(spark):
+    """A doc_id with different texts links by each of them, and makes one component of what they link."""
+    rnd = random.Random(11)
+    base = [[f"w{k}x{i}" for i in range(60)] for k in range(8)]
+
+    def near(k):
+        words = list(base[k])
+        words[rnd.choice([0, 59])] = f"y{rnd.randint(0, 999)}"
+        return " ".join(words)
+
+    for trial in range(2):
+        rows = [(rnd.randint(1, 14), near(rnd.randrange(8))) for _ in range(24)] + [(1, " ".join(base[0])), (2, near(1)), (1, near(1)), (1, ""), (15, "  "), (15, near(3)), (None, near(2))]
+        rnd.shuffle(rows)
+        shingle = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+        named = [(i, shingle(t)) for i, t in rows if i is not None and t.split()]
+        label = {i: i for i, _ in rows}
+        for _ in range(20):
+            for a, x in named:
+                for b, y in named:
+                    if 100 * len(x & y) >= 85 * len(x | y):
+                        label[a] = label[b] = min(label[a], label[b])
+        want = sorted([(i, len(shingle(t)), label[i] if t.split() else i, i is None or (label[i] if t.split() else i) == i) for i, t in rows], key=repr)
+        got = odd_sketch.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(1 + 2 * trial), 85).collect()
+        assert sorted(map(tuple, got), key=repr) == want
+    one = spark.createDataFrame([(1, " ".join(base[0])), (1, " ".join(base[1])), (2, " ".join(["other", *base[1][1:]]))], "doc_id long, text string")
+    assert {r.component_id for r in odd_sketch.classes(one).collect()} == {1}
