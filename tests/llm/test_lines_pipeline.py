@@ -1,6 +1,8 @@
 """Operator 5 against brute force, and the pipeline's stages on planted cases."""
 
+import hashlib
 import random
+import time
 from collections import defaultdict
 
 import corpus_pipeline
@@ -13,17 +15,17 @@ DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
 def plain_lines(rows, min_sites, min_chars):
     """text and removed lines of each row, by sets of sites over all lines."""
     sites, first = defaultdict(set), {}
-    split = [(doc_id, text.split("\n") if text is not None else [], source or "") for doc_id, text, source in rows]
-    for doc_id, lines, site in split:
+    number = lambda text, source: int(hashlib.md5(f"{text or ''}|{source or ''}".encode()).hexdigest()[:15], 16)
+    split = [((doc_id is not None, doc_id or 0, number(text, source)), doc_id, text.split("\n") if text is not None else [], source or "") for doc_id, text, source in rows]
+    for place, _, lines, site in split:
         for at, line in enumerate(lines):
             key = line.strip(" ")
             if len(key) >= min_chars:
                 sites[key].add(site)
-                place = (doc_id is not None, doc_id, at)
-                first[key] = min(first.get(key, place), place)
+                first[key] = min(first.get(key, (place, at)), (place, at))
     out = []
-    for doc_id, lines, _ in split:
-        keep = [x for at, x in enumerate(lines) if len(sites[x.strip(" ")]) < min_sites or first[x.strip(" ")] == (doc_id is not None, doc_id, at)]
+    for place, doc_id, lines, _ in split:
+        keep = [x for at, x in enumerate(lines) if len(sites[x.strip(" ")]) < min_sites or first[x.strip(" ")] == (place, at)]
         out.append((doc_id, None if not lines else "\n".join(keep), len(lines), len(lines) - len(keep)))
     return sorted(out, key=repr)
 
@@ -33,6 +35,7 @@ def test_lines_like_brute_force(spark):
     pool = [f"line number {i} of many words" for i in range(40)] + ["short", "", "  padded line of some words  ", "padded line of some words"]
     rows = [(i, "\n".join(draw.choice(pool) for _ in range(draw.randrange(1, 12))), draw.choice(["a", "b", "c", "d", None, ""])) for i in range(60)]
     rows += [(100, None, "a"), (101, "", "b"), (102, pool[0] + "\n" + pool[0], "c"), (103, ("x" * 30 + "\n") * 3000, "a"), (None, pool[1] + "\nown words of nobody else", "zz")]
+    rows += [(i, f"{pool[2]}\nown line {n} of a row of a repeated id\n{pool[3]}", f"t{n}") for n, i in enumerate([None] * 5 + [7] * 4 + [200] * 3)] + [(None, pool[2], "t0")] * 2 + [(7, pool[2], None), (7, pool[2], "")]
     df = spark.createDataFrame([(*r, "kept") for r in rows], "doc_id long, text string, source string, n_lines string")
     for sites in (1, 2, 3, 5):
         got = line_spread.without_boilerplate(df.select("doc_id", "text", "source"), sites, 10)
@@ -41,6 +44,23 @@ def test_lines_like_brute_force(spark):
     assert line_spread.without_boilerplate(df.where("doc_id > 999")).count() == 0
 
 
+def test_rows_without_id(spark):
+    """Four rows without id from four sites share a line; one of them keeps it."""
+    rows = [(None, f"own words of the row {i}\na line that all of the four have", f"s{i}") for i in range(4)]
+    got = line_spread.without_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(r.n_removed for r in got) == [0, 1, 1, 1] and sum("all of the four" in r.text for r in got) == 1
+
+
+def test_a_long_text_that_loses_half_of_its_lines(spark):
+    shared = [f"shared line number {i} of the sites" for i in range(50_000)]
+    long = "\n".join(x for i, line in enumerate(shared) for x in (line, f"own line {i}"))
+    rows = [(i, "\n".join(shared), f"s{i}") for i in range(3)] + [(9, long, "s9")]
+    began = time.time()
+    got = {r.doc_id: r for r in line_spread.without_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[9].text == "\n".join(f"own line {i}" for i in range(50_000)) and (got[9].n_lines, got[9].n_removed, got[0].n_removed) == (100_000, 50_000, 0)
+    assert time.time() - began < 60
+
+
 def test_many_sites_need_no_exact_count(spark):
     rows = [(i, "the same line on all of the sites\nline of document %d and no other" % i, f"s{i}") for i in range(300)]
     got = line_spread.clean(spark.createDataFrame(rows, "doc_id long, text string, source string"))
