@@ -1,7 +1,7 @@
 """Near-duplicate documents by MinHash bands and odd sketches.
 
 Documents with the same set of word shingles are one set from the start, whose number everything goes by until
-components are named. MinHash bands put sets into buckets; in each bucket, the one of smallest number is compared with all others, so that a
+components are named. MinHash bands put sets into buckets; in each bucket, the one of smallest doc_id is compared with all others, so that a
 group of any size costs a comparison a member. An odd sketch (parities of MinHash samples; the population
 count of two sketches' XOR estimates how much two sets differ) sorts out pairs that are far from the
 threshold; the others are confirmed on full sets. Links found this way make up components. Members of a
@@ -276,10 +276,11 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     sets = full.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     # numbers are drawn while the table is written, and nothing reads them from anywhere else
     rep = steps.cut(sets.select(F.monotonically_increasing_id().alias("set_id"), "d1", "d2", "row.doc_id", "row.text_hash", "n", "bands", "sketch"))
-    bucketed = steps.cut(rep.select("set_id", F.posexplode("bands").alias("band", "bucket")))
-    leaders = bucketed.groupBy(*bucket).agg(F.min("set_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    leaders = steps.cut(leaders)
-    crowded = steps.cut(look_up(bucketed, leaders, bucket, F.col("set_id")).where("a IS NOT NULL"))
+    bucketed = steps.cut(rep.select("set_id", "doc_id", F.posexplode("bands").alias("band", "bucket")))
+    # the set of least doc_id leads: the same one in all buckets of a group, and where copies have later ids, their original
+    leaders = bucketed.groupBy(*bucket).agg(F.min(F.struct("doc_id", "set_id")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    leaders = steps.cut(leaders.select(*bucket, F.col("least.set_id").alias("a"), "n"))
+    crowded = steps.cut(look_up(bucketed.drop("doc_id"), leaders, bucket, F.col("set_id")).where("a IS NOT NULL"))
     steps.drop(bucketed)
 
     star = crowded.where("set_id <> a").select("a", F.col("set_id").alias("b")).distinct()
