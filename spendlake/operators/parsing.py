@@ -22,6 +22,7 @@ MAX_REGEX, MAX_TEXT = 600, 1000
 CONFIDENCE = {"RULE": 0.99, "DEVICE": 0.95, "SERVER_MODEL": 0.95, "TEACHER_LLM": 0.9}
 PROMOTE_AFTER, DISABLE_AFTER = 5, 2
 
+# What a rule must not have.
 #: A quantified group that holds a quantifier; references back; data that belongs to one user.
 NESTED = re.compile(r"\((?:[^()\\]|\\.)*[+*}](?:[^()\\]|\\.)*\)\s*[+*{]")
 BACK = re.compile(r"\\[1-9]|\(\?P=")
@@ -59,18 +60,20 @@ def fault(regex: str, direction: str | None, channel: str = "UNKNOWN", status: s
     return next((reason for bad, reason in checks if bad), None)
 
 
-def rule_table(spark: SparkSession, rules: list[dict]) -> DataFrame:
-    """Rules (id, sender, regex, direction, channel, status, rule_status, created_at) as a table; unsafe ones are left out.
+def written(regex: str) -> tuple[str, str]:
+    """A rule's regex so that it matches a whole text, and what replaces the text then: what each named group took, a mark before each."""
+    index = re.compile(regex).groupindex
+    whole = f"(?i)\\A(?s:.*?)(?:{regex.replace('(?P<', '(?<')})(?s:.*)\\z"
+    return whole, "".join(MARK + (f"${{{g}}}" if g in index else "") for g in GROUPS)
 
-    `regex` is written so that it matches a whole text, `groups` gives what each named group took, a mark before each.
-    """
+
+def rule_table(spark: SparkSession, rules: list[dict]) -> DataFrame:
+    """Rules (id, sender, regex, direction, channel, status, rule_status, created_at) as a table; unsafe ones are left out."""
     rows = []
     for r in rules:
         channel, status = r.get("channel", "UNKNOWN"), r.get("status", "SUCCESS")
         if fault(r["regex"], r.get("direction"), channel, status) is None:
-            index = re.compile(r["regex"]).groupindex
-            whole = f"(?i)\\A(?s:.*?)(?:{r['regex'].replace('(?P<', '(?<')})(?s:.*)\\z"
-            rows.append((r["id"], r["sender"], r.get("rule_status", "ACTIVE"), r.get("created_at", 0), whole, "".join(MARK + (f"${{{g}}}" if g in index else "") for g in GROUPS), r["direction"], channel, status))
+            rows.append((r["id"], r["sender"], r.get("rule_status", "ACTIVE"), r.get("created_at", 0), *written(r["regex"]), r["direction"], channel, status))
     return spark.createDataFrame(rows, RULE)
 
 

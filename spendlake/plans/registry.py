@@ -4,9 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlake.plans import analysis, digests, flows, payments, routes, texts
+from spendlake.plans import analysis, digests, flows, live, payments, routes, texts
 
-MODULES = (payments, texts, flows, analysis, digests, routes)
+MODULES = (payments, texts, flows, analysis, digests, routes, live)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 for module in MODULES:
