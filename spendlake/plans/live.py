@@ -5,9 +5,9 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from spendlake.operators import induction, merging, parsing, watches
+from spendlake.operators import analyst, cash, induction, merging, parsing, watches
 from spendlake.plans import flows
-from spendlake.plans.payments import with_txn
+from spendlake.plans.payments import fake_forecasts, with_txn
 from spendlake.sources import tables as t
 from spendlake.streaming import merging as live
 
@@ -101,9 +101,40 @@ def rule_attempts(s, d):
     return induction.cooled(rows).where("ready").drop("ready")
 
 
+STATEMENT = """WITH monthly AS (
+  SELECT user_id, coalesce(merchant, 'unknown') AS merchant, date_trunc('MONTH', txn_time_ist) AS month, sum(amount_rupees) AS total_rupees, count(*) AS n
+  FROM v_transactions WHERE status = 'SUCCESS' AND direction = 'DEBIT' AND category IN (SELECT category FROM v_budgets) GROUP BY ALL)
+SELECT user_id, merchant, CAST(month AS DATE) AS month, total_rupees, n, rank() OVER (PARTITION BY user_id ORDER BY total_rupees DESC) AS place FROM monthly ORDER BY user_id, merchant, month"""
+
+
+def analysts_views(s, d):
+    merchants = t.table(s, d, "supplier").where("s_suppkey % 3 > 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return analyst.views(t.transactions(s, d).withColumn("merchant_id", F.col("k") + 1), merchants, t.cash_ledger(s, d), t.budgets(s, d), fake_forecasts(s, d))
+
+
+def tool_calls(s, d):
+    """Every user's cash balance as an agent with a grant gets it from a tool, and one without gets none."""
+    ledger = t.cash_ledger(s, d)
+    analyst.register_tools(s, {"cash_balance": cash.balances(ledger)}, analyst.grants(s))
+    ledger.select("user_id").distinct().createOrReplaceTempView("tool_callers")
+    calls = [f"SELECT '{agent}' AS agent, b.* FROM tool_callers c, LATERAL cash_balance('{agent}', c.user_id) b" for agent in ("coach", "refund_advocate")]
+    return s.sql(" UNION ALL ".join(calls))
+
+
+QUERIES |= {"analyst_sql": lambda s, d: analyst.run(s, STATEMENT, analysts_views(s, d), most=1 << 30), "tool_calls": tool_calls}
 QUERIES |= {"dedup_stream": dedup_stream, "rules_learnt": rules_learnt, "rule_attempts": rule_attempts}
 
 ORACLE_SQL = {
+    "analyst_sql": with_txn(
+        f""", v_transactions AS (SELECT id, user_id, txn_time + INTERVAL 330 MINUTE AS txn_time_ist, CAST(amount_paise / 100 AS DECIMAL(12, 2)) AS amount_rupees, direction, status, category,
+          (SELECT min(s_name) FROM supplier WHERE s_suppkey = k + 1 AND s_suppkey % 3 > 0) AS merchant FROM txn), v_budgets AS (SELECT * FROM budget) {STATEMENT.replace("WITH monthly", ", monthly")}""",
+        t.BUDGET_SQL,
+    ).replace(" ,", ","),
+    "tool_calls": with_txn(
+        """SELECT 'coach' AS agent, user_id, balance_paise, greatest(0, balance_paise) AS in_hand_paise, greatest(0, -balance_paise) AS over_logged_paise FROM (
+        SELECT user_id, CAST(sum(CASE WHEN entry_type IN ('ATM_WITHDRAWAL', 'CASH_RECEIVED') THEN amount_paise ELSE -amount_paise END) AS BIGINT) AS balance_paise FROM cash GROUP BY user_id)""",
+        t.CASH_SQL,
+    ),
     "rules_learnt": with_txn(
         """SELECT event_id, 'PARSED' AS outcome, amount_paise, CASE seq % 3 WHEN 1 THEN 'CREDIT' ELSE 'DEBIT' END AS direction, ['UPI', 'NETBANKING', 'CARD'][seq % 3 + 1] AS channel, CASE seq % 3 WHEN 0 THEN vpa || '@upi' ELSE trim(name) END AS merchant_raw,
           CASE seq % 3 WHEN 0 THEN ref END AS reference_id, acct AS account_hint, CASE seq % 3 WHEN 1 THEN seq * 1000 END AS balance_after_paise FROM bank WHERE seq % 2 = 1""",
