@@ -5,7 +5,7 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from spendlake.functions import commitments, grounding, messages, money
-from spendlake.operators import datasets, digests, forecast, ingest, memory, personas
+from spendlake.operators import datasets, digests, forecast, ingest, memory
 from spendlake.plans import texts
 from spendlake.plans.payments import DAY, WEEK, with_txn
 from spendlake.sources import tables as t
@@ -114,7 +114,13 @@ def cases(s, d):
 
 
 def manifests(s, d):
-    return t.table(s, d, "region").select(F.concat(F.lit("v"), F.col("r_regionkey") % 3).alias("version"), F.lit("Q4_K").alias("quant"), F.col("r_name").alias("sha256"))
+    """Builds of models, two for each version."""
+    return t.table(s, d, "part").select(F.concat(F.lit("v"), F.floor(F.col("p_partkey") / 2)).alias("version"), F.lit("Q4_K").alias("quant"), F.col("p_name").alias("sha256"))
+
+
+def registered(s, d):
+    rows = t.table(s, d, "part").where("p_partkey % 5 = 0")
+    return rows.select(F.concat(F.lit("parser-v"), "p_partkey", F.lit("-q4_k")).alias("id"), F.lit("PARSER").alias("kind"), F.lit("ACTIVE").alias("status"), F.lit(True).alias("gate_passed"), F.lit("old").alias("sha256"))
 
 
 def day_texts(s, d):
@@ -136,10 +142,10 @@ def distilled(s, d):
 
 
 def models(s, d):
-    """Models of two kinds for each region, one active of each kind."""
-    r = t.table(s, d, "region").select(F.col("r_regionkey").alias("r"))
-    kinds = [r.select(F.concat(F.lit(f"{kind}-"), "r").alias("id"), F.lit(kind).alias("kind"), F.when(F.col("r") == 0, "ACTIVE").otherwise("SHADOW").alias("status"), (F.col("r") % 2 == 1).alias("gate_passed")) for kind in ("parser", "coach")]
-    return kinds[0].union(kinds[1])
+    """Models of 25 kinds, some of each kind active."""
+    k = F.col("p_partkey")
+    kind = F.concat(F.lit("kind"), k % 25)
+    return t.table(s, d, "part").select(F.concat(kind, F.lit("-"), k).alias("id"), kind.alias("kind"), F.when(k % 7 == 0, "ACTIVE").otherwise("SHADOW").alias("status"), (k % 2 == 1).alias("gate_passed"))
 
 
 QUERIES = {
@@ -148,8 +154,8 @@ QUERIES = {
     "ungrounded_numbers": lambda s, d: stated_numbers(s, d).select("id", F.array_join(grounding.ungrounded(F.col("line"), grounding.allowed_values(F.col("paise"), F.col("counts"))).cast("array<string>"), ",").alias("wrong")),
     "allowed_from_results": lambda s, d: results(s, d).select("id", F.array_join(F.array_sort(grounding.allowed_from_results(F.col("results"))).cast("array<string>"), ",").alias("allowed")),
     "insert_new": lambda s, d: ingest.insert_new(t.transactions(s, d).where("seq % 3 = 0").select("id", F.lit("old").alias("mark")), t.transactions(s, d).where("seq % 2 = 0").select("id", F.lit("new").alias("mark")), ["id"]),
-    "promote_model": lambda s, d: ingest.promote(ingest.promote(models(s, d), "parser-3"), "coach-2"),
-    "register_model": lambda s, d: ingest.register(s.createDataFrame([("parser-v1-q4_k", "PARSER", "ACTIVE", True, "old")], "id string, kind string, status string, gate_passed boolean, sha256 string"), manifests(s, d)),
+    "promote_model": lambda s, d: ingest.promote(ingest.promote(models(s, d), "kind3-53"), "kind2-52"),
+    "register_model": lambda s, d: ingest.register(registered(s, d), manifests(s, d)),
     "refund_cases": lambda s, d: digests.refund_cases(cases(s, d), 3),
     "memory_writes": lambda s, d: memory.written(texts.promises(s, d).join(t.transactions(s, d).select("id", "user_id"), "id"), t.alerts(s, d), F.lit(date(2026, 2, 1))),
     "day_texts": day_texts,
@@ -181,7 +187,6 @@ QUERIES = {
     "forecast_answer": lambda s, d: forecast.answers(stated(s, d), t.cash_ledger(s, d), now(), given(s, d)).withColumn("top_categories", F.to_json("top_categories")),
     "refresh_due": lambda s, d: forecast.due_for_refresh(t.transactions(s, d).select("user_id"), old_forecasts(s, d), now()),
     "refresh_moved": lambda s, d: forecast.movements(old_forecasts(s, d), new_forecasts(s, d)),
-    "persona_backtest": lambda s, d: personas.backtest(personas.personas(s, 200)),
 }
 
 SPEND = "kind = 'SPEND' AND status = 'SUCCESS'"
@@ -234,8 +239,9 @@ ORACLE_SQL = {
         """SELECT id, array_to_string(list_transform(list_sort(list_distinct(list_transform([amount_paise / 100.0, round_even(CAST(amount_paise AS DOUBLE) / 100, 0), k, 0, 25, day(txn_time), month(txn_time), year(txn_time), year(txn_time), seq * 1000, 3] || list_transform(regexp_extract_all(strftime(txn_time, '%m-%d'), '[0-9]+'), lambda x: CAST(x AS DOUBLE)), lambda v: CAST(v AS DECIMAL(30, 4))))), lambda v: CAST(v AS VARCHAR)), ',') AS allowed FROM txn"""
     ),
     "insert_new": with_txn("SELECT id, CASE WHEN seq % 3 = 0 THEN 'old' ELSE 'new' END AS mark FROM txn WHERE seq % 3 = 0 OR seq % 2 = 0"),
-    "promote_model": "SELECT kind || '-' || r_regionkey AS id, kind, CASE WHEN kind = 'parser' AND r_regionkey = 3 THEN 'ACTIVE' WHEN kind = 'parser' AND r_regionkey = 0 THEN 'RETIRED' WHEN r_regionkey = 0 THEN 'ACTIVE' ELSE 'SHADOW' END AS status, r_regionkey % 2 = 1 AS gate_passed FROM region, (VALUES ('parser'), ('coach')) v(kind)",
-    "register_model": "SELECT 'parser-v1-q4_k' AS id, 'PARSER' AS kind, 'ACTIVE' AS status, true AS gate_passed, 'old' AS sha256 UNION ALL SELECT 'parser-v' || (r_regionkey % 3) || '-q4_k', 'PARSER', 'CANDIDATE', false, min(r_name) FROM region WHERE r_regionkey % 3 <> 1 GROUP BY ALL",
+    "promote_model": "SELECT 'kind' || p_partkey % 25 || '-' || p_partkey AS id, 'kind' || p_partkey % 25 AS kind, CASE WHEN p_partkey = 53 THEN 'ACTIVE' WHEN p_partkey % 7 > 0 THEN 'SHADOW' WHEN p_partkey % 25 = 3 THEN 'RETIRED' ELSE 'ACTIVE' END AS status, p_partkey % 2 = 1 AS gate_passed FROM part",
+    "register_model": """SELECT 'parser-v' || p_partkey || '-q4_k' AS id, 'PARSER' AS kind, 'ACTIVE' AS status, true AS gate_passed, 'old' AS sha256 FROM part WHERE p_partkey % 5 = 0
+      UNION ALL SELECT 'parser-v' || v || '-q4_k', 'PARSER', 'CANDIDATE', false, min(p_name) FROM (SELECT p_partkey // 2 AS v, p_name FROM part) WHERE v % 5 > 0 GROUP BY v""",
     "refund_cases": with_txn(
         """SELECT user_id, 'rc_' || seq AS id, 'FAILED_DEBITED' AS case_type, ['OPEN', 'CLOSED'][k % 2 + 1] AS state, amount_paise, '₹' || CASE WHEN length(w) <= 3 THEN w ELSE reverse(substr(reverse(w), 1, 3) || regexp_replace(substr(reverse(w), 4), '(..?)', ',\\1', 'g')) END || '.' || lpad(CAST(amount_paise % 100 AS VARCHAR), 2, '0') AS amount_text,
           CAST(seq AS VARCHAR) AS reference_id, txn_time AS opened_at, txn_time + INTERVAL 5 DAY AS deadline_at, CASE WHEN k % 2 = 1 THEN txn_time + INTERVAL 5 DAY END AS reversed_at, CAST(CASE WHEN k % 3 = 0 THEN 10000 ELSE 0 END AS BIGINT) AS compensation_owed_paise, CAST(0 AS BIGINT) AS compensation_received_paise, k % 4 = 0 AS has_draft,

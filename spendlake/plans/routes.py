@@ -76,10 +76,11 @@ def flat(x):
     return [x[c].alias(c) for c in ("is_transaction", "amount", "direction", "channel", "status", "merchant_raw", "reference_id", "promised_refund_days")]
 
 
-def candidate_rules(s):
-    """The seed rules, of which every third is a candidate and every fourth disabled."""
-    rules = [r | {"rule_status": "DISABLED" if i % 4 == 3 else "CANDIDATE" if i % 3 == 2 else "ACTIVE", "created_at": 100 - i} for i, r in enumerate(seed_rules())]
-    return parsing.rule_table(s, rules)
+def stored_rules(s, d):
+    """Rules of senders: every third of them a candidate, every fourth disabled."""
+    n = F.col("p_partkey")
+    status = F.when(n % 4 == 3, "DISABLED").when(n % 3 == 2, "CANDIDATE").otherwise("ACTIVE")
+    return t.table(s, d, "part").select(F.concat(F.lit("r_"), n).alias("id"), F.upper("p_brand").alias("sender_key"), status.alias("status"), (n * 37 % 101).alias("created_at"))
 
 
 def changelog(s, d):
@@ -102,7 +103,7 @@ QUERIES = {
     "outcome_counts": lambda s, d: tiers.outcome_counts(parsing.parse(flows.bank_messages(s, d), parsing.rule_table(s, seed_rules()))),
     "answer_decode": lambda s, d: model_answers(s, d).select("id", tiers.decoded(F.col("answer")).alias("x")).select("id", F.col("x").isNotNull().alias("valid"), *flat(F.col("x"))),
     "canonical_json": lambda s, d: model_answers(s, d).select("id", tiers.canonical(tiers.decoded(F.col("answer"))).alias("json")),
-    "rules_for_sender": lambda s, d: parsing.rules_for(candidate_rules(s)),
+    "rules_for_sender": lambda s, d: parsing.rules_for(stored_rules(s, d)),
     "allowed_numbers": lambda s, d: t.transactions(s, d).select("id", F.array_join(F.array_sort(grounding.allowed_values(F.array("amount_paise"), F.array("k"), F.array(F.to_date("txn_time")))).cast("array<string>"), ",").alias("allowed")),
     "sender_samples": lambda s, d: parsing.samples(t.messages(s, d), t.messages(s, d).where("seq % 2 = 0").select("event_id", F.concat(F.lit("t_"), "seq").alias("transaction_id")), t.transactions(s, d).select("id", t.pick(["TEACHER_LLM", "RULE"], F.col("k") % 2).alias("parse_method")), 50).select("sender_key", "event_id", "place"),
 }
@@ -129,11 +130,6 @@ x AS (SELECT id, f IN (0, 1, 2, 5) AS valid, CASE WHEN f IN (0, 1, 5) THEN true
 TEXT = "coalesce('\"' || {0} || '\"', 'null')"
 
 
-def rules_sql() -> str:
-    rows = [(r["sender"], {0: "ACTIVE", 1: "CANDIDATE"}[i % 3 == 2], 100 - i, r["id"]) for i, r in enumerate(seed_rules()) if i % 4 != 3 and parsing.fault(r["regex"], r["direction"], r["channel"], r["status"]) is None]
-    return "SELECT sender_key, id AS rule_id, status, row_number() OVER (PARTITION BY sender_key ORDER BY status, at_, id) AS place FROM (VALUES " + ", ".join(map(str, rows)) + ") v(sender_key, status, at_, id)"
-
-
 ORACLE_SQL = {
     "event_route": with_txn("SELECT CASE WHEN raw_type LIKE 'RAW%' THEN 'PARSER' WHEN raw_type = 'HEARTBEAT' THEN 'SKIPPED' ELSE 'CASH' END AS route, count(*) AS n FROM raw GROUP BY ALL", RAW_SQL),
     "cash_events": with_txn("SELECT * FROM event", RAW_SQL, CASH_EVENT_SQL),
@@ -168,7 +164,9 @@ ORACLE_SQL = {
         + " || ',\"counterpartyVpa\":null,\"referenceId\":' || " + TEXT.format("reference_id") + " || ',\"accountHint\":null,\"balanceAfter\":null,\"promisedRefundDays\":' || coalesce(CAST(promised_refund_days AS VARCHAR), 'null') || '}' END AS json FROM x",
         ANSWER_SQL,
     ),
-    "rules_for_sender": rules_sql(),
+    "rules_for_sender": """SELECT sender_key, rule_id, status, row_number() OVER (PARTITION BY sender_key ORDER BY status, created_at, rule_id) AS place FROM (
+        SELECT upper(p_brand) AS sender_key, 'r_' || p_partkey AS rule_id, CASE WHEN p_partkey % 4 = 3 THEN 'DISABLED' WHEN p_partkey % 3 = 2 THEN 'CANDIDATE' ELSE 'ACTIVE' END AS status, p_partkey * 37 % 101 AS created_at FROM part)
+        WHERE status <> 'DISABLED'""",
     "allowed_numbers": with_txn(
         """SELECT id, array_to_string(list_transform(list_sort(list_distinct([CAST(amount_paise / 100.0 AS DECIMAL(30, 4)), CAST(round_even(CAST(amount_paise AS DOUBLE) / 100, 0) AS DECIMAL(30, 4)), CAST(k AS DECIMAL(30, 4)), CAST(day(txn_time) AS DECIMAL(30, 4)), CAST(month(txn_time) AS DECIMAL(30, 4)), CAST(year(txn_time) AS DECIMAL(30, 4))])), lambda v: CAST(v AS VARCHAR)), ',') AS allowed FROM txn"""
     ),

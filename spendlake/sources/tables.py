@@ -60,16 +60,16 @@ TXN_SQL = f"""txn AS (
 
 
 def cash_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth payment, as a cash entry."""
-    t = transactions(spark, sf_dir).where("seq % 5 = 0")
+    """Every payment, as a cash entry."""
+    t = transactions(spark, sf_dir)
     kinds = ["ATM_WITHDRAWAL", "CASH_RECEIVED", "CASH_SPEND", "UNACCOUNTED"]
-    return t.select(F.concat(F.lit("c_"), "seq").alias("id"), "user_id", pick(kinds, F.floor(F.col("seq") / 5) % 4).alias("entry_type"), "amount_paise", "category", F.when(F.col("k") % 3 > 0, F.concat(F.lit("note "), F.col("k") % 7)).alias("note"), F.col("txn_time").alias("occurred_at"))
+    return t.select(F.concat(F.lit("c_"), "seq").alias("id"), "user_id", pick(kinds, F.col("seq") % 4).alias("entry_type"), "amount_paise", "category", F.when(F.col("k") % 3 > 0, F.concat(F.lit("note "), F.col("k") % 7)).alias("note"), F.col("txn_time").alias("occurred_at"))
 
 
 CASH_SQL = """cash AS (
-  SELECT 'c_' || seq AS id, user_id, ['ATM_WITHDRAWAL', 'CASH_RECEIVED', 'CASH_SPEND', 'UNACCOUNTED'][(seq // 5) % 4 + 1] AS entry_type,
+  SELECT 'c_' || seq AS id, user_id, ['ATM_WITHDRAWAL', 'CASH_RECEIVED', 'CASH_SPEND', 'UNACCOUNTED'][seq % 4 + 1] AS entry_type,
     amount_paise, category, CASE WHEN k % 3 > 0 THEN 'note ' || (k % 7) END AS note, txn_time AS occurred_at
-  FROM txn WHERE seq % 5 = 0)"""
+  FROM txn)"""
 
 
 def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +81,8 @@ BUDGET_SQL = "budget AS (SELECT DISTINCT user_id, category, CAST(50000 AS BIGINT
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third payment's alert; an alert's reaction, where there is one, by `k`."""
-    t = transactions(spark, sf_dir).where("seq % 3 = 0")
+    """Every payment's alert; an alert's reaction, where there is one, by `k`."""
+    t = transactions(spark, sf_dir)
     return t.select(F.concat(F.lit("a_"), "seq").alias("id"), "user_id", pick(["ROAST", "NUDGE", "SUMMARY", "CONFIRMATION"], F.col("k") % 4).alias("alert_type"), F.when(F.col("k") % 10 == 0, "SUPPRESSED").otherwise("SENT").alias("status"), F.col("txn_time").alias("sent_at"), F.when(F.col("k") % 5 < 3, pick(["LIKED", "NOT_FAIR", "MUTE"], F.col("k") % 5 % 3)).alias("reaction"), "category")
 
 
@@ -90,7 +90,7 @@ ALERT_SQL = """alert AS (
   SELECT 'a_' || seq AS id, user_id, ['ROAST', 'NUDGE', 'SUMMARY', 'CONFIRMATION'][k % 4 + 1] AS alert_type,
     CASE WHEN k % 10 = 0 THEN 'SUPPRESSED' ELSE 'SENT' END AS status, txn_time AS sent_at,
     CASE WHEN k % 5 < 3 THEN ['LIKED', 'NOT_FAIR', 'MUTE'][k % 5 % 3 + 1] END AS reaction, category
-  FROM txn WHERE seq % 3 = 0)"""
+  FROM txn)"""
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ what it had written; what a stream has seen is kept in Spark's state store, unde
 """
 
 from collections.abc import Callable
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from spendlake.functions.times import ist_day
 from spendlake.operators.parsing import parse
 from spendlake.operators.spending import is_spend
 
+IST = timedelta(hours=5, minutes=30)
 #: How long after its event time a repeated event is still known.
 REPEATS = "48 hours"
 
@@ -60,20 +62,26 @@ def parse_stream(events: DataFrame, rules: DataFrame, good: str, bad: str, check
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def running_budget(payments: DataFrame, limits: DataFrame, thresholds: tuple[int, ...] = (80, 100)) -> DataFrame:
+def running_budget(payments: DataFrame, limits: DataFrame, thresholds: tuple[int, ...] = (80, 100), late: str = "7 days") -> DataFrame:
     """user_id, category, month, crossed and spent_paise whenever a payment of the stream takes a budget across a share of its limit.
 
     limits (static): user_id, category, monthly_limit_paise. What is spent is kept for each user, category and
-    month; batches count in order of arrival, late payments too, and within a batch payments count by time.
+    month; batches count in order of arrival, late payments too, and within a batch payments count by time. A
+    month's state goes when the watermark (the latest payment less `late`) has passed its end; payments that are
+    later than that are left out.
     """
     import pandas as pd
 
     from spendlake.functions.times import ist_month
 
-    rows = payments.where(is_spend(False)).withColumn("month", ist_month(F.col("txn_time").cast("timestamp_ntz"))).join(limits, ["user_id", "category"])
+    timed = payments.withColumn("__at", F.col("txn_time").cast("timestamp")).withWatermark("__at", late)
+    rows = timed.where(is_spend(False)).withColumn("month", ist_month(F.col("txn_time").cast("timestamp_ntz"))).join(limits, ["user_id", "category"])
     user = payments.schema["user_id"].dataType.simpleString()
 
     def step(key, parts, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         spent = state.get[0] if state.exists else 0
         out = []
         batch = pd.concat(parts).sort_values(["txn_time", "id"])  # what one trigger brings of one budget
@@ -83,7 +91,10 @@ def running_budget(payments: DataFrame, limits: DataFrame, thresholds: tuple[int
             if crossed:
                 out.append((*key, max(crossed), spent))
         state.update((spent,))
+        following = (key[2].replace(day=1) + timedelta(days=32)).replace(day=1)
+        ends = datetime(following.year, following.month, following.day, tzinfo=UTC) - IST
+        state.setTimeoutTimestamp(max(int(ends.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["user_id", "category", "month", "crossed", "spent_paise"])
 
-    grouped = rows.select("user_id", "category", "month", "id", "txn_time", "amount_paise", "monthly_limit_paise").groupBy("user_id", "category", "month")
-    return grouped.applyInPandasWithState(step, f"user_id {user}, category string, month date, crossed int, spent_paise long", "spent long", "append", "NoTimeout")
+    grouped = rows.select("user_id", "category", "month", "id", "txn_time", "__at", "amount_paise", "monthly_limit_paise").groupBy("user_id", "category", "month")
+    return grouped.applyInPandasWithState(step, f"user_id {user}, category string, month date, crossed int, spent_paise long", "spent long", "append", "EventTimeTimeout")

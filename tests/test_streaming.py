@@ -47,6 +47,18 @@ def test_running_budget_like_the_batch(spark, tmp_path):
     assert want and sorted((r.user_id, r.category, r.crossed, r.spent_paise) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
 
 
+def test_budgets_of_past_months_leave_the_state(spark, tmp_path):
+    schema = "id string, user_id long, category string, amount_paise long, direction string, kind string, status string, txn_time timestamp"
+    limits = spark.createDataFrame([(1, "RENT", 100)], "user_id long, category string, monthly_limit_paise long")
+    for month in range(1, 9):
+        spark.createDataFrame([(f"t{month}{i}", 1, "RENT", 60, "DEBIT", "SPEND", "SUCCESS", datetime(2026, month, 10 + i)) for i in range(2)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = jobs.running_budget(stream, limits).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 2
+    assert sorted((r.month.month, r.crossed, r.spent_paise) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(m, 100, 120) for m in range(1, 9)]
+
+
 def test_written_once(spark, tmp_path):
     spark.range(10).write.parquet(str(tmp_path / "in"))
     for _ in range(2):
