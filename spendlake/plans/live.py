@@ -5,7 +5,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from spendlake.operators import analyst, cash, induction, merging, parsing, watches
+from spendlake.operators import analyst, cash, induction, merging, parsing, plugins, watches
 from spendlake.plans import flows
 from spendlake.plans.payments import fake_forecasts, with_txn
 from spendlake.sources import tables as t
@@ -121,10 +121,41 @@ def tool_calls(s, d):
     return s.sql(" UNION ALL ".join(calls))
 
 
+def reader():
+    """A stand-in for a model: reads amounts of messages, and fails on every seventh reference or number at a message's end."""
+    import re
+
+    names = [f.split(":")[0].strip() for f in parsing.EXTRACTION[7:-1].split(",")]
+
+    def ask(texts):
+        out = []
+        for text in texts:
+            if int(re.findall(r"\d+", text)[-1]) % 7 == 0:
+                raise RuntimeError("out of order")
+            amount = re.search(r"(?:Rs\.|INR )([\d.]+\d)", text).group(1)
+            out.append(dict.fromkeys(names) | {"is_transaction": True, "amount": amount, "direction": "CREDIT" if "credited" in text else "DEBIT"})
+        return out
+
+    return ask
+
+
+def parse_plugins(s, d):
+    """Bank messages by rules, and by a model where no rule is; the model fails on some."""
+    read = plugins.parse(flows.bank_messages(s, d), parsing.rule_table(s, flows.seed_rules()), {"SERVER_MODEL": reader})
+    return read.select("event_id", "outcome", "reason", "parse_method", "amount_paise", "direction")
+
+
+QUERIES |= {"parse_plugins": parse_plugins}
 QUERIES |= {"analyst_sql": lambda s, d: analyst.run(s, STATEMENT, analysts_views(s, d), most=1 << 30), "tool_calls": tool_calls}
 QUERIES |= {"dedup_stream": dedup_stream, "rules_learnt": rules_learnt, "rule_attempts": rule_attempts}
 
 ORACLE_SQL = {
+    "parse_plugins": with_txn(
+        """SELECT event_id, CASE WHEN known OR read THEN 'PARSED' ELSE 'FAILED' END AS outcome, CASE WHEN NOT known AND NOT read THEN 'RUNTIMEERROR' END AS reason, CASE WHEN known THEN 'RULE' WHEN read THEN 'SERVER_MODEL' END AS parse_method,
+          CASE WHEN known OR read THEN amount_paise END AS amount_paise, CASE WHEN known OR read THEN ['DEBIT', 'CREDIT', 'DEBIT'][seq % 3 + 1] END AS direction
+        FROM (SELECT *, CASE seq % 3 WHEN 0 THEN CAST(ref AS BIGINT) WHEN 1 THEN seq * 10 ELSE 5 END % 7 > 0 AS read FROM bank)""",
+        flows.BANK_SQL,
+    ),
     "analyst_sql": with_txn(
         f""", v_transactions AS (SELECT id, user_id, txn_time + INTERVAL 330 MINUTE AS txn_time_ist, CAST(amount_paise / 100 AS DECIMAL(12, 2)) AS amount_rupees, direction, status, category,
           (SELECT min(s_name) FROM supplier WHERE s_suppkey = k + 1 AND s_suppkey % 3 > 0) AS merchant FROM txn), v_budgets AS (SELECT * FROM budget) {STATEMENT.replace("WITH monthly", ", monthly")}""",
