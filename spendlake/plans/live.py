@@ -145,11 +145,28 @@ def parse_plugins(s, d):
     return read.select("event_id", "outcome", "reason", "parse_method", "amount_paise", "direction")
 
 
-QUERIES |= {"parse_plugins": parse_plugins}
+def topic_round_trip(s, d):
+    """Payments through a topic keyed by user: each as it is read back, and its place among its user's records."""
+    from pyspark.sql import Window
+
+    from spendlake.sources import topics
+    from spendlake.sources.scratch import shared_dir
+
+    topics.register(s)
+    path = f"{shared_dir(s)}/topic-{uuid.uuid4().hex}"
+    topics.publish(t.transactions(s, d).select("user_id", "seq", "amount_paise", "merchant_raw"), path, "user_id", "seq")
+    body = F.from_json("value", "user_id long, seq long, amount_paise long, merchant_raw string")
+    rows = s.read.format("topic").load(path).select("key", "partition", "offset", body.alias("b"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("partition", "offset"))
+    return rows.select(F.col("b.seq").alias("seq"), F.col("b.user_id").alias("user_id"), F.col("b.amount_paise").alias("amount_paise"), F.col("b.merchant_raw").alias("merchant_raw"), place.alias("place"))
+
+
+QUERIES |= {"parse_plugins": parse_plugins, "topic_round_trip": topic_round_trip}
 QUERIES |= {"analyst_sql": lambda s, d: analyst.run(s, STATEMENT, analysts_views(s, d), most=1 << 30), "tool_calls": tool_calls}
 QUERIES |= {"dedup_stream": dedup_stream, "rules_learnt": rules_learnt, "rule_attempts": rule_attempts}
 
 ORACLE_SQL = {
+    "topic_round_trip": with_txn("SELECT seq, user_id, amount_paise, merchant_raw, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS place FROM txn"),
     "parse_plugins": with_txn(
         """SELECT event_id, CASE WHEN known OR read THEN 'PARSED' ELSE 'FAILED' END AS outcome, CASE WHEN NOT known AND NOT read THEN 'RUNTIMEERROR' END AS reason, CASE WHEN known THEN 'RULE' WHEN read THEN 'SERVER_MODEL' END AS parse_method,
           CASE WHEN known OR read THEN amount_paise END AS amount_paise, CASE WHEN known OR read THEN ['DEBIT', 'CREDIT', 'DEBIT'][seq % 3 + 1] END AS direction
