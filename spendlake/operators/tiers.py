@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from spendlake.functions.grounding import same_extraction
 from spendlake.functions.ids import derived, in_sample
-from spendlake.operators.parsing import CHANNELS, DIRECTIONS, EXTRACTION, STATUSES
+from spendlake.operators.parsing import CHANNELS, CONFIDENCE, DIRECTIONS, EXTRACTION, STATUSES
 
 SHADOW_RATE = 0.1
 
@@ -42,6 +42,37 @@ def outcome_counts(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy("outcome", detail.alias("detail")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Details that outcomes have by themselves; plug-ins and models may bring others, which are counted together.
+DETAILS = {
+    "PARSED": list(CONFIDENCE),
+    "DROPPED": ["EMPTY", "OTP", "COLLECT_REQUEST", "PROMO", "BALANCE_ONLY", "NO_AMOUNT"],
+    "NOT_TRANSACTION": [None],
+    "FAILED": ["NO_TIER", "MISSING_AMOUNT", "BAD_AMOUNT", "AMOUNT_NOT_IN_TEXT", "REFERENCE_NOT_IN_TEXT", "MISSING_DIRECTION", "DIRECTION_MISMATCH", "FAILED_WITHOUT_KEYWORD", "REVERSED_WITHOUT_KEYWORD", "BAD_BALANCE"],
+}
+
+
+def observed(parsed: DataFrame, observation) -> DataFrame:
+    """parsed, counted while it is written: no second pass over it.
+
+    observation: pyspark.sql.Observation for a table (metrics after the first action), or a name on a stream
+    (metrics in each progress). `counted` makes rows of the metrics.
+    """
+    detail = F.when(F.col("outcome") == "PARSED", F.col("parse_method")).otherwise(F.col("reason"))
+    metrics = []
+    for outcome, details in DETAILS.items():
+        is_it = F.col("outcome") == outcome
+        known = [d for d in details if d is not None]
+        metrics += [F.count_if(is_it & (detail == d)).alias(f"{outcome}:{d}") for d in known]
+        other = is_it if not known else is_it & ~F.coalesce(detail.isin(known), F.lit(False))
+        metrics.append(F.count_if(other).alias(f"{outcome}:" if not known else f"{outcome}:*"))
+    return parsed.observe(observation, *metrics)
+
+
+def counted(metrics: dict[str, int]) -> dict[tuple[str, str | None], int]:
+    """Counts by (outcome, detail) of observed metrics, those that aren't zero; detail `*` stands for others than the known ones."""
+    return {(name.split(":")[0], name.split(":")[1] or None): n for name, n in metrics.items() if n}
+
+
 FIELDS = {"isTransaction": "is_transaction", "amount": "amount", "direction": "direction", "channel": "channel", "status": "status", "merchantRaw": "merchant_raw", "counterpartyVpa": "counterparty_vpa", "referenceId": "reference_id", "accountHint": "account_hint", "balanceAfter": "balance_after", "promisedRefundDays": "promised_refund_days"}
 
 

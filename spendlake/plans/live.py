@@ -3,9 +3,10 @@
 import uuid
 from datetime import datetime
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from spendlake.operators import analyst, cash, induction, merging, parsing, plugins, watches
+from spendlake.operators import analyst, cash, induction, merging, parsing, plugins, tiers, watches
 from spendlake.plans import flows
 from spendlake.plans.payments import fake_forecasts, with_txn
 from spendlake.sources import tables as t
@@ -161,11 +162,25 @@ def topic_round_trip(s, d):
     return rows.select(F.col("b.seq").alias("seq"), F.col("b.user_id").alias("user_id"), F.col("b.amount_paise").alias("amount_paise"), F.col("b.merchant_raw").alias("merchant_raw"), place.alias("place"))
 
 
-QUERIES |= {"parse_plugins": parse_plugins, "topic_round_trip": topic_round_trip}
+def observed_outcomes(s, d):
+    """Outcomes of messages, counted while the parsed messages were written."""
+    from spendlake.sources.scratch import shared_dir
+
+    seen = Observation()
+    parsed = parsing.parse(t.messages(s, d), parsing.rule_table(s, flows.seed_rules()))
+    tiers.observed(parsed, seen).write.parquet(f"{shared_dir(s)}/parsed-{uuid.uuid4().hex}")
+    return s.createDataFrame([(*k, n) for k, n in tiers.counted(seen.get).items()], "outcome string, detail string, n long")
+
+
+QUERIES |= {"observed_outcomes": observed_outcomes, "parse_plugins": parse_plugins, "topic_round_trip": topic_round_trip}
 QUERIES |= {"analyst_sql": lambda s, d: analyst.run(s, STATEMENT, analysts_views(s, d), most=1 << 30), "tool_calls": tool_calls}
 QUERIES |= {"dedup_stream": dedup_stream, "rules_learnt": rules_learnt, "rule_attempts": rule_attempts}
 
 ORACLE_SQL = {
+    "observed_outcomes": with_txn(
+        """SELECT CASE WHEN f IN (2, 3, 4, 5, 7) THEN 'DROPPED' ELSE 'FAILED' END AS outcome, CASE f WHEN 2 THEN 'OTP' WHEN 3 THEN 'PROMO' WHEN 4 THEN 'BALANCE_ONLY' WHEN 5 THEN 'COLLECT_REQUEST' WHEN 7 THEN 'NO_AMOUNT' ELSE 'NO_TIER' END AS detail, count(*) AS n
+        FROM (SELECT seq % 8 AS f FROM txn) GROUP BY ALL"""
+    ),
     "topic_round_trip": with_txn("SELECT seq, user_id, amount_paise, merchant_raw, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS place FROM txn"),
     "parse_plugins": with_txn(
         """SELECT event_id, CASE WHEN known OR read THEN 'PARSED' ELSE 'FAILED' END AS outcome, CASE WHEN NOT known AND NOT read THEN 'RUNTIMEERROR' END AS reason, CASE WHEN known THEN 'RULE' WHEN read THEN 'SERVER_MODEL' END AS parse_method,

@@ -1,6 +1,8 @@
 """Plug-ins that fail now and then leave the other rows whole."""
 
-from spendlake.operators import datasets, memory, parsing, plugins
+from pyspark.sql import Observation
+
+from spendlake.operators import datasets, memory, parsing, plugins, tiers
 from spendlake.sources.seeds import seed_rules
 
 
@@ -84,3 +86,21 @@ def test_distill_and_embed(spark):
     own = plugins.embed(rows, lambda: lambda texts: memory.vectors(texts, 16), 16).collect()
     assert all(r.embedding == memory.vectors([r.text], 16)[0].tolist() for r in own)
     assert [r.embedding_failure for r in plugins.embed(rows, lambda: lambda texts: [[1.0]] * len(texts), 16).collect()] == ["ValueError"] * 3
+
+
+def test_outcomes_are_counted_while_they_are_written(spark, tmp_path):
+    good = "Rs.{}.00 debited from A/c XX9911 on 04-10-26 to VPA a@ybl. UPI Ref 70001111{:04d}"
+    rows = [(f"e{i}", "AX-HDFCBK" if i % 4 else "AX-NEWBNK", None, [good.format(i, i), "Your OTP is 123456", None, "Hello", good.format(i, i).replace("debited", "credited")][i % 5]) for i in range(1, 200)]
+    schema = "event_id string, sender string, source_app string, text string"
+    rules, seen = parsing.rule_table(spark, seed_rules()), Observation()
+    parsed = parsing.parse(spark.createDataFrame(rows, schema), rules)
+    want = {(r.outcome, r.detail): r.n for r in tiers.outcome_counts(parsed).collect()}
+    written = tiers.observed(parsed, seen)
+    written.write.parquet(f"{tmp_path}/out")
+    assert tiers.counted(seen.get) == want and len(want) >= 4
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in")
+    stream = tiers.observed(parsing.parse(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), rules), "outcomes")
+    query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/live").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    query.awaitTermination()
+    told = [p["observedMetrics"]["outcomes"].asDict() for p in query.recentProgress if p["numInputRows"]]
+    assert tiers.counted({k: sum(m[k] for m in told) for k in told[0]}) == want
