@@ -38,7 +38,9 @@ def row_number(docs: DataFrame):
 
 def spread_lines(docs: DataFrame, min_sites: int | None, min_chars: int | None) -> DataFrame:
     """doc_id, row, at, h1, h2, site and least (sites to be boilerplate) of each line that counts."""
-    lines = docs.select("doc_id", row_number(docs).alias("row"), F.coalesce("source", F.lit("")).alias("site"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    # the row's number is made before lines are; beside posexplode it would be made again for each line
+    rows = docs.select("doc_id", row_number(docs).alias("row"), F.coalesce("source", F.lit("")).alias("site"), "text")
+    lines = rows.select("doc_id", "row", "site", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     line = F.col("line")
     own = min_sites is not None or min_chars is not None
     least = F.when(F.length(F.trim(line)) >= (MIN_CHARS if min_chars is None else min_chars), MIN_SITES if min_sites is None else min_sites) if own else least_sites(line)
