@@ -45,6 +45,16 @@ def forecast_rows(s, d, cut=None, runs=forecast.RUNS):
     return forecast.forecast(forecast.inputs(balances, days(s, d, explained), items, today(), cut_percent=cut), runs=runs)
 
 
+HASHED_RUNS = 400
+
+
+def hashed_forecast(s, d):
+    """The forecast with draws that any database can repeat; from all spending."""
+    balances = t.transactions(s, d).select("user_id").distinct().withColumn("start_paise", F.lit(START).cast("long"))
+    rows = forecast.inputs(balances, days(s, d), forecast.recurring(past(s, d))[0], today())
+    return forecast.forecast_by_hash(rows, runs=HASHED_RUNS)
+
+
 def backtested(s, d):
     """Users as cases: the forecast of the median day from the first three weeks' spending against the last days as they came.
 
@@ -117,6 +127,7 @@ QUERIES = {
     "spending_days": lambda s, d: days(s, d).select("user_id", "day", "weekday", forecast.total(F.col("by_category"), {"FOOD_DELIVERY": 33, "RENT": 100}).alias("paise")),
     "scheduled_flow": lambda s, d: forecast.scheduled(forecast.recurring(past(s, d))[0], today()),
     "broke_forecast": forecast_rows,
+    "broke_by_hash": hashed_forecast,
     "broke_what_if": lambda s, d: forecast.days_gained(forecast_rows(s, d), forecast_rows(s, d, {"FOOD_DELIVERY": 100, "SHOPPING": 100})),
     "forecast_backtest": backtested,
     "template_split": lambda s, d: datasets.template_splits(examples(s, d), "split-1"),
@@ -157,6 +168,28 @@ ORACLE_SQL = {
     ),
     "recurring_items": with_txn("SELECT user_id, key, amount_paise, next_date, interval_days, category FROM due", PAST_SQL),
     "recurring_explained": with_txn("SELECT s.user_id, s.id FROM same s JOIN due USING (user_id, key, income)", PAST_SQL),
+    "broke_by_hash": with_txn(
+        f""", sp AS (
+          SELECT d.user_id, d.day, CAST(isodow(d.day) - 1 AS INTEGER) AS weekday, CAST(coalesce(paise, 0) AS BIGINT) AS paise FROM (
+          SELECT user_id, CAST(unnest(generate_series(greatest(min(day), DATE '2024-01-29' - 60), DATE '2024-01-28', INTERVAL 1 DAY)) AS DATE) AS day FROM live WHERE day < DATE '2024-01-29' GROUP BY user_id) d
+          LEFT JOIN (SELECT user_id, day, CAST(sum(amount_paise) AS BIGINT) AS paise FROM live WHERE {SPENT} GROUP BY ALL) USING (user_id, day)),
+        fl AS (
+          SELECT user_id, CAST(ahead AS INTEGER) AS a, CAST(sum(amount_paise) AS BIGINT) AS paise FROM (SELECT user_id, amount_paise, next_date + interval_days * n - DATE '2024-01-29' AS ahead FROM due, (SELECT CAST(range AS INTEGER) AS n FROM range(0, 20)))
+          WHERE ahead BETWEEN 1 AND 45 GROUP BY ALL),
+        alike AS (SELECT user_id, weekday, list(paise ORDER BY day) AS own FROM sp GROUP BY ALL), every AS (SELECT user_id, list(paise ORDER BY day) AS al FROM sp GROUP BY ALL),
+        choice AS (
+          SELECT u.user_id, u.a, coalesce(own, al, [0]) AS l, coalesce(fl.paise, 0) AS due_paise
+          FROM (SELECT user_id, CAST(a AS INTEGER) AS a FROM (SELECT DISTINCT user_id FROM txn), range(1, 46) x(a)) u
+          LEFT JOIN alike ON alike.user_id = u.user_id AND weekday = u.a % 7 LEFT JOIN every ON every.user_id = u.user_id LEFT JOIN fl ON fl.user_id = u.user_id AND fl.a = u.a),
+        money AS (
+          SELECT user_id, r, a, {START} + sum(due_paise - l[CAST(('0x' || substr(md5('0:' || user_id || ':' || r || ':' || a), 1, 8))::UBIGINT AS BIGINT) % len(l) + 1]) OVER (PARTITION BY user_id, r ORDER BY a) AS balance
+          FROM choice, range(0, {HASHED_RUNS}) y(r)),
+        solvent AS (SELECT user_id, list_sort(list(n)) AS n FROM (SELECT user_id, r, coalesce(min(a) FILTER (balance <= 0), 46) - 1 AS n FROM money GROUP BY ALL) GROUP BY user_id)
+        SELECT user_id, DATE '2024-01-29' AS today, CAST({START} AS BIGINT) AS start_paise, {", ".join(f"CASE WHEN n[{int(q * (HASHED_RUNS - 1)) + 1}] < 45 THEN DATE '2024-01-29' + CAST(n[{int(q * (HASHED_RUNS - 1)) + 1}] + 1 AS INTEGER) END AS broke_p{int(q * 100)}" for q in (0.2, 0.5, 0.8))},
+          round(len(list_filter(n, lambda x: x < 45)) / {HASHED_RUNS}, 4) AS prob_broke FROM solvent""",
+        "live AS (SELECT *, CAST(txn_time + INTERVAL 330 MINUTE AS DATE) AS day FROM txn WHERE status = 'SUCCESS')",
+        PAST_SQL,
+    ).replace(" ,", ","),
     "spending_days": with_txn(
         f"""SELECT d.user_id, d.day, CAST(isodow(d.day) - 1 AS INTEGER) AS weekday, CAST(coalesce(paise, 0) AS BIGINT) AS paise FROM (
           SELECT user_id, CAST(unnest(generate_series(greatest(min(day), DATE '2024-01-29' - 60), DATE '2024-01-28', INTERVAL 1 DAY)) AS DATE) AS day FROM live WHERE day < DATE '2024-01-29' GROUP BY user_id) d
