@@ -199,10 +199,14 @@ ORACLE_SQL = {
         t.CASH_SQL,
     ),
     "rules_learnt": with_txn(
-        """SELECT event_id, 'PARSED' AS outcome, amount_paise, CASE seq % 3 WHEN 1 THEN 'CREDIT' ELSE 'DEBIT' END AS direction, ['UPI', 'NETBANKING', 'CARD'][seq % 3 + 1] AS channel, CASE seq % 3 WHEN 0 THEN vpa || '@upi' ELSE trim(name) END AS merchant_raw,
-          CASE seq % 3 WHEN 0 THEN ref END AS reference_id, acct AS account_hint, CASE seq % 3 WHEN 1 THEN seq * 1000 END AS balance_after_paise FROM bank WHERE seq % 2 = 1""",
+        """, keyed AS (SELECT *, CASE WHEN known THEN 'own' ELSE 'NOBANK' END AS sender_key FROM bank),
+        taught AS (SELECT DISTINCT sender_key, f FROM (SELECT sender_key, seq % 3 AS f FROM keyed WHERE seq % 2 = 0 GROUP BY user_id, sender_key, seq % 3, CASE WHEN seq % 3 > 0 THEN name END HAVING count(*) > 1))
+        SELECT event_id, CASE WHEN ok THEN 'PARSED' ELSE 'FAILED' END AS outcome, CASE WHEN ok THEN amount_paise END AS amount_paise, CASE WHEN ok THEN CASE f WHEN 1 THEN 'CREDIT' ELSE 'DEBIT' END END AS direction,
+          CASE WHEN ok THEN ['UPI', 'NETBANKING', 'CARD'][f + 1] ELSE 'UNKNOWN' END AS channel, CASE WHEN ok THEN CASE f WHEN 0 THEN vpa || '@upi' ELSE trim(name) END END AS merchant_raw,
+          CASE WHEN ok AND f = 0 THEN ref END AS reference_id, CASE WHEN ok THEN acct END AS account_hint, CASE WHEN ok AND f = 1 THEN seq * 1000 END AS balance_after_paise
+        FROM (SELECT k.*, k.seq % 3 AS f, t.f IS NOT NULL AS ok FROM keyed k LEFT JOIN taught t ON t.sender_key = k.sender_key AND t.f = k.seq % 3 WHERE k.seq % 2 = 1)""",
         flows.BANK_SQL,
-    ),
+    ).replace(" ,", ","),
     "rule_attempts": """WITH RECURSIVE keyed AS (
       SELECT CASE WHEN event_id % 11 = 0 THEN 'NOBANK' ELSE ['HDFCBK', 'SBIINB', 'ICICIT'][event_id % 3 + 1] END || '|' || event_id % 3 AS template, ts AS at_, 'e_' || event_id AS event_id FROM events),
     ready AS (
