@@ -18,6 +18,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from spendlake.functions.text import merchant_key
 from spendlake.operators.merging import FIELDS, REFUND_DAYS, SELF_TRANSFER, WINDOW, WINDOW_WITH_REFERENCE, Payment, own_transfer
 from spendlake.streaming.jobs import written_once
+from spendlake.streaming.processors import stateful
 
 SECOND = 1_000_000
 DAY = 86_400 * SECOND
@@ -216,7 +217,7 @@ def merged_stream(reports: DataFrame, late: str = "7 days", horizon: int = REFUN
     kinds = {"payment": T.LongType(), "version": T.IntegerType(), "is_new": T.BooleanType(), "kind": T.StringType(), "txn_time": T.TimestampNTZType()}
     names = [c for c in FIELDS if c != "micros"] + ["kind"]
     schema = T.StructType([T.StructField(c, kinds.get(c) or rows.schema[c].dataType) for c in names])
-    return rows.groupBy("user_id").transformWithState(Merger(names, horizon), schema, "Append", "EventTime")
+    return stateful(rows.groupBy("user_id"), Merger(names, horizon), schema)
 
 
 def merge(reports: DataFrame, folder: str, checkpoint: str, late: str = "7 days", horizon: int = REFUND_DAYS) -> StreamingQuery:

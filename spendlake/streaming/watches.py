@@ -12,7 +12,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from spendlake.operators import watches as w
 from spendlake.operators.cash import OUT_OF_WALLET
+from spendlake.operators.watches import COMPENSATION_DAYS, DAY, ESCALATION_DAYS, HOUR, SAME_AMOUNT_DAYS, SAME_REFERENCE_DAYS
 from spendlake.streaming.merging import STORE
+from spendlake.streaming.processors import stateful
 
 
 def moment(micros: int | None) -> datetime | None:
@@ -81,7 +83,7 @@ class CashWatch(Watch):
     MATTER = "micros long, amount long"
 
     def __init__(self, hours: int, percent: int):
-        self.span, self.percent = hours * w.HOUR, percent
+        self.span, self.percent = hours * HOUR, percent
 
     def matter(self, r) -> tuple:
         return r.micros, r.amount_paise
@@ -106,9 +108,9 @@ def missing_cash(ledger: DataFrame, late: str = "1 day", hours: int = w.AFTER_HO
     """`operators.watches.missing_cash` of a stream of cash entries, each withdrawal once, when the watermark has passed its time. Entries later than `late` are left out; ids are distinct. An entry leaves the state once no open withdrawal can look at it."""
     rows = prepared(ledger, "occurred_at", late).withColumn("opens", F.col("entry_type") == "ATM_WITHDRAWAL")
     rows = rows.where(F.col("opens") | F.col("entry_type").isin(OUT_OF_WALLET))
-    chosen = rows.select("id", "user_id", "opens", "micros", "__at", (F.col("micros") + hours * w.HOUR).alias("wakes"), "amount_paise", F.lit(None).cast("string").alias("reference_id"))
+    chosen = rows.select("id", "user_id", "opens", "micros", "__at", (F.col("micros") + hours * HOUR).alias("wakes"), "amount_paise", F.lit(None).cast("string").alias("reference_id"))
     user = ledger.schema["user_id"].dataType.simpleString()
-    return chosen.groupBy("user_id").transformWithState(CashWatch(hours, percent), f"id string, user_id {user}, amount_paise long, logged_paise long, due_at timestamp_ntz", "Append", "EventTime")
+    return stateful(chosen.groupBy("user_id"), CashWatch(hours, percent), f"id string, user_id {user}, amount_paise long, logged_paise long, due_at timestamp_ntz")
 
 
 class RefundWatch(Watch):
@@ -119,19 +121,19 @@ class RefundWatch(Watch):
 
     def judged(self, id_, values, known, now):
         case_type, amount, reference, opened, deadline, per_day, before = values
-        paid = min((m for m, a, ref in known if m >= opened and (a == amount and m <= opened + w.SAME_AMOUNT_DAYS * w.DAY or reference and ref == reference and m <= opened + w.SAME_REFERENCE_DAYS * w.DAY)), default=None)
+        paid = min((m for m, a, ref in known if m >= opened and (a == amount and m <= opened + SAME_AMOUNT_DAYS * DAY or reference and ref == reference and m <= opened + SAME_REFERENCE_DAYS * DAY)), default=None)
         late = owed = 0
         extra, after = None, None
-        last = opened + w.SAME_REFERENCE_DAYS * w.DAY
+        last = opened + SAME_REFERENCE_DAYS * DAY
         if paid is None:
-            escalated = deadline + w.ESCALATION_DAYS * w.DAY
+            escalated = deadline + ESCALATION_DAYS * DAY
             state = "WAITING" if now <= deadline else "OVERDUE" if now <= escalated else "ESCALATION_DRAFTED"
             after = next((t for t in (deadline, escalated, last) if t >= now), None)
         else:
-            late = max(0, -((deadline - paid) // w.DAY))
+            late = max(0, -((deadline - paid) // DAY))
             owed = late * per_day
-            extra = min((m for m, a, _ in known if owed and a == owed and paid <= m <= paid + w.COMPENSATION_DAYS * w.DAY), default=None)
-            drafted = paid + w.COMPENSATION_DAYS * w.DAY
+            extra = min((m for m, a, _ in known if owed and a == owed and paid <= m <= paid + COMPENSATION_DAYS * DAY), default=None)
+            drafted = paid + COMPENSATION_DAYS * DAY
             state = "REVERSED_ON_TIME" if not late else "COMPENSATED" if extra is not None else "COMPENSATION_DRAFTED" if owed and now > drafted else "REVERSED_LATE"
             if state == "REVERSED_LATE" and owed:
                 after = drafted
@@ -152,4 +154,4 @@ def refund_states(payments: DataFrame, late: str = "1 day") -> DataFrame:
     chosen = rows.select("id", "user_id", "opens", "micros", "__at", F.col("micros").alias("wakes"), "amount_paise", "reference_id", "case_type", "deadline", "per_day_paise")
     user = payments.schema["user_id"].dataType.simpleString()
     fields = f"id string, user_id {user}, case_type string, state string, known_at timestamp_ntz, paid_at timestamp_ntz, days_late int, owed_paise long, compensated_at timestamp_ntz"
-    return chosen.groupBy("user_id").transformWithState(RefundWatch(), fields, "Append", "EventTime")
+    return stateful(chosen.groupBy("user_id"), RefundWatch(), fields)
