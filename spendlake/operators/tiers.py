@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spendlake.functions.binding import once
 from spendlake.functions.grounding import same_extraction
 from spendlake.functions.ids import derived, in_sample
 from spendlake.operators.parsing import CHANNELS, CONFIDENCE, DIRECTIONS, EXTRACTION, STATUSES
@@ -81,24 +82,27 @@ def decoded(text: Column) -> Column:
 
     Numbers become decimal texts without trailing zeros, so that no amount passes through floating point. An unknown
     channel is UNKNOWN, a missing status SUCCESS; an unknown direction or status spoils the answer, as does one
-    without is_transaction. Blank names are null.
+    without is_transaction. Blank names are null. A text is read once, and each field once.
     """
     plain = F.regexp_replace(F.regexp_replace(text, r"^\s*(?:`{3}(?:json)?)?\s*", ""), r"\s*(?:`{3})?\s*$", "")
-    value = F.try_parse_json(plain)
-    get = lambda n: F.coalesce(F.try_variant_get(value, f"$.{n}", "string"), F.try_variant_get(value, f"$.{FIELDS[n]}", "string"))
+    get = lambda value, n: F.coalesce(F.try_variant_get(value, f"$.{n}", "string"), F.try_variant_get(value, f"$.{FIELDS[n]}", "string"))
+    fields = lambda p: once(F.try_parse_json(p), lambda value: F.struct(p.startswith("{").alias("is_object"), *(get(value, n).alias(n) for n in FIELDS)))
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    known = lambda n, values, default: F.when(get(n).isNull(), default).otherwise(get(n)).isin(*values) if default else get(n).isNull() | get(n).isin(*values)
-    days = get("promisedRefundDays")
-    out = F.struct(
-        (get("isTransaction") == "true").alias("is_transaction"), get("amount").alias("amount"), get("direction").alias("direction"),
-        F.when(get("channel").isin(*CHANNELS), get("channel")).otherwise("UNKNOWN").alias("channel"), F.coalesce(get("status"), F.lit("SUCCESS")).alias("status"),
-        F.when(blank(get("merchantRaw")).isNotNull(), get("merchantRaw")).alias("merchant_raw"), F.when(blank(get("counterpartyVpa")).isNotNull(), get("counterpartyVpa")).alias("counterparty_vpa"),
-        get("referenceId").alias("reference_id"), get("accountHint").alias("account_hint"), get("balanceAfter").alias("balance_after"), days.try_cast("int").alias("promised_refund_days"),
-    )
-    good = plain.startswith("{") & get("isTransaction").isin("true", "false") & known("direction", DIRECTIONS, None) & known("status", STATUSES, "SUCCESS") & (days.isNull() | days.rlike("^[0-9]{1,9}$"))
-    return F.when(good, out).cast(EXTRACTION)
+
+    def checked(f: Column) -> Column:
+        days = f["promisedRefundDays"]
+        out = F.struct(
+            (f["isTransaction"] == "true").alias("is_transaction"), f["amount"].alias("amount"), f["direction"].alias("direction"),
+            F.when(f["channel"].isin(*CHANNELS), f["channel"]).otherwise("UNKNOWN").alias("channel"), F.coalesce(f["status"], F.lit("SUCCESS")).alias("status"),
+            F.when(blank(f["merchantRaw"]).isNotNull(), f["merchantRaw"]).alias("merchant_raw"), F.when(blank(f["counterpartyVpa"]).isNotNull(), f["counterpartyVpa"]).alias("counterparty_vpa"),
+            f["referenceId"].alias("reference_id"), f["accountHint"].alias("account_hint"), f["balanceAfter"].alias("balance_after"), days.try_cast("int").alias("promised_refund_days"),
+        )
+        good = f["is_object"] & f["isTransaction"].isin("true", "false") & (f["direction"].isNull() | f["direction"].isin(*DIRECTIONS)) & (f["status"].isNull() | f["status"].isin(*STATUSES)) & (days.isNull() | days.rlike("^[0-9]{1,9}$"))
+        return F.when(good, out).cast(EXTRACTION)
+
+    return once(once(plain, fields), checked)
 
 
 def canonical(x: Column) -> Column:
     """An extraction as the JSON that models learn: fields in their fixed order, compact, nulls kept."""
-    return F.when(x.isNotNull(), F.to_json(F.struct(*(x[own].alias(name) for name, own in FIELDS.items())), {"ignoreNullFields": "false"}))
+    return once(x, lambda v: F.when(v.isNotNull(), F.to_json(F.struct(*(v[own].alias(name) for name, own in FIELDS.items())), {"ignoreNullFields": "false"})))
