@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spendlake.functions.binding import once
+
 # Wordings, months and words for periods.
 LIMIT = r"(?i)\b(?:limit|max(?:imum)?|only|at most|sirf|bas)\s+([a-z][a-z .&']{1,30}?)\s+(?:to\s+)?(\d{1,2})\s*(?:x|times?|orders?|baar)?\s*(?:a|per|/|every|each|ek)\s*(week|month|day|hafte|mahine)"
 NONE = r"(?i)\b(?:no|stop|band|nahi)\s+([a-z][a-z .&']{1,30}?)\s+(?:this|for a|for the|is)\s+(week|month|hafta|mahina)"
@@ -21,14 +23,16 @@ def until(text: Column, today: Column) -> Column:
 
 def commitment(text: Column, today: Column) -> Column:
     """Struct of target, max_count, period, until and text; null where the text promises nothing."""
-    clean = F.trim(F.regexp_replace(text, r"\s+", " "))
     words = F.create_map(*(F.lit(x) for kv in PERIODS.items() for x in kv))
 
-    def found(pattern: str, count: Column, place: int) -> Column:
+    def found(clean: Column, pattern: str, count: Column, place: int) -> Column:
         period = F.lower(F.regexp_extract(clean, pattern, place))
         return F.struct(F.lower(F.trim(F.regexp_extract(clean, pattern, 1))).alias("target"), count.alias("max_count"), F.coalesce(F.try_element_at(words, period), period).alias("period"), until(clean, today).alias("until"), clean.alias("text"))
 
-    return F.when(clean.rlike(LIMIT), found(LIMIT, F.regexp_extract(clean, LIMIT, 2).try_cast("int"), 3)).when(clean.rlike(NONE), found(NONE, F.lit(0), 2))
+    def promise(clean: Column) -> Column:
+        return F.when(clean.rlike(LIMIT), found(clean, LIMIT, F.regexp_extract(clean, LIMIT, 2).try_cast("int"), 3)).when(clean.rlike(NONE), found(clean, NONE, F.lit(0), 2))
+
+    return once(F.trim(F.regexp_replace(text, r"\s+", " ")), promise)
 
 
 def due_at(until_date: Column) -> Column:

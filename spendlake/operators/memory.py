@@ -148,7 +148,8 @@ def written(messages: DataFrame, feedback: DataFrame, today) -> DataFrame:
     messages: id, user_id, text; those that hold a promise are commitments, due at the end of its day if it names
     one. feedback: id, user_id, reaction, category; a joke that was not fair is a preference on its category.
     """
-    promised = messages.withColumn("__c", commitment(F.col("text"), today)).where("__c IS NOT NULL")
+    # exploded, so that a text is searched once: a filter would search it again for itself and for each field
+    promised = messages.select("id", "user_id", F.explode(F.array_compact(F.array(commitment(F.col("text"), today)))).alias("__c"))
     kept = promised.select(F.col("id").alias("source"), "user_id", F.lit("COMMITMENT").alias("kind"), F.substring("__c.text", 1, CONTENT_CHARS).alias("content"), F.lit(COMMITMENT_CONFIDENCE).alias("confidence"), due_at(F.col("__c.until")).alias("due_at"))
     unfair = feedback.where("reaction = 'NOT_FAIR' AND category <> ''")
     said = F.concat(F.lit("Finds roasts about "), F.lower(F.replace("category", F.lit("_"), F.lit(" "))), F.lit(" not fair"))

@@ -1,8 +1,10 @@
 """Dear steps stand once in the plan, so that a row's text is read once."""
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
-from spendlake.operators import tiers
+from spendlake.operators import memory, tiers
 
 
 def times(df, step):
@@ -14,3 +16,11 @@ def test_an_answer_is_parsed_once(spark):
     out = rows.select("id", tiers.canonical(tiers.decoded(F.col("answer"))).alias("json"))
     assert times(out, "(?:`{3}(?:json)?)") == 1
     assert {r.id: r.json and r.json[:35] for r in out.collect()} == {1: '{"isTransaction":true,"amount":"5",', 2: None, 3: None}
+
+
+def test_a_promise_is_looked_for_once(spark):
+    said = spark.createDataFrame([(1, 7, "limit  tea to 2 times a week by 5 mar"), (2, 7, None), (3, 7, "hello")], "id int, user_id int, text string")
+    jokes = spark.createDataFrame([(9, 7, "NOT_FAIR", "RENT"), (10, 7, "LIKED", "RENT")], "id int, user_id int, reaction string, category string")
+    out = memory.written(said, jokes, F.lit(date(2026, 2, 1)))
+    assert times(out, "regexp_replace(") == 1
+    assert {(r.source, r.kind, r.content) for r in out.collect()} == {(1, "COMMITMENT", "limit tea to 2 times a week by 5 mar"), (9, "PREFERENCE", "Finds roasts about rent not fair")}
