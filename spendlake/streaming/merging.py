@@ -1,13 +1,15 @@
 """Reports of a stream merged into payments one event after another, with keyed state that forgets.
 
 The rules are those of `operators.merging`; a user's reports meet what the state holds of the user. Payments lie
-in the state by amount and by stretches of time as long as the longest window, so a report looks at three of
-them. A timer in event time clears what nothing can match any more: payments after the longest window, events,
+in the state by stretches of time as long as the longest window, so a report looks at three of them; events,
+references and merchants lie packed in a few texts each. So a trigger's calls of the state grow with what it touches
+of a user, not with its reports. A timer in event time clears what nothing can match any more: payments after the longest window, events,
 references and merchants of debits after a horizon.
 """
 
 import json
 from datetime import UTC, datetime
+from zlib import crc32
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ from spendlake.streaming.processors import stateful
 SECOND = 1_000_000
 DAY = 86_400 * SECOND
 BIN = WINDOW_WITH_REFERENCE * SECOND
+#: Texts that a user's events, references or merchants are dealt over.
+PACKS = 8
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: What a stored payment holds beside its fields.
 HELD = [c for c in FIELDS if c not in ("txn_time", "payment", "version", "is_new")] + ["plain", "key", "kind", "bumps"]
@@ -52,23 +56,71 @@ def unpacked(text: str) -> list[Payment]:
 
 
 class Known:
-    """A map in the state, read at most once a key and trigger, and written where it changed."""
+    """A map of texts in the state, read at most once a key and trigger (not at all while it is empty), and written where it changed."""
 
     def __init__(self, state):
         self.state, self.values, self.changed = state, {}, set()
+        self.filled = state.exists()
 
     def get(self, key: tuple):
         if key not in self.values:
-            self.values[key] = self.state.getValue(key)[0] if self.state.containsKey(key) else None
+            self.values[key] = self.state.getValue(key)[0] if self.filled and self.state.containsKey(key) else None
         return self.values[key]
 
     def put(self, key: tuple, value) -> None:
         self.values[key] = value
         self.changed.add(key)
 
-    def write(self, change=lambda value: value) -> None:
+    def write(self) -> None:
         for key in self.changed:
-            self.state.updateValue(key, (change(self.values[key]),))
+            self.state.updateValue(key, (self.values[key],))
+
+
+class Packed:
+    """Values by key, dealt over PACKS texts of the state, so that a trigger's many keys cost few calls of the state."""
+
+    def __init__(self, state):
+        self.known, self.packs = Known(state), {}
+
+    def pack(self, name: str) -> tuple[tuple, dict]:
+        spot = (crc32(name.encode()) % PACKS,)
+        if spot not in self.packs:
+            self.packs[spot] = json.loads(self.known.get(spot) or "{}")
+        return spot, self.packs[spot]
+
+    def get(self, key):
+        name = named(key)
+        return self.pack(name)[1].get(name)
+
+    def put(self, key, value) -> None:
+        name = named(key)
+        spot, own = self.pack(name)
+        own[name] = value
+        self.known.put(spot, None)
+
+    def write(self) -> None:
+        for spot in self.known.changed:
+            self.known.values[spot] = json.dumps(self.packs[spot])
+        self.known.write()
+
+
+def named(key) -> str:
+    """A key as a name in JSON; null is a name of its own."""
+    return "" if key is None else f"={key}"
+
+
+def left_of(state, kept) -> bool:
+    """Lets go of the values in packed state for which kept(value) is null, and puts kept(value) in place of the others; whether any are left."""
+    left = False
+    for spot, (text,) in list(state.iterator()):
+        old = json.loads(text)
+        new = {name: k for name, value in old.items() if (k := kept(value)) is not None}
+        left = left or bool(new)
+        if not new:
+            state.removeKey(spot)
+        elif new != old:
+            state.updateValue(spot, (json.dumps(new),))
+    return left
 
 
 class Merger(StatefulProcessor):
@@ -79,21 +131,21 @@ class Merger(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.payments = handle.getMapState("payments", "amount long, bin long", "packed string")
-        self.events = handle.getMapState("events", "event_id string", "micros long")
-        self.references = handle.getMapState("references", "reference_id string", "micros long")
-        self.merchants = handle.getMapState("merchants", "merchant_id string", "days string")
+        self.payments = handle.getMapState("payments", "bin long", "packed string")
+        self.events, self.references, self.merchants = (handle.getMapState(name, "pack long", "packed string") for name in ("events", "references", "merchants"))
 
     def handleInputRows(self, key, rows, timerValues):
-        stored, events, references, merchants = (Known(s) for s in (self.payments, self.events, self.references, self.merchants))
-        lists: dict[tuple, list[Payment]] = {}
+        stored = Known(self.payments)
+        events, references, merchants = (Packed(s) for s in (self.events, self.references, self.merchants))
+        lists: dict[int, dict[int, list[Payment]]] = {}
 
         def at(amount: int, number: int) -> list[Payment]:
-            spot = (amount, number)
-            if spot not in lists:
-                text = stored.get(spot)
-                lists[spot] = unpacked(text) if text else []
-            return lists[spot]
+            if number not in lists:
+                own = lists[number] = {}
+                text = stored.get((number,))
+                for p in unpacked(text) if text else []:
+                    own.setdefault(p.row["amount_paise"], []).append(p)
+            return lists[number].setdefault(amount, [])
 
         def within(r: dict, seconds: int) -> list[Payment]:
             reach = seconds * SECOND
@@ -101,30 +153,28 @@ class Merger(StatefulProcessor):
             return [p for b in bins for p in at(r["amount_paise"], b) if abs(p.micros - r["micros"]) <= reach]
 
         def dirty(p: Payment) -> None:
-            spot = (p.row["amount_paise"], p.micros // BIN)
-            stored.put(spot, None)
+            stored.put((p.micros // BIN,), None)
 
         def debit_seen(row: dict, micros: int) -> None:
             if row["reference_id"]:
-                references.put((row["reference_id"],), max(micros, references.get((row["reference_id"],)) or micros))
+                references.put(row["reference_id"], max(micros, references.get(row["reference_id"]) or micros))
             if row["merchant_id"] is not None:
-                own = (str(row["merchant_id"]),)
-                days = json.loads(merchants.get(own) or "{}")
+                days = merchants.get(row["merchant_id"]) or {}
                 low, high = days.get(str(micros // DAY), (micros, micros))
                 days[str(micros // DAY)] = min(low, micros), max(high, micros)
-                merchants.put(own, json.dumps(days))
+                merchants.put(row["merchant_id"], days)
 
         def refunds(r: dict) -> bool:
             if r["merchant_id"] is None:
                 return False
-            days = json.loads(merchants.get((str(r["merchant_id"]),)) or "{}")
+            days = merchants.get(r["merchant_id"]) or {}
             return any(low <= r["micros"] and high >= r["micros"] - REFUND_DAYS * DAY for low, high in days.values())
 
         out = []
         for r in sorted((x.asDict() for x in rows), key=lambda x: x["seq"]):
-            if events.get((r["event_id"],)) is not None:
+            if events.get(r["event_id"]) is not None:
                 continue
-            events.put((r["event_id"],), r["micros"])
+            events.put(r["event_id"], r["micros"])
             near = sorted(((p.apart(r), p.payment, p) for p in within(r, WINDOW_WITH_REFERENCE if r["reference_id"] else WINDOW) if p.row["direction"] == r["direction"]), key=lambda x: x[:2])
             own = next((p for _, _, p in near if p.takes(r)), None)
             changed = []
@@ -139,7 +189,7 @@ class Merger(StatefulProcessor):
                 own = Payment({c: r.get(c) for c in {*HELD, "raw_type", "source_app"}} | {"bumps": 0})
                 kind = kind_of(r)
                 if r["direction"] == "CREDIT":
-                    kind = "REVERSAL" if r["reference_id"] and references.get((r["reference_id"],)) is not None else "REFUND" if refunds(r) else kind
+                    kind = "REVERSAL" if r["reference_id"] and references.get(r["reference_id"]) is not None else "REFUND" if refunds(r) else kind
                 own.row["kind"] = kind
                 partner = None
                 if r["account_hint"] and kind in ("SPEND", "INCOME"):
@@ -157,7 +207,7 @@ class Merger(StatefulProcessor):
                 dirty(p)
                 out.append(self.row(key[0], p))
         for spot in stored.changed:
-            stored.values[spot] = packed(lists[spot])
+            stored.values[spot] = packed([p for own in lists[spot[0]].values() for p in own])
         for known in (stored, events, references, merchants):
             known.write()
         if not any(True for _ in self.handle.listTimers()):
@@ -175,25 +225,15 @@ class Merger(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs() * 1000
         left = False
-        for amount, number in list(self.payments.keys()):
+        for (number,) in list(self.payments.keys()):
             if (number + 2) * BIN < now:
-                self.payments.removeKey((amount, number))
+                self.payments.removeKey((number,))
             else:
                 left = True
-        for state in (self.events, self.references):
-            for own, (micros,) in list(state.iterator()):
-                if micros + self.horizon * DAY < now:
-                    state.removeKey(own)
-                else:
-                    left = True
-        for own, (text,) in list(self.merchants.iterator()):
-            days = json.loads(text)
-            kept = {d: v for d, v in days.items() if v[1] + REFUND_DAYS * DAY >= now}
-            left = left or bool(kept)
-            if not kept:
-                self.merchants.removeKey(own)
-            elif len(kept) < len(days):
-                self.merchants.updateValue(own, (json.dumps(kept),))
+        fresh = lambda micros: micros if micros + self.horizon * DAY >= now else None
+        recent = lambda days: {d: v for d, v in days.items() if v[1] + REFUND_DAYS * DAY >= now} or None
+        for state, kept in ((self.events, fresh), (self.references, fresh), (self.merchants, recent)):
+            left = left_of(state, kept) or left
         if left:
             self.later(timerValues)
         yield from ()
