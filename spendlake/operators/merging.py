@@ -163,9 +163,17 @@ class Near:
 
 
 def in_order(df: DataFrame, names: list[str], schema: T.StructType, memory_of, step) -> DataFrame:
-    """Rows of `names` that step(memory, row) returns for each row, in order of arrival within each user, amount and island; memory_of() makes an island's memory."""
+    """Rows of `names` that step(memory, row) returns for each row of df (with `island`), in order of arrival within each user, amount and island; memory_of() makes an island's memory.
+
+    txn_time goes through the pass as a text (without zone) or as microseconds, so that no objects of Python are made of it.
+    """
     key = ["user_id", "amount_paise", "island"]
-    dealt = islands(df).repartition(*key).sortWithinPartitions(*key, "seq")
+    kind = schema["txn_time"].dataType
+    plain = kind == T.TimestampNTZType()
+    sent = F.col("txn_time").cast("string") if plain else F.unix_micros("txn_time")
+    back = F.col("txn_time").cast(kind) if plain else F.timestamp_micros("txn_time")
+    dealt = df.withColumn("txn_time", sent).repartition(*key).sortWithinPartitions(*key, "seq")
+    schema = T.StructType([T.StructField("txn_time", T.StringType() if plain else T.LongType()) if f.name == "txn_time" else f for f in schema])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
@@ -180,11 +188,11 @@ def in_order(df: DataFrame, names: list[str], schema: T.StructType, memory_of, s
                     out += [{c: x[c] for c in names} for x in step(memory, r)]
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, schema).withColumn("txn_time", back)
 
 
 def merged(reports: DataFrame) -> DataFrame:
-    """For each report: the payment it belongs to (seq of its first report), that payment's version and its fields from then on.
+    """For each report: the payment it belongs to (seq of its first report), that payment's version, its fields from then on, and the report's island.
 
     reports: seq (order of arrival), event_id, user_id, raw_type, source_app, amount_paise, direction, status,
     channel, txn_time, merchant_raw, merchant_id, category, reference_id, account_hint, balance_after_paise,
@@ -194,7 +202,9 @@ def merged(reports: DataFrame) -> DataFrame:
     own = reports.join(firsts, ["user_id", "event_id", "seq"], "left_semi")
     rows = own.withColumn("micros", F.unix_micros(F.col("txn_time").cast("timestamp"))).withColumn("plain", F.lower(F.trim("merchant_raw"))).withColumn("key", merchant_key(F.col("merchant_raw")))
     kinds = {"payment": T.LongType(), "version": T.IntegerType(), "is_new": T.BooleanType()}
-    schema = T.StructType([T.StructField(c, kinds.get(c) or rows.schema[c].dataType) for c in FIELDS])
+    rows = islands(rows)
+    names = [*FIELDS, "island"]
+    schema = T.StructType([T.StructField(c, kinds.get(c) or rows.schema[c].dataType) for c in names])
 
     def step(known: dict[str, Near], r: dict) -> list[dict]:
         stored = known.setdefault(r["direction"], Near())
@@ -208,7 +218,7 @@ def merged(reports: DataFrame) -> DataFrame:
             stored.add(own.micros, own)
         return [r | {c: own.row[c] for c in FIELDS[10:]} | {"payment": own.payment, "version": own.version, "is_new": own.version == 1}]
 
-    return in_order(rows, FIELDS, schema, dict, step)
+    return in_order(rows, names, schema, dict, step)
 
 
 def special_credits(steps: DataFrame) -> DataFrame:
@@ -259,7 +269,7 @@ def payments(reports: DataFrame) -> DataFrame:
         partner["version"] += 1
         return [dict(own), dict(partner)]
 
-    return in_order(rows, rows.columns, rows.schema, lambda: ({}, Near()), step).drop("micros")
+    return in_order(rows, rows.columns, rows.schema, lambda: ({}, Near()), step).drop("micros", "island")
 
 
 def own_transfer(p: dict, r: dict) -> bool:
